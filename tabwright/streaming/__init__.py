@@ -1,0 +1,8 @@
+"""Streaming: the source workload has no stream, watermark or stateful operator.
+
+All operators in this package are batch DataFrame -> DataFrame functions. Because they use only
+Catalyst expressions and stateless projections, the row-level ones (coercion, sentinel nulling,
+flags, rule fills, scalar functions) can be applied unchanged to a streaming DataFrame from
+``spark.readStream``; aggregating ones need a watermark the source data does not define, so no
+streaming variant is provided.
+"""
