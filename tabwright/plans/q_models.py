@@ -1 +1,326 @@
-"""Catalog module (filled below)."""
+"""Catalog: metrics, kNN, label propagation, models and experiments."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabwright.functions import columns as C
+from tabwright.operators import encode, groups, impute, knn, metrics, ml, profile, split, ssl, window
+from tabwright.plans.common import R4, r4
+from tabwright.plans.contracts import labelled_contracts, table, with_contracts
+from tabwright.plans.q_prep import house_age
+from tabwright.plans.q_profile import PERIOD_SQL, period
+from tabwright.plans.registry import query
+
+K = 5
+SEED = 777
+
+# ------------------------------------------------------------------ M6-M8 (a rule score on the data)
+
+SCORE_SQL = "value / 500000.0"
+SCORED_SQL = f"s AS (SELECT {PERIOD_SQL} AS period, target, {SCORE_SQL} AS score, CAST({SCORE_SQL} >= 0.5 AS INTEGER) AS pred FROM lc WHERE label IS NOT NULL)"
+
+
+def scored(spark, d):
+    df = labelled_contracts(spark, d).where(F.col("label").isNotNull()).withColumn("period", period())
+    score = F.col("value") / 500000.0
+    return df.withColumns({"score": score, "pred": (score >= 0.5).cast("int")})
+
+
+@query("confusion_matrix", with_contracts("""
+SELECT period, CAST(count(*) FILTER (WHERE target = 0 AND pred = 0) AS BIGINT) AS tn,
+       CAST(count(*) FILTER (WHERE target = 0 AND pred = 1) AS BIGINT) AS fp,
+       CAST(count(*) FILTER (WHERE target = 1 AND pred = 0) AS BIGINT) AS fn,
+       CAST(count(*) FILTER (WHERE target = 1 AND pred = 1) AS BIGINT) AS tp
+FROM s GROUP BY period""", SCORED_SQL))
+def q_confusion(spark, d):
+    return metrics.confusion_matrix(scored(spark, d), "target", "pred", by=["period"])
+
+
+@query("classification_report", with_contracts(f"""
+SELECT period, {R4('(tp + tn) * 1.0 / (tp + tn + fp + fn)')} AS accuracy,
+       {R4('CASE WHEN tp + fp > 0 THEN tp * 1.0 / (tp + fp) ELSE 0.0 END')} AS precision,
+       {R4('CASE WHEN tp + fn > 0 THEN tp * 1.0 / (tp + fn) ELSE 0.0 END')} AS recall,
+       {R4('CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END')} AS f1
+FROM (SELECT period, count(*) FILTER (WHERE target = 0 AND pred = 0) AS tn, count(*) FILTER (WHERE target = 0 AND pred = 1) AS fp,
+             count(*) FILTER (WHERE target = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE target = 1 AND pred = 1) AS tp
+      FROM s GROUP BY period)""", SCORED_SQL))
+def q_report(spark, d):
+    rep = metrics.classification_report(scored(spark, d), "target", "pred", by=["period"])
+    return rep.select("period", *[r4(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+@query("roc_auc", with_contracts(f"""
+SELECT period, {R4('sum(pos * (neg_le - neg + 0.5 * neg)) / (sum(pos) * sum(neg))')} AS auc
+FROM (SELECT *, sum(neg) OVER (PARTITION BY period ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_le
+      FROM (SELECT period, score, count(*) FILTER (WHERE target = 1) AS pos, count(*) FILTER (WHERE target = 0) AS neg
+            FROM s GROUP BY period, score))
+GROUP BY period""", SCORED_SQL))
+def q_auc(spark, d):
+    return metrics.roc_auc(scored(spark, d), "target", "score", by=["period"]).withColumn("auc", r4("auc"))
+
+
+# ------------------------------------------------------------------ J7, I9, I10 on part
+
+MASK_SQL = "substr(md5(CAST(p_partkey AS VARCHAR)), 1, 1) = '0'"
+F1_SQL = "CASE WHEN p_name LIKE 'small%' THEN NULL ELSE CAST(p_size AS DOUBLE) END"
+F2_SQL = "CASE WHEN p_name LIKE '%bolt%' THEN NULL ELSE CAST(regexp_extract(p_brand, '[0-9]+') AS DOUBLE) END"
+
+
+def parts(spark, d):
+    p = table(spark, d, "part")
+    return p.withColumns({
+        "masked": F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 1) == "0",
+        "f1": F.when(~F.col("p_name").like("small%"), F.col("p_size").cast("double")),
+        "f2": F.when(~F.col("p_name").like("%bolt%"),
+                     F.regexp_extract("p_brand", "[0-9]+", 0).try_cast("double")),
+    })
+
+
+@query("knn_join", f"""
+WITH p AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS a, p_retailprice / 100.0 AS b, {MASK_SQL} AS masked FROM part),
+pairs AS (SELECT r.id AS receiver_id, d.id AS donor_id, (r.a - d.a) * (r.a - d.a) + (r.b - d.b) * (r.b - d.b) AS sq
+          FROM p r JOIN p d ON r.masked AND NOT d.masked)
+SELECT receiver_id, donor_id, CAST(rk AS INTEGER) AS rank, {R4('sq')} AS sqdist
+FROM (SELECT *, row_number() OVER (PARTITION BY receiver_id ORDER BY sq, donor_id) AS rk FROM pairs) WHERE rk <= {K}""")
+def q_knn_join(spark, d):
+    p = parts(spark, d).withColumn("vec", F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 100.0))
+    recv = p.where("masked").select(F.col("p_partkey").alias("receiver_id"), "vec")
+    don = p.where(~F.col("masked")).select(F.col("p_partkey").alias("donor_id"), "vec")
+    j = knn.knn_join(recv, don, "receiver_id", "donor_id", "vec", K)
+    return j.select("receiver_id", "donor_id", "rank", r4("sqdist").alias("sqdist"))
+
+
+def _nan_knn_sql(target_expr: str) -> str:
+    return f"""p AS (SELECT p_partkey AS id, CASE WHEN {MASK_SQL} THEN NULL ELSE {target_expr} END AS y,
+                  {F1_SQL} AS f1, {F2_SQL} AS f2 FROM part),
+pairs AS (SELECT r.id AS rid, d.id AS did, d.y,
+                 CAST(r.f1 IS NOT NULL AND d.f1 IS NOT NULL AS INTEGER) + CAST(r.f2 IS NOT NULL AND d.f2 IS NOT NULL AS INTEGER) AS ns,
+                 coalesce((r.f1 - d.f1) * (r.f1 - d.f1), 0.0) + coalesce((r.f2 - d.f2) * (r.f2 - d.f2), 0.0) AS ss
+          FROM p r JOIN p d ON r.y IS NULL AND d.y IS NOT NULL),
+ranked AS (SELECT rid, y, row_number() OVER (PARTITION BY rid ORDER BY (3.0 / ns) * ss, did) AS rn FROM pairs WHERE ns > 0),
+fill AS (SELECT rid, avg(y) AS v FROM ranked WHERE rn <= {K} GROUP BY rid)"""
+
+
+@query("knn_impute", f"""
+WITH {_nan_knn_sql('p_retailprice')}
+SELECT p.id AS p_partkey, {R4('coalesce(p.y, fill.v, (SELECT avg(y) FROM p))')} AS retailprice
+FROM p LEFT JOIN fill ON p.id = fill.rid""")
+def q_knn_impute(spark, d):
+    p = parts(spark, d).withColumn("y", F.when(~F.col("masked"), F.col("p_retailprice")))
+    out = knn.knn_impute(p.select("p_partkey", "y", "f1", "f2"), "p_partkey", "y", ["f1", "f2"], k=K, out="retailprice")
+    return out.select("p_partkey", r4("retailprice").alias("retailprice"))
+
+
+@query("knn_impute_categorical", f"""
+WITH lv AS (SELECT p_type AS level, CAST(row_number() OVER (ORDER BY p_type) - 1 AS DOUBLE) AS code
+            FROM (SELECT DISTINCT p_type FROM part WHERE NOT ({MASK_SQL}))),
+{_nan_knn_sql('(SELECT code FROM lv WHERE level = p_type)')}
+SELECT p.id AS p_partkey, lv.level AS p_type
+FROM p LEFT JOIN fill ON p.id = fill.rid
+LEFT JOIN lv ON lv.code = round_even(coalesce(p.y, fill.v, (SELECT avg(y) FROM p)), 0)""")
+def q_knn_impute_cat(spark, d):
+    p = parts(spark, d).withColumn("ptype", F.when(~F.col("masked"), F.col("p_type")))
+    out = knn.knn_impute_categorical(p.select("p_partkey", "ptype", "f1", "f2"), "p_partkey", "ptype", ["f1", "f2"],
+                                     k=K, rounding="nearest", out="p_type")
+    return out.select("p_partkey", "p_type")
+
+
+# ------------------------------------------------------------------ L1, L2 on embeddings
+
+EMB_LABELLED_SQL = "substr(md5(CAST(vec_id AS VARCHAR)), 1, 1) < '4'"
+EMB_SQDIST_SQL = ("list_reduce(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])), "
+                  "lambda x, y: x + y)")
+EMB_PAIRS_SQL = f"""e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label, {EMB_LABELLED_SQL} AS labelled FROM embeddings),
+pairs AS (SELECT a.vec_id AS src, b.vec_id AS dst, {EMB_SQDIST_SQL} AS sq FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+nn AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY sq, dst) AS rk FROM pairs)"""
+
+
+def embeddings(spark, d):
+    e = table(spark, d, "embeddings")
+    labelled = F.substring(F.md5(F.col("vec_id").cast("string")), 1, 1) < "4"
+    return e.withColumn("seed_label", F.when(labelled, F.col("label")))
+
+
+@query("knn_graph", f"""
+WITH {EMB_PAIRS_SQL}
+SELECT src, dst, CAST(rk AS INTEGER) AS rank FROM nn WHERE rk <= {K}""")
+def q_knn_graph(spark, d):
+    g = knn.knn_graph(embeddings(spark, d), "vec_id", "embedding", k=K)
+    return g.select("src", "dst", "rank")
+
+
+@query("propagate_one_step", f"""
+WITH {EMB_PAIRS_SQL},
+edges AS (SELECT src, dst FROM nn WHERE rk <= {K - 1} UNION ALL SELECT vec_id, vec_id FROM e),
+seeds AS (SELECT vec_id AS node, label AS class FROM e WHERE labelled),
+raw AS (SELECT g.src AS node, s.class, count(*) AS m FROM edges g JOIN seeds s ON g.dst = s.node GROUP BY ALL)
+SELECT node, class, {R4('m * 1.0 / sum(m) OVER (PARTITION BY node)')} AS p FROM raw WHERE node NOT IN (SELECT node FROM seeds)
+UNION ALL SELECT node, class, 1.0 AS p FROM seeds""")
+def q_propagate_one(spark, d):
+    nodes = embeddings(spark, d)
+    edges = knn.knn_graph(nodes, "vec_id", "embedding", k=K, include_self=True)
+    seeds = ssl.initial_mass(nodes, "vec_id", "seed_label")
+    step = ssl.propagate_step(edges, seeds, seeds)
+    return step.select("node", "class", r4("p").alias("p"))
+
+
+@query("propagate_labels")
+def q_propagate(spark, d):
+    """Full propagation to convergence (tol 1e-3); rows-only check, tests cover fixed points."""
+    nodes = embeddings(spark, d)
+    edges = knn.knn_graph(nodes, "vec_id", "embedding", k=K, include_self=True)
+    mass, _ = ssl.propagate_labels(edges, nodes, "vec_id", "seed_label")
+    return ssl.pseudo_labels(nodes.select("vec_id", "seed_label", "label"), "vec_id", "seed_label",
+                             mass.withColumnRenamed("node", "node"))
+
+
+# ------------------------------------------------------------------ model table (contracts)
+
+BASE_FEATURES = ["value", "area", "n_lines", "acctbal", "room1", "room2", "room3", "build_year", "house_age", "discount"]
+PROXY_FEATURES = ["n_tenants", "n_short", "n_long", "share_short", "share_long", "ratio_short_long",
+                  "ratio_long_short", "turnover", "seq", "prev_label_code"]
+ONE_HOT = ["prop_type", "region", "priority"]
+
+
+def model_table(spark, d, scheme: str = "random", return_encoder: bool = False):
+    """Labelled contracts with engineered features, a 60/20/20 split and stratified folds on train."""
+    df = labelled_contracts(spark, d).where(F.col("label").isNotNull())
+    df = df.withColumn("house_age", house_age(df))
+    df = groups.tenancy_history(df, "property_id", "contract_id", "label", "house_age")
+    df = window.prev_value(df, "property_id", ["start_ts", "contract_id"], "label", "prev_label", default="n.v.t.")
+    df = df.withColumn("prev_label_code", C.lookup("prev_label", {"n.v.t.": -1, "<=3": 0, ">3": 1}))
+    df = impute.fill_const(df, ["area", "room1", "room2", "room3", "discount"], 0)
+    df = df.withColumns({c: F.col(c).cast("double") for c in BASE_FEATURES + PROXY_FEATURES})
+    if scheme == "random":
+        df = split.random_split_exact(df, "contract_id", seed=SEED)
+    else:
+        df = split.ordered_split(df, [F.col("house_age").desc()], "contract_id", seed=SEED)
+    enc = encode.OneHotWide(ONE_HOT).fit(df.where(F.col("split") == "train"))
+    df = enc.transform(df, keep_input=False)
+    return (df, enc.output_columns(), enc) if return_encoder else (df, enc.output_columns())
+
+
+def _features(onehot, proxies=True):
+    return BASE_FEATURES + (PROXY_FEATURES if proxies else []) + onehot
+
+
+def _metrics_rows(spark, model_name, fit, frames, label="target"):
+    rows = []
+    for stage, f in frames.items():
+        res = ml.evaluate(fit, f, label)
+        rows += [(model_name, stage, k, float(res[k])) for k in ("accuracy", "precision", "recall", "f1", "auc")]
+    return spark.createDataFrame(rows, "model string, stage string, metric string, value double")
+
+
+def _fit_and_score(spark, d, model_name, params=None, weight=None):
+    df, oh = model_table(spark, d)
+    df = encode.assemble(df, _features(oh)).persist()
+    train = df.where(F.col("split") == "train")
+    if weight:
+        train = ml.class_weight(train, "target", weight)
+    fit = ml.MODELS[model_name](params, label="target", weight="weight" if weight else None).fit(train)
+    out = _metrics_rows(spark, model_name, fit, {"val": df.where(F.col("split") == "val"),
+                                                 "test": df.where(F.col("split") == "test")})
+    return out
+
+
+@query("model_tree")
+def q_model_tree(spark, d):
+    return _fit_and_score(spark, d, "tree", {"maxDepth": 6, "minInstancesPerNode": 5})
+
+
+@query("model_forest")
+def q_model_forest(spark, d):
+    return _fit_and_score(spark, d, "forest", {"numTrees": 30, "maxDepth": 8})
+
+
+@query("model_gbt")
+def q_model_gbt(spark, d):
+    return _fit_and_score(spark, d, "boosted", {"maxIter": 20, "maxDepth": 4})
+
+
+@query("model_gbt_weighted")
+def q_model_gbt_weighted(spark, d):
+    return _fit_and_score(spark, d, "boosted", {"maxIter": 20, "maxDepth": 4}, weight=1.5)
+
+
+def train_with_folds(spark, d, proxies=True):
+    df, oh = model_table(spark, d)
+    train = df.where(F.col("split") == "train")
+    train = split.stratified_folds(train, "target", ["contract_id"], k=5)
+    return encode.assemble(train, _features(oh, proxies)), oh
+
+
+@query("cv_scores")
+def q_cv_scores(spark, d):
+    train, _ = train_with_folds(spark, d)
+    train = train.persist()
+    scores = ml.cv_scores(lambda: ml.tree({"maxDepth": 6}, label="target"), train, "fold", "target", k=5)
+    rows = [(f, s) for f, s in scores]
+    out = spark.createDataFrame(rows, "fold int, f1 double")
+    return out.unionByName(out.agg(F.lit(-1).alias("fold"), F.avg("f1").alias("f1")))
+
+
+TREE_SPACE = {"maxDepth": (2, 12), "minInstancesPerNode": (1, 20), "impurity": ["gini", "entropy"]}
+
+
+@query("random_search")
+def q_random_search(spark, d):
+    """Seeded search (10 draws x 5 folds) -> trial log with best-so-far (W5) and the best flag."""
+    train, _ = train_with_folds(spark, d)
+    log = ml.random_search("tree", TREE_SPACE, 10, train, "fold", "target", seed=SEED)
+    log = window.running_best(log, ["trial"], "mean_f1")
+    best = split.best_row(log, "mean_f1", "trial").select(F.col("trial").alias("__best"))
+    return log.join(best, log["trial"] == best["__best"], "left").withColumn(
+        "is_best", F.col("__best").isNotNull()).drop("__best")
+
+
+@query("permutation_importance")
+def q_perm_importance(spark, d):
+    df, oh = model_table(spark, d)
+    feats = _features(oh)
+    data = encode.assemble(df, feats)
+    fit = ml.tree({"maxDepth": 6}, label="target").fit(data.where(F.col("split") == "train"))
+    test = df.where(F.col("split") == "test")
+    return ml.permutation_importance(fit, test, feats, "target", "contract_id", repeats=10, seed=SEED)
+
+
+@query("experiment_metrics")
+def q_experiments(spark, d):
+    frames, sets = {}, {}
+    for scheme in ("random", "ordered"):
+        df, oh = model_table(spark, d, scheme)
+        frames[scheme] = df.persist()
+        sets = {"with_proxies": _features(oh), "without_proxies": _features(oh, proxies=False)}
+    params = {"tree": {"maxDepth": 6}, "forest": {"numTrees": 20, "maxDepth": 8}, "boosted": {"maxIter": 15, "maxDepth": 4}}
+    return ml.experiment_grid(frames, sets, ["tree", "forest", "boosted"], "target", params=params)
+
+
+@query("pseudo_label_train")
+def q_pseudo_label(spark, d):
+    """L3: propagate labels over a 5-NN graph of standardised contract features (labelled
+    train+val rows of the ordered scheme plus the unlabelled contracts), refit weighted boosted
+    trees on real plus pseudo labels, score on the test split."""
+    lab, oh, enc = model_table(spark, d, "ordered", return_encoder=True)
+    allc = labelled_contracts(spark, d)
+    graph_cols = ["value", "acctbal", "build_year"]
+    z = profile.zscore(allc.select("contract_id", *graph_cols), graph_cols)
+    vec = F.array(*[F.coalesce(F.col(f"{c}_z"), F.lit(0.0)) for c in graph_cols])
+    known = lab.where(F.col("split").isin("train", "val")).select("contract_id", F.col("target").alias("seed_label"))
+    unknown = allc.where(F.col("label").isNull()).select("contract_id", F.lit(None).cast("int").alias("seed_label"))
+    nodes = known.unionByName(unknown).join(z.select("contract_id", vec.alias("vec")), "contract_id")
+    edges = knn.knn_graph(nodes, "contract_id", "vec", k=K, include_self=True)
+    mass, _ = ssl.propagate_labels(edges, nodes, "contract_id", "seed_label")
+    pseudo = ssl.pseudo_labels(nodes, "contract_id", "seed_label", mass).select("contract_id", "pseudo")
+
+    feats = BASE_FEATURES + oh
+    real = lab.where(F.col("split").isin("train", "val")).select(*feats, F.col("target").alias("y"))
+    unl = allc.where(F.col("label").isNull())
+    unl = impute.fill_const(unl.withColumn("house_age", house_age(unl)), ["area", "room1", "room2", "room3", "discount"], 0)
+    unl = enc.transform(unl).join(pseudo, "contract_id").select(
+        *[F.col(c).cast("double").alias(c) for c in BASE_FEATURES], *oh, F.col("pseudo").cast("int").alias("y"))
+    train = encode.assemble(ml.class_weight(real.unionByName(unl), "y", 1.5), feats)
+    fit = ml.boosted({"maxIter": 15, "maxDepth": 4}, label="y", weight="weight").fit(train)
+    test = encode.assemble(lab.where(F.col("split") == "test"), feats)
+    return _metrics_rows(spark, "boosted_pseudo", fit, {"test": test})
