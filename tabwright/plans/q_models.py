@@ -317,7 +317,7 @@ def q_pseudo_label(spark, d):
     feats = BASE_FEATURES + oh
     real = lab.where(F.col("split").isin("train", "val")).select(*feats, F.col("target").alias("y"))
     unl = allc.where(F.col("label").isNull())
-    unl = impute.fill_const(unl.withColumn("house_age", house_age(unl)), ["area", "room1", "room2", "room3", "discount"], 0)
+    unl = impute.fill_const(unl.withColumn("house_age", house_age(unl)), ["area", "room1", "room2", "room3", "discount", "n_lines"], 0)
     unl = enc.transform(unl).join(pseudo, "contract_id").select(
         *[F.col(c).cast("double").alias(c) for c in BASE_FEATURES], *oh, F.col("pseudo").cast("int").alias("y"))
     train = encode.assemble(ml.class_weight(real.unionByName(unl), "y", 1.5), feats)
