@@ -86,6 +86,21 @@ def group_row_index(df: DataFrame, by: Sequence[str], order: Sequence[str | Colu
             .drop("__gidx", "__start", "__pid"))
 
 
+def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], k: int,
+                    salt_col: str | Column, salt_buckets: int = 256, out: str = "rank") -> DataFrame:
+    """Exact ``k`` first rows per group in ``order`` without one task per group: rows are first
+    ranked inside (group, salt bucket) and cut at ``k`` (a hot group is spread over
+    ``salt_buckets`` tasks), then the at most ``salt_buckets * k`` survivors of each group are
+    ranked again. The global k first rows of a group are among the k first of their bucket, so
+    the result is exact."""
+    salt = (F.col(salt_col) if isinstance(salt_col, str) else salt_col)
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(salt_buckets)))
+    w1 = Window.partitionBy(*by, "__salt").orderBy(*_order_cols(order))
+    first = salted.withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= k).drop("__r1", "__salt")
+    w2 = Window.partitionBy(*by).orderBy(*_order_cols(order))
+    return first.withColumn(out, F.row_number().over(w2)).where(F.col(out) <= k)
+
+
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (),
                     names: Sequence[str] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation between closest ranks; nulls ignored.
