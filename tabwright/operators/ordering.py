@@ -41,15 +41,17 @@ def global_row_index(df: DataFrame, order: Sequence[str | Column], out: str = "r
     ranged = materialize(ranged)
     tagged = ranged.select("*", F.spark_partition_id().alias("__pid"),
                            F.monotonically_increasing_id().alias("__mid"))
-    # One row per non-empty partition: bounded by the partition count, safe to broadcast.
-    counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
-    offsets = counts.select(
-        "__pid",
-        F.coalesce(F.sum("__cnt").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("__off"))
-    return (tagged.join(F.broadcast(offsets), "__pid")
-            .withColumn(out, F.col("__off") + F.col("__mid").bitwiseAND(F.lit(_LOW33)))
-            .drop("__off", "__mid"))
+    # One count per partition (bounded by the partition count) reaches the driver; the prefix
+    # offsets go back into the plan as a literal array indexed by partition id.
+    counts = dict(tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("c")).collect())
+    n_parts = ranged.rdd.getNumPartitions()
+    offsets, acc = [], 0
+    for p in range(n_parts):
+        offsets.append(acc)
+        acc += counts.get(p, 0)
+    off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("__pid") + 1)
+    return (tagged.withColumn(out, off + F.col("__mid").bitwiseAND(F.lit(_LOW33)))
+            .drop("__mid"))
 
 
 def _null_safe_join(big: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabwright.functions import columns as C
-from tabwright.operators import assoc, filters, joins, profile
+from tabwright.operators import assoc, filters, groups, joins, profile
 from tabwright.plans.common import R4, RND, r4, rnd
 from tabwright.plans.contracts import CUTOFF_YEAR, contracts, labelled_contracts, with_contracts
 from tabwright.plans.q_prep import HOUSE_AGE_SQL, house_age
@@ -278,3 +278,71 @@ def q_chi2(spark, d):
 def q_chi2_test(spark, d):
     """Statistic, p-value and verdict; the p-value has no SQL counterpart in the oracle."""
     return assoc.chi2_test(labelled_contracts(spark, d), CHI_FEATURES, "label")
+
+
+# ------------------------------------------------------------------ A11-A15: group statistics on rows
+
+def _labelled_with_age(spark, d):
+    df = labelled_contracts(spark, d).where(F.col("label").isNotNull())
+    return df.withColumn("house_age", house_age(df))
+
+
+LABELLED_AGE_SQL = f"la AS (SELECT *, {HOUSE_AGE_SQL} AS house_age FROM lc WHERE label IS NOT NULL)"
+
+
+@query("group_mean_property", with_contracts(f"""
+SELECT contract_id, {R4('avg(duration_days) OVER (PARTITION BY property_id)')} AS avg_dur_property FROM la""",
+    LABELLED_AGE_SQL))
+def q_group_mean_property(spark, d):
+    out = groups.group_mean(_labelled_with_age(spark, d), "property_id", "duration_days", "avg_dur_property")
+    return out.select("contract_id", r4("avg_dur_property").alias("avg_dur_property"))
+
+
+@query("group_mean_region", with_contracts(f"""
+SELECT contract_id, {R4('avg(duration_days) OVER (PARTITION BY region)')} AS avg_dur_region FROM la""",
+    LABELLED_AGE_SQL))
+def q_group_mean_region(spark, d):
+    out = groups.group_mean(_labelled_with_age(spark, d), "region", "duration_days", "avg_dur_region")
+    return out.select("contract_id", r4("avg_dur_region").alias("avg_dur_region"))
+
+
+HIST_SQL = f"""{LABELLED_AGE_SQL},
+h AS (SELECT property_id, count(DISTINCT contract_id) AS n_tenants,
+             count(DISTINCT CASE WHEN label = '<=3' THEN contract_id END) AS n_short,
+             count(DISTINCT CASE WHEN label = '>3' THEN contract_id END) AS n_long
+      FROM la GROUP BY property_id),
+hist AS (SELECT la.contract_id, la.house_age, h.* EXCLUDE (property_id) FROM la JOIN h USING (property_id))"""
+
+
+@query("group_nunique", with_contracts("SELECT contract_id, CAST(n_tenants AS BIGINT) AS n_tenants FROM hist", HIST_SQL))
+def q_group_nunique(spark, d):
+    out = groups.group_nunique(_labelled_with_age(spark, d), "property_id", "contract_id", "n_tenants")
+    return out.select("contract_id", "n_tenants")
+
+
+@query("group_nunique_if", with_contracts(
+    "SELECT contract_id, CAST(n_short AS BIGINT) AS n_short, CAST(n_long AS BIGINT) AS n_long FROM hist", HIST_SQL))
+def q_group_nunique_if(spark, d):
+    out = groups.group_nunique_if(_labelled_with_age(spark, d), "property_id", "contract_id",
+                                  {"n_short": F.col("label") == "<=3", "n_long": F.col("label") == ">3"})
+    return out.select("contract_id", "n_short", "n_long")
+
+
+@query("history_ratios", with_contracts(f"""
+SELECT contract_id,
+       {R4('coalesce(n_short * 1.0 / nullif(n_tenants, 0), 0.0)')} AS share_short,
+       {R4('coalesce(n_long * 1.0 / nullif(n_tenants, 0), 0.0)')} AS share_long,
+       {R4('n_short / (n_long + 1e-9)')} AS ratio_short_long,
+       {R4('n_long / (n_short + 1e-9)')} AS ratio_long_short
+FROM hist""", HIST_SQL))
+def q_history_ratios(spark, d):
+    out = groups.tenancy_history(_labelled_with_age(spark, d), "property_id", "contract_id", "label", "house_age")
+    return out.select("contract_id", *[r4(c).alias(c) for c in
+                                       ("share_short", "share_long", "ratio_short_long", "ratio_long_short")])
+
+
+@query("turnover_rate", with_contracts(f"""
+SELECT contract_id, {R4('coalesce(n_tenants * 1.0 / nullif(house_age, 0), 0.0)')} AS turnover FROM hist""", HIST_SQL))
+def q_turnover(spark, d):
+    out = groups.tenancy_history(_labelled_with_age(spark, d), "property_id", "contract_id", "label", "house_age")
+    return out.select("contract_id", r4("turnover").alias("turnover"))
