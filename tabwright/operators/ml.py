@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.operators.encode import assemble
+from tabwright.operators.filters import filter_abs
 from tabwright.operators.metrics import classification_report, roc_auc
-from tabwright.operators.ordering import global_row_index
+from tabwright.operators.ordering import global_row_index, group_row_index
 
 SEED = 777
 
@@ -144,7 +145,6 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], label:
     combos = F.array(*[F.struct(F.lit(f).alias("feat"), F.lit(r).alias("rep")) for f in features for r in range(repeats)])
     exploded = base.select("*", F.explode(combos).alias("__c")).select("*", "__c.feat", "__c.rep").drop("__c")
     # Permutation of positions per (feature, repeat): rank of a seeded hash.
-    from tabwright.operators.ordering import group_row_index
     keyed = exploded.select("feat", "rep", "__pos",
                             F.xxhash64("__pos", "feat", "rep", F.lit(seed)).alias("__h"))
     perm = group_row_index(keyed, ["feat", "rep"], ["__h", "__pos"], out="__src", size_col=None)
@@ -162,7 +162,7 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], label:
     imp = acc.groupBy("feat").agg(F.avg(F.lit(base_acc) - F.col("acc")).alias("importance_mean"),
                                   F.stddev_pop(F.lit(base_acc) - F.col("acc")).alias("importance_std"))
     base.unpersist()
-    return (imp.where(F.abs("importance_mean") > min_abs)
+    return (filter_abs(imp, "importance_mean", min_abs)
             .withColumnRenamed("feat", "feature").orderBy(F.desc("importance_mean"), "feature"))
 
 
