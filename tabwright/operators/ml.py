@@ -114,17 +114,18 @@ def random_search(model: str, space: Mapping[str, object], n_trials: int, df: Da
     folds = k if k is not None else df.select(F.max(fold_col)).first()[0] + 1
     df = df.persist()
 
-    def one(args):
-        t, params = args
-        f1s = []
-        for f in range(folds):
-            m = MODELS[model](params, label=label).fit(df.where(F.col(fold_col) != f))
-            f1s.append(float(classification_report(predict(m, df.where(F.col(fold_col) == f)), label, "pred").first()["f1"]))
-        return t, json.dumps(params, sort_keys=True), sum(f1s) / len(f1s)
+    def one(job):
+        t, f = job
+        m = MODELS[model](trials[t], label=label).fit(df.where(F.col(fold_col) != f))
+        rep = classification_report(predict(m, df.where(F.col(fold_col) == f)), label, "pred").first()
+        return t, float(rep["f1"])
 
+    # every (trial, fold) fit is an independent job: all of them share the pool
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        rows = list(ex.map(one, enumerate(trials)))
+        scores = list(ex.map(one, [(t, f) for t in range(n_trials) for f in range(folds)]))
     df.unpersist()
+    rows = [(t, json.dumps(trials[t], sort_keys=True), sum(v for tt, v in scores if tt == t) / folds)
+            for t in range(n_trials)]
     spark = df.sparkSession
     return spark.createDataFrame(rows, "trial int, params string, mean_f1 double")
 

@@ -25,6 +25,8 @@ def build_session(master: str | None = None, app: str = "tabwright", shuffle_par
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # reliable checkpoints are removed once the DataFrames that own them are unreachable
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("TABWRIGHT_DRIVER_MEMORY", "16g"))
     )
     for k, v in (extra or {}).items():
