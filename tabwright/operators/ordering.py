@@ -141,10 +141,22 @@ def running_agg(df: DataFrame, order: Sequence[str | Column], value: str, fn: st
     local = idx.withColumn("__local", agg(value).over(w_local))
     # One row per (partition, group): a hot group has at most one row per partition.
     totals = idx.groupBy(*part).agg(agg(value).alias("__tot"))
-    w_carry = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1) \
-        if by else Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.withColumn("__carry", agg("__tot").over(w_carry)).drop("__tot")
-    joined = _null_safe_join(local, carry, part)
+    if by:
+        w_carry = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+        carry = totals.withColumn("__carry", agg("__tot").over(w_carry)).drop("__tot")
+        joined = _null_safe_join(local, carry, part)
+    else:
+        # one total per partition (bounded): carry-ins computed on the driver, back as a literal
+        tot = dict((r["__pid"], r["__tot"]) for r in totals.collect())
+        carries, acc = [], None
+        pyagg = {"max": max, "min": min, "sum": lambda a, b: a + b}[fn]
+        for p in range(max(tot) + 1 if tot else 0):
+            carries.append(acc)
+            if tot.get(p) is not None:
+                acc = tot[p] if acc is None else pyagg(acc, tot[p])
+        arr = F.array(*[F.lit(c) for c in carries]) if carries else F.array()
+        joined = local.withColumn("__carry", F.element_at(arr.cast(f"array<{dict(idx.dtypes)[value]}>"),
+                                                          F.col("__pid") + 1))
     if fn == "sum":
         res = F.col("__local") + F.coalesce(F.col("__carry"), F.lit(0))
     else:

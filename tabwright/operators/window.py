@@ -57,15 +57,18 @@ def rolling_mean(df: DataFrame, key: str, order: Sequence[str | Column], value:
 
 def moving_average(df: DataFrame, order: str, value: str, n: int = 3, by: Sequence[str] = (),
                    out: str = "moving_avg", mode: str = "valid") -> DataFrame:
-    """Trailing mean over ``n`` rows (``np.convolve(..., 'valid') / n``); in ``valid`` mode
-    only rows with a full window are kept. Meant for small per-group series (fold scores,
-    monthly counts): the window partition is the group's series."""
-    w = Window.partitionBy(*by).orderBy(order) if by else Window.orderBy(order)
-    r = df.withColumn("__rn", F.row_number().over(w))
-    r = r.withColumn(out, F.avg(value).over(w.rowsBetween(-(n - 1), 0)))
+    """Trailing mean over ``n`` rows (``np.convolve(x, ones(n)/n, 'valid')`` laid on the
+    last row of each window); in ``valid`` mode only rows with a full window are kept. Built on
+    the same skew-proof numbering and (key, position) lookups as ``rolling_mean``; without ``by``
+    the whole frame is one series (numbered by the global row index, never a partition-less
+    window)."""
+    key = "__series"
+    base = df.withColumn(key, F.to_json(F.struct(*by)) if by else F.lit(""))
+    seq = sequence_no(base, key, [order], out="__seq")
+    out_df = rolling_mean(seq, key, [order], value, out, n=n, seq="__seq")
     if mode == "valid":
-        r = r.where(F.col("__rn") >= n)
-    return r.drop("__rn")
+        out_df = out_df.where(F.col("__seq") >= n)
+    return out_df.drop("__seq", key)
 
 
 def running_best(df: DataFrame, order: Sequence[str | Column], value: str, by: Sequence[str] = (),
