@@ -28,7 +28,8 @@ SEED = 777
 
 def tree(params: Mapping | None = None, label: str = "label", features: str = "features", weight: str | None = None):
     """M1: decision tree. ``min_samples_split`` has no Spark counterpart; depth is capped at 30."""
-    p = {"impurity": "gini", "maxDepth": 5, "minInstancesPerNode": 1, "seed": SEED, **(params or {})}
+    p = {"impurity": "gini", "maxDepth": 5, "minInstancesPerNode": 1, "seed": SEED, "maxMemoryInMB": 1024,
+         **(params or {})}
     p["maxDepth"] = min(int(p["maxDepth"]), 30)
     est = DecisionTreeClassifier(labelCol=label, featuresCol=features, **p)
     return est.setWeightCol(weight) if weight else est
@@ -36,7 +37,8 @@ def tree(params: Mapping | None = None, label: str = "label", features: str = "f
 
 def forest(params: Mapping | None = None, label: str = "label", features: str = "features", weight: str | None = None):
     """M2: random forest (``featureSubsetStrategy`` sqrt / log2 / all)."""
-    p = {"numTrees": 50, "maxDepth": 10, "featureSubsetStrategy": "sqrt", "seed": SEED, **(params or {})}
+    p = {"numTrees": 50, "maxDepth": 10, "featureSubsetStrategy": "sqrt", "seed": SEED, "maxMemoryInMB": 1024,
+         **(params or {})}
     p["maxDepth"] = min(int(p["maxDepth"]), 30)
     est = RandomForestClassifier(labelCol=label, featuresCol=features, **p)
     return est.setWeightCol(weight) if weight else est
@@ -46,7 +48,8 @@ def boosted(params: Mapping | None = None, label: str = "label", features: str =
     """M3/M4: gradient-boosted trees, logistic loss. ``n_estimators -> maxIter``,
     ``learning_rate -> stepSize``, ``subsample -> subsamplingRate``, ``min_child_weight ->
     minInstancesPerNode`` (a count, not a hessian sum), ``gamma -> minInfoGain``."""
-    p = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 1.0, "seed": SEED, **(params or {})}
+    p = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 1.0, "seed": SEED, "maxMemoryInMB": 1024,
+         **(params or {})}
     est = GBTClassifier(labelCol=label, featuresCol=features, lossType="logistic", **p)
     return est.setWeightCol(weight) if weight else est
 
