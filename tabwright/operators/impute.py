@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.functions.columns import col_, is_true, lookup, round_half_even
+from tabwright.functions.columns import is_true, lookup, round_half_even
 
 
 def fill_const(df: DataFrame, cols: Sequence[str], value) -> DataFrame:

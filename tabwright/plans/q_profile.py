@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabwright.functions import columns as C
-from tabwright.operators import assoc, filters, groups, joins, profile
+from tabwright.operators import assoc, groups, joins, profile
 from tabwright.plans.common import R4, RND, r4, rnd
 from tabwright.plans.contracts import CUTOFF_YEAR, contracts, labelled_contracts, with_contracts
 from tabwright.plans.q_prep import HOUSE_AGE_SQL, house_age

@@ -1,6 +1,5 @@
 """Null / NaN / sentinel edge cases (FIXTURES F9) for expressions and rules."""
 
-import math
 
 import pytest
 from pyspark.sql import functions as F

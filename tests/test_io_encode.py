@@ -2,7 +2,6 @@
 
 import tempfile
 
-import pytest
 from pyspark.sql import functions as F
 
 from tabwright.functions import columns as C

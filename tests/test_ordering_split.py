@@ -1,6 +1,5 @@
 """Global/group row index, exact quantiles, splits and folds."""
 
-import math
 
 import pytest
 from pyspark.sql import functions as F
