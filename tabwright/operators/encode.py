@@ -1,7 +1,8 @@
 """Encoding and feature assembly.
 
-Fitting collects only the level lists (bounded by column cardinality) to the driver; applying is
-a pure projection, so fitting on one split and applying to all splits never leaks rows across.
+Fitting collects only the level lists to the driver, and only after a distributed cardinality
+check (HyperLogLog, partial aggregates) has shown they are bounded; applying is a pure projection,
+so fitting on one split and applying to all splits never leaks rows across.
 """
 
 from __future__ import annotations
@@ -14,6 +15,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+MAX_LEVELS = 4096
+
+
+def level_lists(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list]:
+    """Sorted non-null distinct values of each column. One approximate-distinct pass proves the
+    lists are small before the exact ``collect_set`` pass brings them to the driver; a column
+    with more levels than ``max_levels`` is an identifier, not a category, and is refused."""
+    approx = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in cols]).first()
+    wide = {c: approx[c] for c in cols if approx[c] > max_levels}
+    if wide:
+        raise ValueError(f"too many levels to encode (approximate counts): {wide}")
+    row = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols]).first()
+    return {c: list(row[c]) for c in cols}
+
+
 def label_encode(df: DataFrame, col: str, out: str | None = None):
     """Sorted distinct levels -> 0..n-1 (alphabetical, like a label encoder); null stays
     null. Returns (frame, fitted indexer model)."""
@@ -38,10 +54,10 @@ class OneHotWide:
     cols: Sequence[str]
     drop_first: bool = True
     levels: Mapping[str, list] = field(default_factory=dict)
+    max_levels: int = MAX_LEVELS
 
     def fit(self, df: DataFrame) -> "OneHotWide":
-        row = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in self.cols]).first()
-        self.levels = {c: list(row[c]) for c in self.cols}
+        self.levels = level_lists(df, self.cols, self.max_levels)
         return self
 
     def output_columns(self) -> list[str]:

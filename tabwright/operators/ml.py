@@ -78,10 +78,18 @@ def evaluate(model, df: DataFrame, label: str) -> dict:
     return rep
 
 
+def with_class_count(df: DataFrame, label: str) -> DataFrame:
+    """Attach the number of classes to the label column as ML metadata, computed once (one
+    aggregate). Without it every fit starts with its own pass over the data to find it."""
+    top = df.agg(F.max(label)).first()[0]
+    return df.withMetadata(label, {"ml_attr": {"type": "nominal", "num_vals": int(top) + 1}})
+
+
 def cv_scores(make_est: Callable, df: DataFrame, fold_col: str, label: str, k: int | None = None,
               parallelism: int = 4) -> list[tuple[int, float]]:
     """M9: F1 of class 1 per fold (train on the other folds). Returns [(fold, f1)]."""
     folds = k if k is not None else df.select(F.max(fold_col)).first()[0] + 1
+    df = with_class_count(df, label)
 
     def one(f):
         m = make_est().fit(df.where(F.col(fold_col) != f))
@@ -115,7 +123,7 @@ def random_search(model: str, space: Mapping[str, object], n_trials: int, df: Da
     rng = random.Random(seed)
     trials = [draw_params(space, rng) for _ in range(n_trials)]
     folds = k if k is not None else df.select(F.max(fold_col)).first()[0] + 1
-    df = df.persist()
+    df = with_class_count(df, label).persist()
 
     def one(job):
         t, f = job
@@ -176,6 +184,7 @@ def experiment_grid(frames: Mapping[str, DataFrame], feature_sets: Mapping[str,
     """{split scheme} x {feature set} x {model}: fit on train + validation, score on test.
     Tidy result (scheme, feature_set, model, metric, value)."""
     jobs = [(s, fs, m) for s in frames for fs in feature_sets for m in models]
+    frames = {s: with_class_count(f, label) for s, f in frames.items()}
 
     def one(job):
         s, fs, m = job

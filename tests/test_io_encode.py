@@ -2,6 +2,8 @@
 
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tabwright.functions import columns as C
@@ -83,3 +85,13 @@ def test_knn_categorical_floor_vs_nearest(spark):
     flo = {r["id"]: r["t"] for r in knn.knn_impute_categorical(df, "id", "t", ["f"], k=3, rounding="floor").collect()}
     assert near[5] == "b" and flo[5] == "a"
     assert all(near[i] == t for i, t, _ in rows[:4])
+
+
+def test_level_lists_refuse_identifier_columns(spark):
+    from tabwright.operators.encode import OneHotWide, level_lists
+    df = spark.range(0, 3000).select((F.col("id") % 3).cast("string").alias("c"), F.col("id").alias("k"))
+    assert level_lists(df, ["c"]) == {"c": ["0", "1", "2"]}
+    with pytest.raises(ValueError, match="too many levels"):
+        level_lists(df, ["k"], max_levels=100)
+    with pytest.raises(ValueError, match="too many levels"):
+        OneHotWide(["c", "k"], max_levels=100).fit(df)
