@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import random
+from functools import reduce
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -85,6 +86,16 @@ def with_class_count(df: DataFrame, label: str) -> DataFrame:
     return df.withMetadata(label, {"ml_attr": {"type": "nominal", "num_vals": int(top) + 1}})
 
 
+def fold_scores(fitted: Sequence[tuple[int, object]], df: DataFrame, fold_col: str, label: str) -> list[tuple[int, float]]:
+    """F1 of class 1 on each held-out fold, each fold scored by its own model: the predictions of
+    all folds form one union and one grouped aggregate (two jobs, not two per fold)."""
+    parts = [predict(m, df.where(F.col(fold_col) == f)).select(fold_col, label, "pred") for f, m in fitted]
+    scored = reduce(DataFrame.unionByName, parts)
+    got = {int(r[fold_col]): float(r["f1"]) for r in
+           classification_report(scored, label, "pred", by=[fold_col]).collect()}
+    return [(f, got.get(f, 0.0)) for f, _ in sorted(fitted, key=lambda x: x[0])]
+
+
 def cv_scores(make_est: Callable, df: DataFrame, fold_col: str, label: str, k: int | None = None,
               parallelism: int = 4) -> list[tuple[int, float]]:
     """M9: F1 of class 1 per fold (train on the other folds). Returns [(fold, f1)]."""
@@ -92,12 +103,11 @@ def cv_scores(make_est: Callable, df: DataFrame, fold_col: str, label: str, k: i
     df = with_class_count(df, label)
 
     def one(f):
-        m = make_est().fit(df.where(F.col(fold_col) != f))
-        rep = classification_report(predict(m, df.where(F.col(fold_col) == f)), label, "pred").first()
-        return f, float(rep["f1"])
+        return f, make_est().fit(df.where(F.col(fold_col) != f))
 
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        return sorted(ex.map(one, range(folds)))
+        fitted = list(ex.map(one, range(folds)))
+    return fold_scores(fitted, df, fold_col, label)
 
 
 def draw_params(space: Mapping[str, object], rng: random.Random) -> dict:
@@ -125,15 +135,20 @@ def random_search(model: str, space: Mapping[str, object], n_trials: int, df: Da
     folds = k if k is not None else df.select(F.max(fold_col)).first()[0] + 1
     df = with_class_count(df, label).persist()
 
-    def one(job):
-        t, f = job
-        m = MODELS[model](trials[t], label=label).fit(df.where(F.col(fold_col) != f))
-        rep = classification_report(predict(m, df.where(F.col(fold_col) == f)), label, "pred").first()
-        return t, float(rep["f1"])
+    def fit(t, f):
+        return MODELS[model](trials[t], label=label).fit(df.where(F.col(fold_col) != f))
 
-    # every (trial, fold) fit is an independent job: all of them share the pool
-    with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        scores = list(ex.map(one, [(t, f) for t in range(n_trials) for f in range(folds)]))
+    # every (trial, fold) fit is an independent job in one pool; a trial is scored as soon as its
+    # folds are fitted, all folds in one aggregate
+    with ThreadPoolExecutor(max_workers=parallelism) as fits, \
+            ThreadPoolExecutor(max_workers=max(1, parallelism // 4)) as evals:
+        futs = {(t, f): fits.submit(fit, t, f) for t in range(n_trials) for f in range(folds)}
+
+        def score(t):
+            fitted = [(f, futs[(t, f)].result()) for f in range(folds)]
+            return [(t, v) for _, v in fold_scores(fitted, df, fold_col, label)]
+
+        scores = [x for part in evals.map(score, range(n_trials)) for x in part]
     df.unpersist()
     rows = [(t, json.dumps(trials[t], sort_keys=True), sum(v for tt, v in scores if tt == t) / folds)
             for t in range(n_trials)]
