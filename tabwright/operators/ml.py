@@ -136,19 +136,15 @@ def random_search(model: str, space: Mapping[str, object], n_trials: int, df: Da
     df = with_class_count(df, label).persist()
 
     def fit(t, f):
-        return MODELS[model](trials[t], label=label).fit(df.where(F.col(fold_col) != f))
+        m = MODELS[model](trials[t], label=label).fit(df.where(F.col(fold_col) != f))
+        # scored in its own pool as soon as it is fitted: fit threads go on to the next fit
+        return evals.submit(lambda: fold_scores([(f, m)], df, fold_col, label)[0][1])
 
-    # every (trial, fold) fit is an independent job in one pool; a trial is scored as soon as its
-    # folds are fitted, all folds in one aggregate
+    # every (trial, fold) fit is an independent job in one pool
     with ThreadPoolExecutor(max_workers=parallelism) as fits, \
-            ThreadPoolExecutor(max_workers=max(1, parallelism // 4)) as evals:
-        futs = {(t, f): fits.submit(fit, t, f) for t in range(n_trials) for f in range(folds)}
-
-        def score(t):
-            fitted = [(f, futs[(t, f)].result()) for f in range(folds)]
-            return [(t, v) for _, v in fold_scores(fitted, df, fold_col, label)]
-
-        scores = [x for part in evals.map(score, range(n_trials)) for x in part]
+            ThreadPoolExecutor(max_workers=max(1, parallelism // 2)) as evals:
+        futs = [(t, fits.submit(fit, t, f)) for t in range(n_trials) for f in range(folds)]
+        scores = [(t, fut.result().result()) for t, fut in futs]
     df.unpersist()
     rows = [(t, json.dumps(trials[t], sort_keys=True), sum(v for tt, v in scores if tt == t) / folds)
             for t in range(n_trials)]
