@@ -162,8 +162,8 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], label:
     position), unique keys). One ``transform`` scores all copies; accuracy per (feature, repeat)
     is one aggregate."""
     spark = df.sparkSession
-    base = global_row_index(df.select(id_col, label, *features), [id_col], out="__pos").drop("__pid").persist()
-    n = base.count()
+    # the row index is checkpointed inside global_row_index: its three uses below re-read those files
+    base = global_row_index(df.select(id_col, label, *features), [id_col], out="__pos").drop("__pid")
     base_acc = classification_report(predict(model, assemble(base, features)), label, "pred").first()["accuracy"]
     combos = F.array(*[F.struct(F.lit(f).alias("feat"), F.lit(r).alias("rep")) for f in features for r in range(repeats)])
     exploded = base.select("*", F.explode(combos).alias("__c")).select("*", "__c.feat", "__c.rep").drop("__c")
@@ -184,7 +184,6 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], label:
     acc = scored.groupBy("feat", "rep").agg(F.avg((F.col("pred") == F.col(label)).cast("double")).alias("acc"))
     imp = acc.groupBy("feat").agg(F.avg(F.lit(base_acc) - F.col("acc")).alias("importance_mean"),
                                   F.stddev_pop(F.lit(base_acc) - F.col("acc")).alias("importance_std"))
-    base.unpersist()
     return (filter_abs(imp, "importance_mean", min_abs)
             .withColumnRenamed("feat", "feature").orderBy(F.desc("importance_mean"), "feature"))
 
