@@ -112,3 +112,30 @@ def test_moving_average_valid_golden(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([0.66, 0.68, 0.67, 0.67, 0.66])], "fold int, f1 double")
     got = [r["moving_avg"] for r in window.moving_average(df, "fold", "f1", n=3).orderBy("fold").collect()]
     assert got == pytest.approx([0.67, 0.673333, 0.666667], abs=1e-6)
+
+
+def test_window_operators_on_hot_key_match_pandas(spark):
+    # key 0 holds a third of 1,200 rows over 6 input partitions; values have nulls and ties in time
+    n = 1200
+    df = (spark.range(0, n).repartition(6)
+          .select("id",
+                  F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 17 + 1).alias("key"),
+                  ((F.col("id") * 37) % 101).alias("t"),
+                  F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise((F.col("id") * 13) % 29).cast("double").alias("v")))
+    order = ["t", "id"]
+    out = window.sequence_no(df, "key", order)
+    out = window.prev_value(out, "key", order, "v", "prev_v", default=-1.0)
+    out = window.rolling_mean(out, "key", order, "v", "roll_v", n=3)
+    got = out.toPandas().sort_values("id").reset_index(drop=True)
+
+    pdf = df.toPandas().sort_values(["key", "t", "id"]).reset_index(drop=True)
+    g = pdf.groupby("key", sort=False)
+    pdf["seq"] = g.cumcount() + 1
+    pdf["prev_v"] = g["v"].shift(1).fillna(-1.0)
+    pdf["roll_v"] = g["v"].transform(lambda s: s.rolling(3, min_periods=1).mean())
+    want = pdf.sort_values("id").reset_index(drop=True)
+
+    assert (got["seq"].to_numpy() == want["seq"].to_numpy()).all()
+    assert got["prev_v"].tolist() == pytest.approx(want["prev_v"].tolist(), nan_ok=True)
+    assert got["roll_v"].tolist() == pytest.approx(want["roll_v"].tolist(), nan_ok=True)
+    assert (got["key"] == 0).sum() == n // 3
