@@ -139,3 +139,21 @@ def test_window_operators_on_hot_key_match_pandas(spark):
     assert got["prev_v"].tolist() == pytest.approx(want["prev_v"].tolist(), nan_ok=True)
     assert got["roll_v"].tolist() == pytest.approx(want["roll_v"].tolist(), nan_ok=True)
     assert (got["key"] == 0).sum() == n // 3
+
+
+def test_group_quantiles_and_running_max_on_hot_key(spark):
+    n = 1500
+    df = (spark.range(0, n).repartition(7)
+          .select("id",
+                  F.when(F.col("id") % 3 == 1, F.lit(5)).otherwise(F.col("id") % 9).alias("key"),
+                  (((F.col("id") * 7919) % 503) / 7.0).alias("v")))
+    q = ordering.exact_quantiles(df, "v", [0.1, 0.25, 0.5, 0.9], by=["key"], names=["a", "b", "c", "d"]).toPandas()
+    pdf = df.toPandas()
+    for _, r in q.iterrows():
+        s = pdf.loc[pdf["key"] == r["key"], "v"]
+        assert [r["a"], r["b"], r["c"], r["d"]] == pytest.approx([s.quantile(x) for x in (0.1, 0.25, 0.5, 0.9)])
+    assert sorted(q["key"]) == sorted(pdf["key"].unique())
+
+    run = ordering.running_agg(df, ["id"], "v", fn="max", by=["key"], out="best").toPandas().sort_values("id")
+    want = pdf.set_index("id").sort_index().groupby("key")["v"].cummax()
+    assert run["best"].tolist() == pytest.approx(want.loc[run["id"].to_numpy()].tolist())
