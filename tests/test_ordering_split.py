@@ -4,7 +4,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tabwright.operators import ordering, split, window
+from tabwright.operators import groups, ordering, split, window
 
 
 def test_global_row_index_is_a_permutation(spark):
@@ -157,3 +157,23 @@ def test_group_quantiles_and_running_max_on_hot_key(spark):
     run = ordering.running_agg(df, ["id"], "v", fn="max", by=["key"], out="best").toPandas().sort_values("id")
     want = pdf.set_index("id").sort_index().groupby("key")["v"].cummax()
     assert run["best"].tolist() == pytest.approx(want.loc[run["id"].to_numpy()].tolist())
+
+
+def test_group_statistics_on_hot_key_match_pandas(spark):
+    n = 1800
+    df = (spark.range(0, n).repartition(6)
+          .select("id",
+                  F.when(F.col("id") % 3 == 2, F.lit(7)).otherwise(F.col("id") % 13).alias("key"),
+                  ((F.col("id") * 31) % 47).cast("double").alias("v"),
+                  ((F.col("id") * 17) % 23).alias("c"),
+                  F.when(F.col("id") % 4 == 0, "x").otherwise("y").alias("lab")))
+    out = groups.group_mean(df, "key", "v", "m")
+    out = groups.group_nunique(out, "key", "c", "nu")
+    out = groups.group_nunique_if(out, "key", "c", {"nu_x": F.col("lab") == "x"})
+    got = out.toPandas().set_index("id").sort_index()
+    pdf = df.toPandas().set_index("id").sort_index()
+    g = pdf.groupby("key")
+    assert got["m"].tolist() == pytest.approx(g["v"].transform("mean").tolist())
+    assert got["nu"].tolist() == g["c"].transform("nunique").tolist()
+    nx = pdf[pdf["lab"] == "x"].groupby("key")["c"].nunique()
+    assert got["nu_x"].tolist() == pdf["key"].map(nx).fillna(0).astype(int).tolist()
