@@ -83,6 +83,8 @@ def with_class_count(df: DataFrame, label: str) -> DataFrame:
     """Attach the number of classes to the label column as ML metadata, computed once (one
     aggregate). Without it every fit starts with its own pass over the data to find it."""
     top = df.agg(F.max(label)).first()[0]
+    if top is None:   # no labelled row: leave it to the estimator to report
+        return df
     return df.withMetadata(label, {"ml_attr": {"type": "nominal", "num_vals": int(top) + 1}})
 
 
