@@ -7,6 +7,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from tabwright.session import ensure_checkpoint_dir
@@ -14,6 +16,14 @@ from tabwright.session import ensure_checkpoint_dir
 # ASCII white space \x09-\x0D and \x20: the separators of `[^\x20\x09-\x0D]+` words
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+# kinds of a byte for cutting pre-tokens; K_WIDE belongs to characters beyond ASCII
+K_SPACE, K_LETTER, K_DIGIT, K_OTHER, K_WIDE = range(5)
+KIND = np.full(256, K_OTHER, np.uint8)
+KIND[SPACE] = K_SPACE
+KIND[28:32] = K_WIDE  # read as white space by some pattern engines: no cut beside them
+KIND[[*range(65, 91), *range(97, 123)]] = K_LETTER
+KIND[48:58] = K_DIGIT
+KIND[128:] = K_WIDE
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -121,3 +131,58 @@ def gather(values: np.ndarray, offs: np.ndarray, codes: np.ndarray) -> np.ndarra
     ends = np.cumsum(lens)
     at = np.arange(ends[-1]) + np.repeat(offs[:-1][codes] - (ends - lens), lens)
     return values[at]
+
+
+def pack_ints(*arrays: np.ndarray) -> bytes:
+    """Compressed arrays of non-negative integers, stored byte plane by byte plane."""
+    out = []
+    for a in arrays:
+        a = np.asarray(a, np.uint64)
+        width = max(1, -(-int(a.max()).bit_length() // 8)) if len(a) else 1
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8)[:, :width].T
+        out += [np.array([width, len(a)], np.int64).tobytes(), np.ascontiguousarray(planes).tobytes()]
+    return zstandard.compress(b"".join(out), 3)
+
+
+def unpack_ints(blob: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.decompress(blob), 0, []
+    while at < len(raw):
+        width, n = (int(x) for x in np.frombuffer(raw, np.int64, 2, at))
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :width] = np.frombuffer(raw, np.uint8, width * n, at + 16).reshape(width, n).T
+        out.append(a.view(np.uint64).ravel().astype(np.int64) if n else np.zeros(0, np.int64))
+        at += 16 + width * n
+    return out
+
+
+def common_first(codes: np.ndarray, vocab: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Renumber codes so that frequent values have small ones, which pack better."""
+    order = np.argsort(-np.bincount(codes, minlength=len(vocab)), kind="stable")
+    rank = np.empty(len(vocab), np.int64)
+    rank[order] = np.arange(len(vocab))
+    return rank[codes], vocab.take(pa.array(order))
+
+
+def chunk_name(part: pa.RecordBatch) -> int:
+    """A name of a chunk of rows by its ids and texts: each evaluation of the same rows agrees on it."""
+    data, offs = text_buffers(part.column("text"))
+    h = xxhash.xxh3_64(np.ascontiguousarray(data).tobytes())
+    h.update(offs.tobytes())
+    h.update(part.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).tobytes())
+    return h.intdigest() - (1 << 63)
+
+
+def ids_and_nulls(part: pa.RecordBatch) -> list[np.ndarray]:
+    """doc_id as non-negative integers, and which are null."""
+    ids = part.column("doc_id")
+    return [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64),
+            ids.is_null().to_numpy(zero_copy_only=False)]
+
+
+def ids_array(ids: np.ndarray, nulls: np.ndarray) -> pa.Array:
+    return pa.array(ids.astype(np.int64), pa.int64(), mask=nulls.astype(bool))
+
+
+def list_of(values: pa.Array) -> pa.Array:
+    """One row that holds all ``values``."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)

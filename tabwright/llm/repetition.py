@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import SPACE, encode, string_array, text_buffers, text_slices, words
@@ -84,8 +84,11 @@ def covered_words(longest: np.ndarray, offs: np.ndarray, min_words: int) -> np.n
     return np.maximum.accumulate(reach) > np.arange(n) if n else np.zeros(0, bool)
 
 
-def repetition_report(docs: DataFrame, min_words: int = 8, slice_bytes: int = 2 << 20) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, longest_repeat) per document."""
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat"]
+
+
+def measure(text: pa.Array, min_words: int) -> list[np.ndarray]:
+    """MEASURES of each text."""
     symbol = np.zeros(256, bool)
     symbol[[ord(c) for c in SYMBOLS]] = True
 
@@ -93,51 +96,75 @@ def repetition_report(docs: DataFrame, min_words: int = 8, slice_bytes: int = 2
         ends = np.append(0, np.cumsum(values, dtype=np.int64))
         return ends[offs[1:]] - ends[offs[:-1]]
 
+    n = len(text)
+    data, offs = text_buffers(text)
+    word, woffs = words(data, offs)
+    codes, _ = encode(word)
+    longest = longest_matches(codes, woffs)
+    repeat = covered_words(longest, woffs, min_words)
+    peak = np.zeros(n, np.int64)
+    full = np.flatnonzero(np.diff(woffs))
+    if len(full):
+        peak[full] = np.maximum.reduceat(longest, woffs[:-1][full])
+    # a code point has one byte that is not a continuation byte
+    chars = sums((~SPACE[data]) & ((data & 0xC0) != 0x80), offs)
+    # lines start at texts and after each \n; a line counts if it has a word
+    brk = data == 10
+    starts = np.zeros(len(data) + 1, bool)
+    starts[1:] = brk
+    starts[offs[:-1]] = True
+    starts[len(data)] = False
+    first = np.flatnonzero(starts)
+    dup = np.zeros(n, np.int64)
+    if len(first):
+        ends = np.append(first[1:], len(data)).astype(np.int64)
+        solid = np.append(0, np.cumsum(~SPACE[data], dtype=np.int64))
+        has = solid[ends] > solid[first]
+        # lines are compared without their \n, which the last line of a text may lack
+        kept = np.append(0, np.cumsum(~brk, dtype=np.int64))
+        codes, _ = encode(string_array(data[~brk], np.append(kept[first], kept[-1])))
+        doc = np.searchsorted(offs, first, side="right") - 1
+        doc, codes = doc[has], codes[has].astype(np.int64)
+        once = np.unique((doc << 32) | codes) >> 32
+        dup = np.bincount(doc, minlength=n) - np.bincount(once, minlength=n)
+    return [np.diff(woffs), chars, sums(symbol[data], offs), dup, sums(repeat, woffs), peak]
+
+
+def repetition_report(docs: DataFrame, min_words: int = 8, slice_bytes: int = 2 << 20) -> DataFrame:
+    """(doc_id and MEASURES) per document."""
     def run(batches):
         for part in text_slices(batches, slice_bytes):
-            data, offs = text_buffers(part.column("text"))
-            word, woffs = words(data, offs)
-            codes, _ = encode(word)
-            longest = longest_matches(codes, woffs)
-            repeat = covered_words(longest, woffs, min_words)
-            peak = np.zeros(part.num_rows, np.int64)
-            full = np.flatnonzero(np.diff(woffs))
-            if len(full):
-                peak[full] = np.maximum.reduceat(longest, woffs[:-1][full])
-            # a code point has one byte that is not a continuation byte
-            chars = sums((~SPACE[data]) & ((data & 0xC0) != 0x80), offs)
-            # lines: cut after each \n; a line counts if it has a word
-            brk = data == 10
-            starts = np.zeros(len(data) + 1, bool)
-            starts[1:] = brk
-            starts[offs[:-1]] = True
-            starts[len(data)] = False
-            first = np.flatnonzero(starts)
-            ends = np.append(first[1:], len(data)).astype(np.int64)
-            solid = np.append(0, np.cumsum(~SPACE[data], dtype=np.int64))
-            has = solid[ends] > solid[first] if len(first) else np.zeros(0, bool)
-            dup = np.zeros(part.num_rows, np.int64)
-            if len(first):
-                # the last line of a text has no \n: compare lines without it
-                keep = ~brk
-                at = np.append(0, np.cumsum(keep, dtype=np.int64))
-                codes, _ = encode(string_array(data[keep], np.append(at[first], at[-1])))
-                doc = np.searchsorted(offs, first, side="right") - 1
-                doc, codes = doc[has], codes[has].astype(np.int64)
-                once = np.unique((doc << 32) | codes) >> 32
-                n = part.num_rows
-                dup = np.bincount(doc, minlength=n) - np.bincount(once, minlength=n)
-            yield pa.record_batch([part.column("doc_id"), *(pa.array(v, pa.int64()) for v in (
-                np.diff(woffs), chars, sums(symbol[data], offs), dup, sums(repeat, woffs), peak))],
-                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                       "longest_repeat"])
+            yield pa.record_batch([part.column("doc_id"), *(pa.array(v, pa.int64()) for v in measure(part.column("text"), min_words))],
+                                  names=["doc_id", *MEASURES])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-                         "n_repeat_words long, longest_repeat long")
+        .mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
+
+
+def verdict(prefix: str, min_doc_words: int, max_covered_pct: int, max_longest: int) -> tuple[Column, Column]:
+    """(base_failed, kept): covered share of the words, and the longest repeat in words."""
+    n, repeat, longest = (F.col(prefix + m) for m in ("n_words", "n_repeat_words", "longest_repeat"))
+    failed = (n < min_doc_words) | (100 * repeat > max_covered_pct * n)
+    return failed, ~failed & (longest <= max_longest)
 
 
 def judge(report: DataFrame, min_doc_words: int = 20, max_covered_pct: int = 30, max_longest: int = 40) -> DataFrame:
-    """Add base_failed and kept: covered share of the words, and the longest repeat in words."""
-    failed = (F.col("n_words") < min_doc_words) | (100 * F.col("n_repeat_words") > max_covered_pct * F.col("n_words"))
-    return report.withColumn("base_failed", failed) \
-        .withColumn("kept", ~F.col("base_failed") & (F.col("longest_repeat") <= max_longest))
+    """Add base_failed and kept to a report."""
+    failed, kept = verdict("", min_doc_words, max_covered_pct, max_longest)
+    return report.withColumn("base_failed", failed).withColumn("kept", kept)
+
+
+def keep_quality(docs: DataFrame, min_words: int = 8, min_doc_words: int = 20, max_covered_pct: int = 30,
+                 max_longest: int = 40, slice_bytes: int = 2 << 20) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, all columns as they are, in one pass."""
+    names = [f"__{m}" for m in MEASURES]
+
+    def run(batches):
+        for part in text_slices(batches, slice_bytes):
+            found = measure(part.column("text"), min_words)
+            yield pa.record_batch([*part.columns, *(pa.array(v, pa.int64()) for v in found)],
+                                  names=[*part.schema.names, *names])
+    schema = docs.schema
+    for name in names:
+        schema = schema.add(name, "long")
+    _, kept = verdict("__", min_doc_words, max_covered_pct, max_longest)
+    return docs.mapInArrow(run, schema).where(kept).select(*docs.columns)
