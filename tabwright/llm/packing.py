@@ -23,6 +23,22 @@ from pyspark.sql.window import Window
 from tabwright.llm.common import encode, gather, stage_table, text_buffers, text_slices, units
 
 SLICE_ROWS = 50_000
+# ids of units seen before by this Python worker, by tokenizer file; emptied at CACHE_UNITS
+_SEEN: dict[str, dict[str, bytes]] = {}
+CACHE_UNITS = 400_000
+
+
+def unit_ids(vocab: list[str], tok, seen: dict[str, bytes]) -> list[bytes]:
+    """Little-endian unsigned 32-bit ids of each unit."""
+    new = [w for w in vocab if w not in seen]
+    if len(seen) + len(new) > CACHE_UNITS:
+        seen.clear()
+        new = vocab
+    for a in range(0, len(new), 4096):
+        part = new[a:a + 4096]
+        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
+            seen[w] = np.array(e.ids, "<u4").tobytes()
+    return [seen[w] for w in vocab]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, width: int, end_id: int = 0, with_ids: bool = True,
@@ -33,15 +49,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, width: int, end_id: int = 0, w
     documents once and gathers the documents' ids by position.
     """
     def run(batches):
+        import os
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(tokenizer)
         tok.encode_special_tokens = True
         for part in text_slices(batches, slice_bytes):
             col, offs = units(*text_buffers(part.column("text")))
             codes, vocab = encode(col)
-            lists = [e.ids for e in tok.encode_batch_fast(vocab.to_pylist(), add_special_tokens=False)] if len(vocab) else []
-            flat = np.fromiter((i for x in lists for i in x), np.uint32)
-            voffs = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int64)
+            blobs = unit_ids(vocab.to_pylist(), tok, _SEEN.setdefault(tokenizer, {}))
+            flat = np.frombuffer(b"".join(blobs), "<u4")
+            voffs = np.append(0, np.cumsum([len(x) // 4 for x in blobs])).astype(np.int64)
             ids, nulls = part.column("doc_id"), part.column("doc_id").is_null().to_pylist()
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
             rows = [[], [], [], [], [], []]
