@@ -8,7 +8,7 @@ places are compared, by a 128-bit hash of their lines, with the first window of
 the order (doc_id, row, line). Later windows go. A run longer than a window is covered by its
 windows, forward ones from its start and backward ones from its end, which extends a match both
 ways: a line is deleted exactly when it lies in a run of consecutive lines, of ``min_words`` words
-or more, that equals a run starting earlier. No pairs of occurrences are formed.
+or more and with words in its first and last line, that equals a run starting earlier. No pairs of occurrences are formed.
 
 Cases: a null text stays null and an empty one empty; blank lines belong to runs but start none;
 rows that agree in doc_id and text are one document, whose lines are kept; other columns pass

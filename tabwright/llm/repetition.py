@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.llm.common import SPACE, encode, string_array, text_buffers, text_slices, words
 
@@ -163,8 +164,6 @@ def keep_quality(docs: DataFrame, min_words: int = 8, min_doc_words: int = 20, m
             found = measure(part.column("text"), min_words)
             yield pa.record_batch([*part.columns, *(pa.array(v, pa.int64()) for v in found)],
                                   names=[*part.schema.names, *names])
-    schema = docs.schema
-    for name in names:
-        schema = schema.add(name, "long")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in names)])
     _, kept = verdict("__", min_doc_words, max_covered_pct, max_longest)
     return docs.mapInArrow(run, schema).where(kept).select(*docs.columns)

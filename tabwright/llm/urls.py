@@ -75,12 +75,13 @@ def lexical(parsed: DataFrame) -> DataFrame:
         "hyphens": F.length(url) - F.length(F.translate(url, "-", "")),
         "n_last": F.length(segment),
         "top": F.element_at(labels, -1), "second": F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2)),
-        "segment": F.split("path", "/").getItem(1)}).fillna({"segment": ""})
+        "segment": F.get(F.split("path", "/"), F.lit(1))}).fillna({"segment": ""})
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], max_labelled: int = 50_000, trees: int = 20,
                depth: int = 4, seed: int = 7) -> DataFrame:
-    """``pages`` columns page_id and url with host, path, rule and verdict (allow or block)."""
+    """(page_id, host, path, rule, verdict, predicted): ``verdict`` is the rule's, else ``predicted``,
+    the trees' (each allow or block)."""
     judged = lexical(apply_rules(parse(pages.select("page_id", F.col("url").cast("string").alias("url"))), rules))
     out = ["page_id", "host", "path", "rule"]
     labelled = judged.where(F.col("rule_verdict").isNotNull()).withColumn("y", (F.col("rule_verdict") == "block").cast("double")) \
@@ -90,7 +91,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], max_labelled: int
     kinds = labelled.groupBy("y").agg(F.count("*").alias("n")).collect()  # two rows at most
     if len(kinds) < 2:
         only = "block" if kinds and kinds[0].y == 1 else "allow"
-        return judged.select(*out, F.coalesce("rule_verdict", F.lit(only)).alias("verdict"))
+        return judged.select(*out, F.coalesce("rule_verdict", F.lit(only)).alias("verdict"), F.lit(only).alias("predicted"))
     overall = sum(r.y * r.n for r in kinds) / sum(r.n for r in kinds)
     for s in SUFFIXES:
         # one row per suffix of the labelled sample, so at most max_labelled rows
@@ -103,6 +104,6 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], max_labelled: int
 
     model = GBTClassifier(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=depth, seed=seed) \
         .fit(with_rates(labelled).select("features", "y"))
-    scored = model.transform(with_rates(judged))
-    return scored.select(*out, F.coalesce("rule_verdict", F.when(F.col("prediction") == 1.0, "block").otherwise("allow"))
-                         .alias("verdict"))
+    predicted = F.when(F.col("prediction") == 1.0, "block").otherwise("allow")
+    return model.transform(with_rates(judged)) \
+        .select(*out, F.coalesce("rule_verdict", predicted).alias("verdict"), predicted.alias("predicted"))
