@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabwright.session import ensure_checkpoint_dir
 
@@ -100,29 +101,33 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
 
 
 def units(data: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """Cut texts where white space follows a solid ASCII-separable character.
+    """Cut texts at places where the pre-token pattern always ends a match.
 
-    Each unit is a white-space run with the solid run after it, so no match of the pre-token
-    pattern crosses a cut: every alternative takes white space only before solid characters.
-    A cut is never made after a byte of a wider character, whose white space (U+00A0, U+2003 ...)
-    belongs to the same run.
+    These are: before a white-space run that follows a solid character, and between two ASCII
+    characters of different kind (letter, digit, other), except after an apostrophe, which may
+    begin a contraction. A cut is never made next to a wider character, whose kind is not looked up.
     """
     if len(data) == 0:
         return string_array(data, np.zeros(1, np.int64)), np.zeros(len(offs), np.int64)
-    space = SPACE[data]
-    cut = space.copy()
-    cut[1:] &= ~space[:-1]
-    # after E1 9A 80, E2 80-81 xx, E3 80 80, C2 85, C2 A0 no cut: these may be white space
-    wide = np.zeros(len(data), bool)
-    wide[2:] = np.isin(data[:-2], (0xE1, 0xE2, 0xE3)) & (data[2:] >= 0x80) & (data[1:-1] >= 0x80)
-    wide[1:] |= (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
-    cut[1:] &= ~wide[:-1]
+    kind = KIND[data]
+    cut = np.zeros(len(data), bool)
+    before, here = kind[:-1], kind[1:]
+    cut[1:] = (before != here) & (before != K_SPACE) & (before != K_WIDE) & (here != K_WIDE) & (data[:-1] != 39)
+    # a white-space run may also follow a wide character that is no white space itself
+    wide = np.flatnonzero((before == K_WIDE) & (here == K_SPACE))
+    cut[wide[~_wide_space(data, wide)] + 1] = True
     inner = offs[:-1][np.diff(offs) > 0]
     cut[inner] = True
     starts = np.flatnonzero(cut)
     return string_array(data, np.append(starts, len(data))), np.searchsorted(starts, offs)
 
 
+def _wide_space(data: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether the wide characters that end at ``last`` may be white space (C2 85, C2 A0, E1-E3 xx xx)."""
+    one, two = data[np.maximum(last - 1, 0)], data[np.maximum(last - 2, 0)]
+    return ((one == 0xC2) & ((data[last] == 0x85) | (data[last] == 0xA0))) | ((two >= 0xE1) & (two <= 0xE3) & (one >= 0x80))
+
+
 def gather(values: np.ndarray, offs: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Concatenate values[offs[c]:offs[c+1]] over ``codes``."""
     lens = np.diff(offs)[codes]
@@ -172,6 +177,31 @@ def chunk_name(part: pa.RecordBatch) -> int:
     return h.intdigest() - (1 << 63)
 
 
+def pack_words(vocab: list[bytes]) -> bytes:
+    """Compressed words; none holds byte FF, which no UTF-8 text has."""
+    return zstandard.compress(b"\xff".join(vocab), 3)
+
+
+def unpack_words(blob: bytes) -> list[bytes]:
+    return zstandard.decompress(blob).split(b"\xff")
+
+
+def word_buckets(vocab: list[bytes], buckets: int):
+    """(bucket, places) of a chunk's distinct words: each word belongs to the bucket of its hash."""
+    if not vocab:
+        return
+    bucket = np.array([xxhash.xxh3_64_intdigest(w) for w in vocab], np.uint64) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.append(np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)), len(order)).tolist()
+    for a, b in zip(ends[:-1], ends[1:]):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+def bucket_count(docs: DataFrame, bucket_bytes: int) -> int:
+    """One bucket for so many bytes of text: a bucket's words stay as many however large the table."""
+    return 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes
+
+
 def ids_and_nulls(part: pa.RecordBatch) -> list[np.ndarray]:
     """doc_id as non-negative integers, and which are null."""
     ids = part.column("doc_id")

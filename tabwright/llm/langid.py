@@ -5,7 +5,9 @@ language over all training texts; a known word scores its smoothed log frequency
 A word unseen in training scores the mean log frequency of its longest character n-grams that
 training words contain, from ``longest`` down to single characters. A document scores the sum over
 its words. Tasks keep documents as numbers of a chunk's distinct words; only those distinct words
-are shuffled, scored once over all chunks, and sent back to the chunk.
+are shuffled, packed by a hash of the word, and the task of a hash bucket sends the merged counts
+back to the chunks. N-gram counts live in CELLS hash cells per length, a fixed size that can be
+broadcast whatever the corpus.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; if training has no language
 every text is ``und``; a text none of whose words or characters was seen takes the language with
@@ -20,10 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import (chunk_name, common_first, encode, ids_and_nulls, ids_array, list_of, pack_ints, stage_table,
-                                  text_buffers, text_slices, unpack_ints, words)
+from tabwright.llm.common import (bucket_count, chunk_name, common_first, encode, ids_and_nulls, ids_array, pack_ints, pack_words,
+                                  stage_table, text_buffers, text_slices, unpack_ints, unpack_words, word_buckets, words)
 
 CHUNK_BYTES = 16 << 20
+CELLS = 1 << 17
+TOTALS = pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())]))
+GRAMS = pa.list_(pa.struct([("lang", pa.string()), ("cells", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))]))
 
 
 def letters(token: str) -> str:
@@ -31,114 +36,145 @@ def letters(token: str) -> str:
 
 
 def coded(part: pa.RecordBatch):
-    """Distinct words of a chunk, the code of each word in place, and the documents' offsets."""
+    """Codes of the words in place, distinct words, and the documents' offsets."""
     word, offs = words(*text_buffers(part.column("text")))
     raw_codes, raw = encode(word)
     codes, vocab = encode(pa.array([letters(w) for w in raw.to_pylist()], pa.string()))
     codes = codes[raw_codes] if len(raw_codes) else np.zeros(0, np.int64)
     solid = (pc.utf8_length(vocab).to_numpy(zero_copy_only=False) > 0)[codes] if len(codes) else np.zeros(0, bool)
     ends = np.append(0, np.cumsum(solid))
-    return *common_first(codes[solid], vocab), ends[offs]
+    codes, vocab = common_first(codes[solid], vocab)
+    return codes, vocab.cast(pa.binary()).to_pylist(), ends[offs]
 
 
-def chunk_words(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """(to_chunk, vocab, counts) of (doc_id, text, train_lang, held_out): ``train_lang`` is null for
-    documents that are not learned from; ``counts`` holds the chunk's words by training language."""
+def chunk_words(docs: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
+    """(to_chunk, bucket, places, words, langs, counts) of (doc_id, text, train_lang): the distinct
+    words of each chunk and their counts by training language, packed by bucket."""
     def run(batches):
         for part in text_slices(batches, chunk_bytes):
             codes, vocab, offs = coded(part)
             lang, langs = encode(part.column("train_lang"))
             of_word = np.repeat(np.nan_to_num(lang.astype(float), nan=-1).astype(np.int64), np.diff(offs))
-            pair, n = np.unique((of_word[of_word >= 0] << 32) | codes[of_word >= 0], return_counts=True)
-            counts = pa.StructArray.from_arrays(
-                [langs.take(pa.array(pair >> 32)).cast(pa.string()), vocab.take(pa.array(pair & 0xFFFFFFFF)), pa.array(n)],
-                names=["lang", "word", "n"])
-            yield pa.record_batch([pa.array([chunk_name(part)], pa.int64()), list_of(vocab), list_of(counts)],
-                                  names=["to_chunk", "vocab", "counts"])
-    return docs.mapInArrow(run, "to_chunk long, vocab array<string>, counts array<struct<lang:string,word:string,n:long>>")
+            learned = of_word >= 0
+            counts = np.bincount(codes[learned] * len(langs) + of_word[learned], minlength=len(vocab) * len(langs)) \
+                .reshape(len(vocab), len(langs))
+            chunk, names = chunk_name(part), langs.cast(pa.string()).to_pylist()
+            rows = [(bucket, pack_ints(np.diff(at, prepend=0)), pack_words([vocab[i] for i in at.tolist()]),
+                     names, pack_ints(counts[at].ravel())) for bucket, at in word_buckets(vocab, buckets)]
+            for a in range(0, len(rows), 4096):
+                some = list(zip(*rows[a:a + 4096]))
+                yield pa.record_batch([
+                    pa.array([chunk] * len(some[0]), pa.int64()), pa.array(some[0], pa.int64()), pa.array(some[1], pa.binary()),
+                    pa.array(some[2], pa.binary()), pa.array(some[3], pa.list_(pa.string())), pa.array(some[4], pa.binary())],
+                    names=["to_chunk", "bucket", "places", "words", "langs", "counts"])
+    return docs.mapInArrow(run, "to_chunk long, bucket long, places binary, words binary, langs array<string>, counts binary")
 
 
 def chunk_places(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """(chunk, payload): the documents of each chunk as numbers of its words."""
+    """(chunk, payload, vocab): the documents of each chunk as numbers of its words, and the words."""
     def run(batches):
         for part in text_slices(batches, chunk_bytes):
-            codes, _, offs = coded(part)
+            codes, vocab, offs = coded(part)
             blob = pack_ints(*ids_and_nulls(part), part.column("held_out").to_numpy(zero_copy_only=False), offs, codes)
-            yield pa.record_batch([pa.array([chunk_name(part)], pa.int64()), pa.array([blob], pa.binary())],
-                                  names=["chunk", "payload"])
-    return docs.mapInArrow(run, "chunk long, payload binary")
-
-
-def grams(word: Column, longest: int) -> Column:
-    """All n-grams of ``word`` between its ends' marks, n from 1 to ``longest``, with n."""
-    marked = F.concat(F.lit("<"), word, F.lit(">"))
-    def of(n: int) -> Column:
-        return F.when(F.length(marked) >= n, F.transform(
-            F.sequence(F.lit(1), F.length(marked) - n + 1),
-            lambda i: F.struct(F.lit(n).alias("size"), F.substring(marked, i, F.lit(n)).alias("gram")))) \
-            .otherwise(F.array().cast("array<struct<size:int,gram:string>>"))
-    return F.concat(*(of(n) for n in range(1, longest + 1)))
-
-
-def identify(docs: DataFrame, train_lang: Column, held_out: Column, longest: int = 5, alpha: float = 0.1,
-             chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+            yield pa.record_batch([pa.array([chunk_name(part)], pa.int64()), pa.array([blob], pa.binary()),
+                                   pa.array([pack_words(vocab)], pa.binary())], names=["chunk", "payload", "vocab"])
+    return docs.mapInArrow(run, "chunk long, payload binary, vocab binary")
+
+
+def gram_cells(vocab: list[bytes], longest: int):
+    """(n, word, cell) for n from 1 to ``longest``: the cells of all n-grams of the marked words."""
+    text = "".join(f"<{w.decode()}>" for w in vocab)
+    lens = np.array([len(w.decode()) + 2 for w in vocab], np.int64)
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(vocab)), lens)
+    left = np.repeat(np.cumsum(lens), lens) - np.arange(len(points))  # characters from here to the word's end
+    h = np.zeros(len(points), np.uint64)
+    with np.errstate(over="ignore"):
+        for n in range(1, min(longest, len(points)) + 1):
+            h[:len(points) - n + 1] = (h[:len(points) - n + 1] + points[n - 1:] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            ok = left >= n
+            yield n, word[ok], (h[ok] % np.uint64(CELLS)).astype(np.int64) + (n - 1) * CELLS
+
+
+def merged_counts(docs: DataFrame, longest: int, chunk_bytes: int, bucket_bytes: int) -> DataFrame:
+    """Per bucket: replies to the chunks (to_chunk, places, langs, counts), counts being over all
+    training texts; and on the bucket's first row its word totals and n-gram counts."""
+    def merge(group):
+        langs = sorted({x for row in group.column("langs").to_pylist() for x in row})
+        number: dict[bytes, int] = {}
+        asked = []
+        for blob, own, counts in zip(*(group.column(c).to_pylist() for c in ("words", "langs", "counts"))):
+            at = np.array([number.setdefault(w, len(number)) for w in unpack_words(blob)], np.int64)
+            asked.append((at, [langs.index(x) for x in own], unpack_ints(counts)[0].reshape(len(at), len(own))))
+        total = np.zeros((len(number), len(langs)), np.int64)
+        for at, own, counts in asked:
+            total[at[:, None], own] += counts
+        known = np.flatnonzero(total.any(1))
+        vocab = list(number)
+        grams, totals = [], []
+        if len(known):
+            totals = [{"lang": x, "n": int(n)} for x, n in zip(langs, total.sum(0))]
+            for _, word, cell in gram_cells([vocab[i] for i in known], longest):
+                for k, x in enumerate(langs):
+                    # a word counts once per language, so rare words weigh as much as common ones
+                    cells, n = np.unique(cell[(total[known, k] > 0)[word]], return_counts=True)
+                    grams.append({"lang": x, "cells": cells.tolist(), "n": n.tolist()})
+        rest = len(asked) - 1
+        return pa.table({
+            "to_chunk": group.column("to_chunk").combine_chunks(), "places": group.column("places").combine_chunks(),
+            "langs": pa.array([langs] * len(asked), pa.list_(pa.string())),
+            "counts": pa.array([pack_ints(total[at].ravel()) for at, _, _ in asked], pa.binary()),
+            "totals": pa.array([totals] + [[]] * rest, TOTALS), "grams": pa.array([grams] + [[]] * rest, GRAMS)})
+
+    return chunk_words(docs, bucket_count(docs, bucket_bytes), chunk_bytes).groupBy("bucket").applyInArrow(
+        merge, "to_chunk long, places binary, langs array<string>, counts binary, "
+               "totals array<struct<lang:string,n:long>>, grams array<struct<lang:string,cells:array<long>,n:array<long>>>")
+
+
+def identify(docs: DataFrame, train_lang: Column, held_out: Column, longest: int = 4, alpha: float = 0.1,
+             chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, held_out, lang_pred, score). ``train_lang`` is the label of documents to learn from
     and null for all others; it has no part in a prediction."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        train_lang.cast("string").alias("train_lang"), held_out.alias("held_out"))
-    chunks = stage_table(chunk_words(docs, chunk_bytes), "lang-words")
-    counts = chunks.select(F.explode("counts").alias("c")).groupBy("c.lang", "c.word").agg(F.sum("c.n").alias("n"))
-    counts = stage_table(counts, "lang-counts")
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row per language
+    merged = stage_table(merged_counts(docs, longest, chunk_bytes, bucket_bytes), "lang-counts")
+    totals = {r.lang: r.n for r in merged.select(F.explode("totals").alias("t")).groupBy("t.lang")
+              .agg(F.sum("t.n").alias("n")).collect() if r.n}  # one row per language
     langs = sorted(totals)
     first = max(langs, key=lambda x: (totals[x], x), default="und")
-    score = [f"s{i}" for i in range(len(langs))]
-
-    def rates(df: DataFrame, key: list[str], sizes: dict) -> DataFrame:
-        """Smoothed log frequency of each key in each language."""
-        wide = df.groupBy(*key).agg(*(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}")
-                                      for i, x in enumerate(langs)))
-        return wide.select(*key, *(F.ln((F.col(f"n{i}") + alpha) / float(sizes[x] + 1)).alias(f"s{i}")
-                                   for i, x in enumerate(langs)))
-
-    asked = chunks.select("to_chunk", F.posexplode("vocab").alias("pos", "word"))
-    if langs:
-        known = rates(counts, ["word"], totals)
-        # a word's n-grams count once per training word and language, so rare words weigh as much as others
-        gram_counts = counts.select("lang", F.explode(grams(F.col("word"), longest)).alias("g")) \
-            .select("lang", "g.size", "g.gram").groupBy("lang", "size", "gram").agg(F.count("*").alias("n"))
-        gram_counts = stage_table(gram_counts, "lang-grams")
-        sums = {(r.lang, r["size"]): r.n for r in
-                gram_counts.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}  # languages x `longest` rows
-        gram_rates = None
-        for n in range(1, longest + 1):
-            part = rates(gram_counts.where(F.col("size") == n), ["size", "gram"], {x: sums.get((x, n), 0) for x in langs})
-            gram_rates = part if gram_rates is None else gram_rates.unionByName(part)
-        asked_words = asked.select("word").distinct()
-        unseen = asked_words.where("word <> ''").join(known.select("word"), "word", "left_anti")
-        backed = unseen.select("word", F.explode(grams(F.col("word"), longest)).alias("g")).select("word", "g.size", "g.gram") \
-            .join(gram_rates, ["size", "gram"]).groupBy("word", "size").agg(*(F.avg(s).alias(s) for s in score)) \
-            .groupBy("word").agg(F.max_by(F.struct(*score), "size").alias("best")).select("word", "best.*")
-        scored = known.unionByName(backed)
-        replies = asked.join(scored, "word").select("to_chunk", "pos", F.array(*score).alias("scores"))
-    else:
-        replies = asked.where("false").select("to_chunk", "pos", F.array().cast("array<double>").alias("scores"))
-
+    # longest x CELLS cells per language, whatever the corpus
+    cells = merged.select(F.explode("grams").alias("g")).select("g.lang", F.explode(F.arrays_zip("g.cells", "g.n")).alias("c")) \
+        .groupBy("lang", "c.cells").agg(F.sum("c.n").alias("n")).toArrow()
+    seen = np.zeros((longest * CELLS, len(langs)), np.float32)
+    if langs and cells.num_rows:
+        column = np.array([langs.index(x) for x in cells.column("lang").dictionary_encode().combine_chunks().dictionary.to_pylist()])
+        seen[cells.column("cells").to_numpy(), column[cells.column("lang").dictionary_encode().combine_chunks().indices.to_numpy()]] \
+            = cells.column("n").to_numpy()
+    rates = docs.sparkSession.sparkContext.broadcast(_rates(seen, longest, alpha))
+    known_cell = docs.sparkSession.sparkContext.broadcast(np.packbits(seen.any(1)))
+    sizes = np.array([totals[x] for x in langs], float)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def place(left, right):
-        reply = right.combine_chunks()
-        # equal chunks share a name, and then each word is answered once for each of them
-        pos, order = np.unique(reply.column("pos").to_numpy(), return_index=True)
-        top = int(pos.max()) + 1 if len(pos) else 0
         rows = []
-        for blob in left.column("payload").to_pylist():
+        for blob, words_blob in zip(left.column("payload").to_pylist(), left.column("vocab").to_pylist()):
             ids, nulls, held, offs, codes = unpack_ints(blob)
-            size = max(top, int(codes.max()) + 1 if len(codes) else 0)
-            by_code = np.zeros((size, len(langs)))
-            if len(pos) and langs:
-                flat = pa.chunked_array(reply.column("scores")).combine_chunks().take(pa.array(order)).flatten().to_numpy()
-                by_code[pos] = flat.reshape(len(pos), len(langs))
+            vocab = unpack_words(words_blob)
+            counts = np.full((len(vocab), len(langs)), -1.0)
+            for places, own, n in zip(*(right.column(c).to_pylist() for c in ("places", "langs", "counts"))):
+                at = np.cumsum(unpack_ints(places)[0])
+                part = np.zeros((len(at), len(langs)))
+                for k, x in enumerate(own):
+                    if x in totals:
+                        part[:, langs.index(x)] = unpack_ints(n)[0].reshape(len(at), len(own))[:, k]
+                counts[at] = part
+            if len(codes) and langs and (counts[:codes.max() + 1] < 0).any():
+                raise RuntimeError("a chunk's words were not all answered: the input changed between two reads")
+            by_code = np.log((np.maximum(counts, 0) + alpha) / (sizes + 1))
+            unseen = np.flatnonzero(~(counts > 0).any(1))
+            if len(unseen) and langs:
+                by_code[unseen] = backed_off([vocab[i] for i in unseen.tolist()], rates.value, known_cell.value, longest)
             n = len(ids)
             sums = np.zeros((n, len(langs)))
             for i in range(len(langs)):
@@ -146,19 +182,39 @@ def identify(docs: DataFrame, train_lang: Column, held_out: Column, longest: int
                 sums[:, i] = ends[offs[1:]] - ends[offs[:-1]]
             lettered = np.diff(offs) > 0
             if langs:
-                best = sums.argmax(1)
-                top_two = np.exp(sums - sums.max(1, keepdims=True))
-                share = top_two.max(1) / top_two.sum(1)
-                names = np.array(langs, object)[best]
-                names[(sums == 0).all(1)] = first
+                names = np.array(langs, object)[sums.argmax(1)]
+                odds = np.exp(sums - sums.max(1, keepdims=True))
+                share = odds.max(1) / odds.sum(1)
+                names[(sums == sums[:, :1]).all(1)] = first
             else:
                 names, share = np.full(n, "und", object), np.zeros(n)
             names[~lettered] = "und"
             share = np.where(lettered, share, 0.0)
-            rows.append(pa.record_batch([
-                ids_array(ids, nulls), pa.array(held.astype(bool)),
-                pa.array(names.tolist(), pa.string()), pa.array(share)], schema=schema))
+            rows.append(pa.record_batch([ids_array(ids, nulls), pa.array(held.astype(bool)), pa.array(names.tolist(), pa.string()),
+                                         pa.array(share)], schema=schema))
         return pa.Table.from_batches(rows, schema)
 
-    return chunk_places(docs, chunk_bytes).groupBy("chunk").cogroup(replies.groupBy("to_chunk")) \
+    return chunk_places(docs, chunk_bytes).groupBy("chunk") \
+        .cogroup(merged.select("to_chunk", "places", "langs", "counts").groupBy("to_chunk")) \
         .applyInArrow(place, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def _rates(seen: np.ndarray, longest: int, alpha: float) -> np.ndarray:
+    """Smoothed log frequency of each cell among the n-grams of its length."""
+    by_n = seen.reshape(longest, CELLS, -1)
+    return np.log((by_n + alpha) / (by_n.sum(1, keepdims=True) + 1)).reshape(seen.shape).astype(np.float32)
+
+
+def backed_off(vocab: list[bytes], rates: np.ndarray, known: np.ndarray, longest: int) -> np.ndarray:
+    """Mean log frequency of the longest known n-grams of each word; 0 where even no character is known."""
+    known = np.unpackbits(known, count=len(rates)).astype(bool)
+    out = np.zeros((len(vocab), rates.shape[1]))
+    for _, word, cell in gram_cells(vocab, longest):  # a longer match replaces a shorter one
+        ok = known[cell]
+        word, cell = word[ok], cell[ok]
+        n = np.bincount(word, minlength=len(vocab))
+        hit = n > 0
+        for k in range(rates.shape[1]):
+            total = np.bincount(word, weights=rates[cell, k], minlength=len(vocab))
+            out[hit, k] = total[hit] / n[hit]
+    return out
