@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from tabwright.llm.common import stage_table
 
 PROBES = 4096
-TOP = (1 << 63) - 1
+TOP = (1 << 63) - 1  # 2^63 / PROBES is 2^51
 KEYS = ("key", "id", "uid")
 
 
@@ -51,19 +51,17 @@ def shard_by_bytes(docs: DataFrame, shards: int, tolerance: float = 0.001, task_
     # leaves: path -> (rows, bytes); a node is refined by its key from `low` in steps of `width`
     leaves: dict[tuple, tuple[int, int]] = {}
     nodes = [((), 0, 0, TOP)]  # path, key number, low, high
-    at = rows.withColumn("path", F.lit(""))
+    at = rows.withColumn("path", F.lpad(F.shiftrightunsigned("key", 51).cast("int"), 4, "0")).withColumn("fresh", F.lit(True))
     while nodes:
-        plan = [(_name(path), level, Decimal(low), Decimal(-(-(high - low + 1) // PROBES)))
-                for path, level, low, high in nodes]
-        # at most 1 / task_share + shards intervals are refined at once
-        probe = spark.createDataFrame(plan, "path string, level int, low decimal(20,0), width decimal(20,0)")
-        value = F.expr("case level when 0 then key when 1 then id else uid end").cast("decimal(20,0)")
-        step = F.floor((value - F.col("low")) / F.col("width")).cast("int")
-        at = at.join(F.broadcast(probe), "path", "left") \
-            .withColumn("path", F.when(F.col("level").isNotNull(),
-                                       F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), F.lpad(step, 4, "0")))
-                        .otherwise(F.col("path"))) \
-            .withColumn("fresh", F.col("level").isNotNull()).drop("level", "low", "width")
+        if leaves:
+            plan = [(_name(path), level, Decimal(low), Decimal(_width(low, high))) for path, level, low, high in nodes]
+            # at most 1 / task_share + shards intervals are refined at once
+            probe = spark.createDataFrame(plan, "path string, level int, low decimal(20,0), width decimal(20,0)")
+            value = F.expr("case level when 0 then key when 1 then id else uid end").cast("decimal(20,0)")
+            step = F.floor((value - F.col("low")) / F.col("width")).cast("int")
+            at = at.join(F.broadcast(probe), "path", "left").withColumn("fresh", F.col("level").isNotNull()) \
+                .withColumn("path", F.when(F.col("fresh"), F.concat_ws(".", "path", F.lpad(step, 4, "0"))).otherwise(F.col("path"))) \
+                .drop("level", "low", "width")
         stats = at.where("fresh").groupBy("path").agg(
             F.count("*").alias("n"), F.sum("size").alias("bytes"), *(f(k).alias(f"{f.__name__}_{k}") for k in KEYS
                                                                      for f in (F.min, F.max))).collect()
@@ -105,5 +103,9 @@ def shard_by_bytes(docs: DataFrame, shards: int, tolerance: float = 0.001, task_
         .select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
+def _width(low: int, high: int) -> int:
+    return -(-(high - low + 1) // PROBES)
+
+
 def _name(path: tuple) -> str:
     return ".".join(path)
