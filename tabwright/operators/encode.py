@@ -1,8 +1,8 @@
 """Encoding and feature assembly.
 
-Fitting collects only the level lists to the driver, and only after a distributed cardinality
-check (HyperLogLog, partial aggregates) has shown they are bounded; applying is a pure projection,
-so fitting on one split and applying to all splits never leaks rows across.
+Codes are a table of (level, code) that is joined, whatever its size. Only the wide one-hot, which
+makes a column per level, lists levels on the driver, and it refuses more than ``MAX_LEVELS``.
+Fitting on one split and applying to all splits never leaks rows across.
 """
 
 from __future__ import annotations
@@ -10,41 +10,63 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.operators.ordering import global_row_index
 
+# a wide one-hot makes one column per level; beyond this use one_hot_vector
 MAX_LEVELS = 4096
 
 
 def level_lists(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list]:
-    """Sorted non-null distinct values of each column. One approximate-distinct pass proves the
-    lists are small before the exact ``collect_set`` pass brings them to the driver; a column
-    with more levels than ``max_levels`` is an identifier, not a category, and is refused."""
-    approx = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in cols]).first()
-    wide = {c: approx[c] for c in cols if approx[c] > max_levels}
-    if wide:
-        raise ValueError(f"too many levels to encode (approximate counts): {wide}")
-    row = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols]).first()
-    return {c: list(row[c]) for c in cols}
-
-
-def label_encode(df: DataFrame, col: str, out: str | None = None):
+    """Sorted non-null distinct values of each column, for encodings that make a column per level.
+    At most ``max_levels`` + 1 values reach the driver; more levels are an error, by the exact count."""
+    out = {}
+    for c in cols:
+        rows = df.where(F.col(c).isNotNull()).select(F.col(c).alias("v")).distinct().limit(max_levels + 1).collect()
+        if len(rows) > max_levels:
+            raise ValueError(f"too many levels to encode: {c} has more than {max_levels}; use one_hot_vector")
+        out[c] = sorted(r["v"] for r in rows)
+    return out
+
+
+def level_codes(df: DataFrame, col: str) -> DataFrame:
+    """(level, code): the distinct non-null values in order, numbered from 0 without a driver list."""
+    levels = df.where(F.col(col).isNotNull()).select(F.col(col).alias("level")).distinct()
+    return global_row_index(levels, ["level"], out="code").select("level", F.col("code").cast("int").alias("code"))
+
+
+def apply_codes(df: DataFrame, codes: DataFrame, col: str, out: str) -> DataFrame:
+    """Attach the code of ``col``; null, and levels that the fit did not see, get null."""
+    return df.join(codes.select(F.col("level").alias("__level"), F.col("code").alias(out)),
+                   F.col(col) == F.col("__level"), "left").drop("__level")
+
+
+def label_encode(df: DataFrame, col: str, out: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Sorted distinct levels -> 0..n-1 (alphabetical, like a label encoder); null stays
-    null. Returns (frame, fitted indexer model)."""
-    out = out or f"{col}_code"
-    model = StringIndexer(inputCol=col, outputCol="__code", stringOrderType="alphabetAsc",
-                          handleInvalid="keep").fit(df.where(F.col(col).isNotNull()))
-    enc = model.transform(df).withColumn(
-        out, F.when(F.col(col).isNotNull(), F.col("__code").cast("int"))).drop("__code")
-    return enc, model
+    null. Returns (frame, table of level and code)."""
+    codes = level_codes(df, col)
+    return apply_codes(df, codes, col, out or f"{col}_code"), codes
 
 
-def label_decode(df: DataFrame, model, col: str, out: str) -> DataFrame:
+def label_decode(df: DataFrame, codes: DataFrame, col: str, out: str) -> DataFrame:
     """E1 inverse: code -> label."""
-    conv = IndexToString(inputCol="__c", outputCol=out, labels=model.labels)
-    return conv.transform(df.withColumn("__c", F.col(col).cast("double"))).drop("__c")
+    return df.join(codes.select(F.col("level").alias(out), F.col("code").alias("__of_level")),
+                   F.col(col).cast("int") == F.col("__of_level"), "left").drop("__of_level")
+
+
+def one_hot_vector(df: DataFrame, codes: DataFrame, col: str, out: str, drop_first: bool = True) -> DataFrame:
+    """E2 for any number of levels: one sparse vector column instead of a column per level."""
+    size = codes.agg(F.count(F.lit(1))).first()[0] - int(drop_first)
+    index = F.col("__at") - int(drop_first)
+    hot = apply_codes(df, codes, col, "__at").withColumn("__at", F.coalesce(index, F.lit(-1)).cast("double"))
+    # OneHotEncoder leaves an index beyond the last category, or an invalid one, all zero
+    model = OneHotEncoder(inputCol="__at", outputCol=out, dropLast=True, handleInvalid="keep")
+    fitted = model.fit(df.sparkSession.createDataFrame([(float(max(size - 1, 0)),)], "__at double"))
+    return fitted.transform(hot.withColumn("__at", F.when(F.col("__at") >= 0, F.col("__at")).otherwise(F.lit(float(size))))) \
+        .drop("__at")
 
 
 @dataclass

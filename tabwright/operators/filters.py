@@ -57,7 +57,9 @@ def select_by_type(df: DataFrame, kind: str, exclude: Sequence[str] = ()) -> lis
 def null_shares(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Share of missing values per column as one row, in a single aggregate pass."""
     cols = list(cols) if cols is not None else df.columns
-    return df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in cols])
+    kinds = dict(df.dtypes)
+    missing = {c: F.col(c).isNull() | (F.isnan(c) if kinds[c] in ("double", "float") else F.lit(False)) for c in cols}
+    return df.agg(*[F.avg(m.cast("double")).alias(c) for c, m in missing.items()])
 
 
 def sparse_column_report(df: DataFrame, max_pct: float, cols: Sequence[str] | None = None) -> DataFrame:

@@ -10,16 +10,22 @@ distinct count over windows anyway.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.functions.columns import safe_div
 
 
 def _attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # Plain equality: a null key gets null statistics (pandas drops null groups).
-    return df.join(stats, list(keys), "left")
+    # Plain equality: a null key gets null statistics (pandas drops null groups). Rows without a key
+    # match nothing; a salt spreads them, or they would all be shuffled to one task.
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    salt = F.when(known, F.lit(0)).otherwise(F.pmod(F.xxhash64(*plain), F.lit(4096)).cast("int"))
+    return df.withColumn("__salt", salt).join(stats.withColumn("__salt", F.lit(0)), [*keys, "__salt"], "left").drop("__salt")
 
 
 def group_apply(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
@@ -43,10 +49,13 @@ def group_nunique(df: DataFrame, key: str | Sequence[str], value: str, out: str)
 def group_nunique_if(df: DataFrame, key: str | Sequence[str], value: str,
                      conds: Mapping[str, Column], fill: int = 0) -> DataFrame:
     """Distinct count of ``value`` among rows meeting each condition, per key, on every row
-    of the key; keys without a matching row get ``fill`` (0)."""
+    of the key; keys without a matching row get ``fill`` (0). One aggregate per (key, value) keeps
+    whether any row met each condition, a second one counts: no row is expanded per condition."""
     keys = [key] if isinstance(key, str) else list(key)
-    out = group_apply(df, keys, {n: F.count_distinct(F.when(c, F.col(value))) for n, c in conds.items()})
-    return out.withColumns({n: F.coalesce(F.col(n), F.lit(fill)) for n in conds})
+    met = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__value")) \
+        .agg(*[F.max(F.coalesce(c, F.lit(False))).alias(n) for n, c in conds.items()])
+    stats = met.groupBy(*keys).agg(*[F.count_if(F.col(n)).alias(n) for n in conds])
+    return _attach(df, stats, keys).withColumns({n: F.coalesce(F.col(n), F.lit(fill)) for n in conds})
 
 
 def tenancy_history(df: DataFrame, key: str, contract: str, label: str, age: str,

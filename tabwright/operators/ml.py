@@ -9,6 +9,7 @@ Scores use our own exact metric operators so that every number is computed the s
 from __future__ import annotations
 
 import json
+import math
 import random
 from functools import reduce
 from collections.abc import Callable, Mapping, Sequence
@@ -22,37 +23,68 @@ from pyspark.sql import functions as F
 from tabwright.operators.encode import assemble
 from tabwright.operators.filters import filter_abs
 from tabwright.operators.metrics import classification_report, roc_auc
-from tabwright.operators.ordering import global_row_index, group_row_index
+from tabwright.operators.ordering import global_row_index
+from tabwright.operators.split import best_row
+from tabwright.session import materialize
 
 SEED = 777
 
 
-def tree(params: Mapping | None = None, label: str = "label", features: str = "features", weight: str | None = None):
-    """M1: decision tree. ``min_samples_split`` has no Spark counterpart; depth is capped at 30."""
-    p = {"impurity": "gini", "maxDepth": 5, "minInstancesPerNode": 1, "seed": SEED, "maxMemoryInMB": 1024,
-         **(params or {})}
-    p["maxDepth"] = min(int(p["maxDepth"]), 30)
-    est = DecisionTreeClassifier(labelCol=label, featuresCol=features, **p)
+MAX_DEPTH = 30  # Spark's limit; a deeper request is an error, never a shallower tree
+
+# Parameters by their usual names, and the Spark parameter each one sets.
+NAMES = {
+    "tree": {"criterion": "impurity", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode"},
+    "forest": {"n_estimators": "numTrees", "criterion": "impurity", "max_depth": "maxDepth",
+               "min_samples_leaf": "minInstancesPerNode", "max_features": "featureSubsetStrategy"},
+    "boosted": {"n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize",
+                "subsample": "subsamplingRate", "colsample_bytree": "featureSubsetStrategy",
+                "min_child_weight": "minInstancesPerNode"},
+}
+# Known names without a counterpart in Spark's trees: a rule on the rows of a node before a split,
+# and a penalty on the loss of a second-order booster (Spark's minInfoGain is on another scale).
+UNMAPPED = {"tree": {"min_samples_split"}, "forest": {"min_samples_split"}, "boosted": {"gamma"}}
+
+
+def spark_params(model: str, params: Mapping | None, estimator) -> dict:
+    """Spark parameters of ``params``, which may use either naming. Names that neither knows, and
+    depths beyond MAX_DEPTH, are errors; names in UNMAPPED have no effect."""
+    out = {}
+    for name, value in (params or {}).items():
+        if name in UNMAPPED[model]:
+            continue
+        target = NAMES[model].get(name, name)
+        if not estimator.hasParam(target):
+            raise ValueError(f"{model} has no parameter {name!r}")
+        if target == "featureSubsetStrategy":
+            value = "all" if value is None else str(value)
+        if target == "maxDepth" and int(value) > MAX_DEPTH:
+            raise ValueError(f"depth {value} is beyond Spark's limit of {MAX_DEPTH}")
+        out[target] = value
+    return out
+
+
+def _estimator(kind, model: str, defaults: dict, params, label, features, weight):
+    est = kind(labelCol=label, featuresCol=features, seed=SEED, maxMemoryInMB=1024, **defaults)
+    est.setParams(**spark_params(model, params, est))
     return est.setWeightCol(weight) if weight else est
 
 
+def tree(params: Mapping | None = None, label: str = "label", features: str = "features", weight: str | None = None):
+    """M1: decision tree."""
+    return _estimator(DecisionTreeClassifier, "tree", {"impurity": "gini"}, params, label, features, weight)
+
+
 def forest(params: Mapping | None = None, label: str = "label", features: str = "features", weight: str | None = None):
-    """M2: random forest (``featureSubsetStrategy`` sqrt / log2 / all)."""
-    p = {"numTrees": 50, "maxDepth": 10, "featureSubsetStrategy": "sqrt", "seed": SEED, "maxMemoryInMB": 1024,
-         **(params or {})}
-    p["maxDepth"] = min(int(p["maxDepth"]), 30)
-    est = RandomForestClassifier(labelCol=label, featuresCol=features, **p)
-    return est.setWeightCol(weight) if weight else est
+    """M2: random forest (``max_features`` sqrt, log2 or None for all)."""
+    return _estimator(RandomForestClassifier, "forest", {"numTrees": 100, "maxDepth": 10, "featureSubsetStrategy": "sqrt"},
+                      params, label, features, weight)
 
 
 def boosted(params: Mapping | None = None, label: str = "label", features: str = "features", weight: str | None = None):
-    """M3/M4: gradient-boosted trees, logistic loss. ``n_estimators -> maxIter``,
-    ``learning_rate -> stepSize``, ``subsample -> subsamplingRate``, ``min_child_weight ->
-    minInstancesPerNode`` (a count, not a hessian sum), ``gamma -> minInfoGain``."""
-    p = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 1.0, "seed": SEED, "maxMemoryInMB": 1024,
-         **(params or {})}
-    est = GBTClassifier(labelCol=label, featuresCol=features, lossType="logistic", **p)
-    return est.setWeightCol(weight) if weight else est
+    """M3/M4: gradient-boosted trees, logistic loss. ``colsample_bytree`` draws features per node
+    in Spark, and ``min_child_weight`` is a row count, not a hessian sum."""
+    return _estimator(GBTClassifier, "boosted", {"lossType": "logistic"}, params, label, features, weight)
 
 
 MODELS: dict[str, Callable] = {"tree": tree, "forest": forest, "boosted": boosted}
@@ -112,15 +144,30 @@ def cv_scores(make_est: Callable, df: DataFrame, fold_col: str, label: str, k: i
     return fold_scores(fitted, df, fold_col, label)
 
 
+# M12. The search spaces of the workload. A tuple is a range (with an optional step),
+# a list a choice. The forest's depths end at Spark's limit instead of 40.
+SPACES: dict[str, dict] = {
+    "tree": {"criterion": ["gini", "entropy"], "max_depth": (2, 20), "min_samples_split": (2, 20), "min_samples_leaf": (1, 20)},
+    "forest": {"n_estimators": (70, 200, 10), "max_depth": (10, MAX_DEPTH, 5), "min_samples_split": (2, 10),
+               "min_samples_leaf": (1, 4), "criterion": ["gini", "entropy"], "max_features": ["sqrt", "log2", None]},
+    "boosted": {"n_estimators": (150, 300), "max_depth": (7, 20), "learning_rate": (0.01, 0.3), "subsample": (0.4, 0.8),
+                "colsample_bytree": (0.4, 0.8), "min_child_weight": (1, 10), "gamma": (0.0, 0.6)},
+    "boosted_grid": {"n_estimators": [150, 170, 200, 250, 270], "max_depth": [7, 10, 12, 15, 20],
+                     "learning_rate": [0.01, 0.05, 0.1, 0.15, 0.2], "subsample": [0.4, 0.5, 0.6, 0.7],
+                     "colsample_bytree": [0.4, 0.5, 0.6, 0.7], "min_child_weight": [1, 3, 5, 7],
+                     "gamma": [0, 0.1, 0.4, 0.5, 0.6]},
+}
+
+
 def draw_params(space: Mapping[str, object], rng: random.Random) -> dict:
-    """One seeded draw from a search space: list -> choice, (lo, hi) ints -> randint,
-    (lo, hi) floats -> uniform."""
+    """One seeded draw from a search space: list -> choice, (lo, hi[, step]) ints -> a stepped
+    integer, (lo, hi) floats -> uniform; anything else is taken as it is."""
     out = {}
     for name, spec in space.items():
         if isinstance(spec, list):
             out[name] = rng.choice(spec)
         elif isinstance(spec, tuple) and all(isinstance(x, int) for x in spec):
-            out[name] = rng.randint(spec[0], spec[1])
+            out[name] = rng.randrange(spec[0], spec[1] + 1, *spec[2:])
         elif isinstance(spec, tuple):
             out[name] = rng.uniform(spec[0], spec[1])
         else:
@@ -134,6 +181,7 @@ def random_search(model: str, space: Mapping[str, object], n_trials: int, df: Da
     (trial, params, mean_f1) as a DataFrame."""
     rng = random.Random(seed)
     trials = [draw_params(space, rng) for _ in range(n_trials)]
+    MODELS[model](trials[0], label=label)  # unknown names and depths fail before any job
     folds = k if k is not None else df.select(F.max(fold_col)).first()[0] + 1
     df = with_class_count(df, label).persist()
 
@@ -154,58 +202,91 @@ def random_search(model: str, space: Mapping[str, object], n_trials: int, df: Da
     return spark.createDataFrame(rows, "trial int, params string, mean_f1 double")
 
 
-def permutation_importance(model, df: DataFrame, features: Sequence[str], label: str, id_col: str,
-                           repeats: int = 10, seed: int = SEED, min_abs: float = 0.001) -> DataFrame:
+def permuted(df: DataFrame, id_col: str, features: Sequence[str], repeats: int, seed: int) -> DataFrame:
+    """``repeats`` copies of the rows, each with the features of another row as ``donor``.
+
+    A repeat pairs position p with position (a * p + b) mod n, a bijection for ``a`` prime to n, so
+    no copy is sorted; one join per repeat carries a donor's whole feature row."""
+    base = global_row_index(df, [id_col], out="__pos").drop("__pid")
+    n = base.count()
+    rng = random.Random(seed)
+    shifts = []
+    for r in range(repeats):
+        a = rng.randrange(1, max(2, n))
+        while math.gcd(a, max(n, 1)) != 1:
+            a = rng.randrange(1, max(2, n))
+        shifts.append(F.struct(F.lit(r).alias("rep"), F.lit(a).cast("decimal(38,0)").alias("a"),
+                               F.lit(rng.randrange(max(n, 1))).cast("decimal(38,0)").alias("b")))
+    copies = base.withColumn("__s", F.explode(F.array(*shifts))).select("*", "__s.rep", (
+        (F.col("__s.a") * F.col("__pos") + F.col("__s.b")) % F.lit(max(n, 1))).cast("long").alias("__from")).drop("__s", "__pos")
+    donors = base.select(F.col("__pos").alias("__from"), F.struct(*features).alias("donor"))
+    return copies.join(donors, "__from").drop("__from")
+
+
+def permutation_importance(score: Callable[[DataFrame], DataFrame], df: DataFrame, features: Sequence[str], label: str,
+                           id_col: str, repeats: int = 10, seed: int = SEED, min_abs: float = 0.001) -> DataFrame:
     """Accuracy drop when one feature's values are permuted across rows.
 
-    One distributed pass instead of a loop of jobs: every row is replicated once per
-    (feature, repeat) -- a bounded literal list exploded, not a join -- and reads the permuted
-    feature value from the row at a hash-permuted position (equi-join on (feature, repeat,
-    position), unique keys). One ``transform`` scores all copies; accuracy per (feature, repeat)
-    is one aggregate."""
-    spark = df.sparkSession
-    # the row index is checkpointed inside global_row_index: its three uses below re-read those files
-    base = global_row_index(df.select(id_col, label, *features), [id_col], out="__pos").drop("__pid")
-    base_acc = classification_report(predict(model, assemble(base, features)), label, "pred").first()["accuracy"]
-    combos = F.array(*[F.struct(F.lit(f).alias("feat"), F.lit(r).alias("rep")) for f in features for r in range(repeats)])
-    exploded = base.select("*", F.explode(combos).alias("__c")).select("*", "__c.feat", "__c.rep").drop("__c")
-    # Permutation of positions per (feature, repeat): rank of a seeded hash.
-    keyed = exploded.select("feat", "rep", "__pos",
-                            F.xxhash64("__pos", "feat", "rep", F.lit(seed)).alias("__h"))
-    perm = group_row_index(keyed, ["feat", "rep"], ["__h", "__pos"], out="__src", size_col=None)
-    # value of feature `feat` at row `__src`, in long form
-    long = base.select("__pos", F.explode(F.array(*[F.struct(F.lit(f).alias("feat"), F.col(f).cast("double").alias("v"))
-                                                    for f in features])).alias("s")).select(
-        F.col("__pos").alias("__srcpos"), "s.feat", "s.v")
-    src_val = perm.join(long, (perm["__src"] == long["__srcpos"]) & (perm["feat"] == long["feat"])).select(
-        perm["feat"], perm["rep"], perm["__pos"], long["v"].alias("__pv"))
-    shuffled = exploded.join(src_val, ["feat", "rep", "__pos"])
-    shuffled = shuffled.withColumns({f: F.when(F.col("feat") == f, F.col("__pv")).otherwise(F.col(f).cast("double"))
-                                     for f in features})
-    scored = predict(model, assemble(shuffled, features))
-    acc = scored.groupBy("feat", "rep").agg(F.avg((F.col("pred") == F.col(label)).cast("double")).alias("acc"))
-    imp = acc.groupBy("feat").agg(F.avg(F.lit(base_acc) - F.col("acc")).alias("importance_mean"),
-                                  F.stddev_pop(F.lit(base_acc) - F.col("acc")).alias("importance_std"))
-    return (filter_abs(imp, "importance_mean", min_abs)
-            .withColumnRenamed("feat", "feature").orderBy(F.desc("importance_mean"), "feature"))
+    ``score`` adds ``pred`` to a frame with the feature columns. Rows move once per repeat; the
+    features are then swapped one at a time, without a shuffle, and all accuracies are one
+    aggregate."""
+    base = df.select(id_col, label, *features)
+    copies = materialize(permuted(base, id_col, features, repeats, seed))
+    right = F.avg((F.col("pred") == F.col(label)).cast("double"))
+    base_acc = score(base).agg(right).first()[0]
+    parts = []
+    for f in features:
+        swapped = copies.withColumn(f, F.col("donor").getField(f))
+        parts.append(score(swapped).groupBy("rep").agg(right.alias("acc")).withColumn("feature", F.lit(f)))
+    drop = F.lit(base_acc) - F.col("acc")
+    imp = reduce(DataFrame.unionByName, parts).groupBy("feature") \
+        .agg(F.avg(drop).alias("importance_mean"), F.stddev_pop(drop).alias("importance_std"))
+    return filter_abs(imp, "importance_mean", min_abs).orderBy(F.desc("importance_mean"), "feature")
+
+
+def model_scorer(model, features: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """A ``score`` function of a fitted model over assembled ``features``."""
+    return lambda df: predict(model, assemble(df.withColumns({f: F.col(f).cast("double") for f in features}), features))
+
+
+METRICS = ("accuracy", "precision", "recall", "f1", "auc")
+
+
+def tune_and_test(model: str, space: Mapping[str, object], n_trials: int, df: DataFrame, label: str, fold_col: str = "fold",
+                  split_col: str = "split", seed: int = SEED, parallelism: int = 4,
+                  weight: str | None = None) -> tuple[DataFrame, list[tuple[str, str, float]], dict]:
+    """M11 to M13 chained: search on the train folds, refit the best on train and score validation,
+    refit on train + validation and score test. Returns (trial log, [(stage, metric, value)], best).
+
+    ``df`` holds features, label, ``split_col`` (train, val, test) and ``fold_col`` on train rows."""
+    df = df.persist()
+    train = df.where(F.col(split_col) == "train")
+    log = random_search(model, space, n_trials, train, fold_col, label, seed=seed, parallelism=parallelism)
+    best = json.loads(best_row(log, "mean_f1", "trial").first()["params"])
+    rows = []
+    for stage, fitted_on, scored_on in (("val", ["train"], "val"), ("test", ["train", "val"], "test")):
+        fit = MODELS[model](best, label=label, weight=weight).fit(df.where(F.col(split_col).isin(fitted_on)))
+        res = evaluate(fit, df.where(F.col(split_col) == scored_on), label)
+        rows += [(stage, m, float(res[m])) for m in METRICS]
+    df.unpersist()
+    return log, rows, best
 
 
 def experiment_grid(frames: Mapping[str, DataFrame], feature_sets: Mapping[str, Sequence[str]],
-                    models: Sequence[str], label: str, split_col: str = "split",
-                    params: Mapping[str, Mapping] | None = None, parallelism: int = 4) -> DataFrame:
-    """{split scheme} x {feature set} x {model}: fit on train + validation, score on test.
-    Tidy result (scheme, feature_set, model, metric, value)."""
+                    models: Mapping[str, tuple[str, Mapping, int]], label: str, parallelism: int = 4) -> DataFrame:
+    """{split scheme} x {feature set} x {model}, each tuned on its train folds, refitted and
+    scored on validation, then refitted on train + validation and scored on test. ``models`` maps a
+    name to (model, search space, trials). Tidy result (scheme, feature_set, model, stage, metric, value)."""
     jobs = [(s, fs, m) for s in frames for fs in feature_sets for m in models]
     frames = {s: with_class_count(f, label) for s, f in frames.items()}
 
     def one(job):
         s, fs, m = job
-        df = assemble(frames[s], feature_sets[fs])
-        fit = MODELS[m]((params or {}).get(m), label=label).fit(df.where(F.col(split_col).isin("train", "val")))
-        res = evaluate(fit, df.where(F.col(split_col) == "test"), label)
-        return [(s, fs, m, k, float(res[k])) for k in ("accuracy", "precision", "recall", "f1", "auc")]
+        kind, space, trials = models[m]
+        df = assemble(frames[s], feature_sets[fs]).select("features", label, "split", "fold")
+        return [(s, fs, m, *r) for r in tune_and_test(kind, space, trials, df, label)[1]]
 
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
         rows = [r for part in ex.map(one, jobs) for r in part]
     spark = next(iter(frames.values())).sparkSession
-    return spark.createDataFrame(rows, "scheme string, feature_set string, model string, metric string, value double")
+    return spark.createDataFrame(rows, "scheme string, feature_set string, model string, stage string, metric string, value double")

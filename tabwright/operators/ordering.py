@@ -158,7 +158,9 @@ def running_agg(df: DataFrame, order: Sequence[str | Column], value: str, fn: st
         joined = local.withColumn("__carry", F.element_at(arr.cast(f"array<{dict(idx.dtypes)[value]}>"),
                                                           F.col("__pid") + 1))
     if fn == "sum":
-        res = F.col("__local") + F.coalesce(F.col("__carry"), F.lit(0))
+        # null only while no value has been seen: a partition may begin with nulls
+        res = F.when(F.col("__local").isNotNull() | F.col("__carry").isNotNull(),
+                     F.coalesce(F.col("__local"), F.lit(0)) + F.coalesce(F.col("__carry"), F.lit(0)))
     else:
         res = F.coalesce(comb(F.col("__local"), F.col("__carry")), F.col("__local"), F.col("__carry"))
     return joined.withColumn(out, res).drop("__local", "__carry", "__pid", "__gidx")

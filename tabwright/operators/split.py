@@ -1,8 +1,9 @@
 """Exact, reproducible splits and folds.
 
 Randomness is a hash, not ``rand()``: rows are ordered by ``md5('<id>|<seed>')`` (identical text in
-Spark and SQL engines) with the id as tie-breaker, then cut at exact positions from the global row
-index. Results do not depend on partitioning, re-execution or executor loss.
+Spark and SQL engines) with the id as tie-breaker, then cut at the keys that stand at exact
+positions (``ranks.keys_at``: counting passes, no sort), so a split or fold is a projection.
+Results do not depend on partitioning, re-execution or executor loss.
 Sizes follow the library rules the workload relied on: a hold-out of fraction f takes
 ``ceil(f * n)`` rows; K folds have ``n // K + 1`` rows for the first ``n % K`` folds.
 """
@@ -15,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.operators.ordering import global_row_index, group_row_index
+from tabwright.operators.ranks import order_key, parts_before
 
 
 def hash_order(id_col: str, seed: int) -> Column:
@@ -29,81 +30,75 @@ def holdout_sizes(n: int, holdout: float = 0.4, test_of_holdout: float = 0.5) ->
     return n - n_hold, n_hold - n_test, n_test
 
 
-def _cut(idx: Column, n_train: int, n_val: int) -> Column:
-    return (F.when(idx < n_train, F.lit("train"))
-            .when(idx < n_train + n_val, F.lit("val")).otherwise(F.lit("test")))
-
-
 def random_split_exact(df: DataFrame, id_col: str, seed: int = 777, holdout: float = 0.4,
                        test_of_holdout: float = 0.5, out: str = "split") -> DataFrame:
-    """Exact-size random train/val/test (60/20/20 by default) as a ``split`` column."""
+    """Exact-size random train/val/test (60/20/20 by default) as a ``split`` column: a
+    projection that compares the row's hash with the keys at the two cuts."""
+    order = [hash_order(id_col, seed), id_col]
     n = df.count()
     n_train, n_val, _ = holdout_sizes(n, holdout, test_of_holdout)
-    idx = global_row_index(df.withColumn("__h", hash_order(id_col, seed)), ["__h", id_col], out="__idx")
-    return idx.withColumn(out, _cut(F.col("__idx"), n_train, n_val)).drop("__h", "__idx", "__pid")
+    part = parts_before(df, order, [0, n_train, n_train + n_val], n)
+    return df.withColumn(out, F.element_at(F.array(*map(F.lit, ("train", "val", "test"))), part + 1))
 
 
 def ordered_split(df: DataFrame, order: Sequence[str | Column], id_col: str, frac: float = 0.6,
                   seed: int = 777, test_of_rest: float = 0.5, out: str = "split") -> DataFrame:
-    """First ``int(frac * n)`` rows in ``order`` are train; the rest is split at random
-    (hash order) into validation and test, the test part taking ``ceil(test_of_rest * rest)``."""
+    """First ``int(frac * n)`` rows in the ascending ``order`` (negate a number to descend) are
+    train; the rest is split at random (hash order) into validation and test, the test part taking
+    ``ceil(test_of_rest * rest)``."""
     n = df.count()
     n_train = int(frac * n)
     n_rest = n - n_train
     n_test = math.ceil(test_of_rest * n_rest)
-    idx = global_row_index(df, [*order, id_col], out="__idx").drop("__pid")
-    head = idx.where(F.col("__idx") < n_train).withColumn(out, F.lit("train"))
-    rest = idx.where(F.col("__idx") >= n_train).drop("__idx")
-    rest = global_row_index(rest.withColumn("__h", hash_order(id_col, seed)), ["__h", id_col], out="__idx2")
-    rest = rest.withColumn(out, F.when(F.col("__idx2") < n_rest - n_test, F.lit("val")).otherwise(F.lit("test")))
-    return head.drop("__idx").unionByName(rest.drop("__h", "__idx2", "__pid"))
+    late = parts_before(df, [*order, id_col], [0, n_train], n) > 0
+    random_order = [hash_order(id_col, seed), id_col]
+    test = parts_before(df.where(late), random_order, [0, n_rest - n_test], n_rest) > 0
+    return df.withColumn(out, F.when(~late, "train").when(~test, "val").otherwise("test"))
 
 
-def fold_of_position(idx: Column, n: int, k: int) -> Column:
-    """KFold assignment of 0-based position ``idx`` among ``n`` rows."""
+def fold_starts(n: int, k: int) -> list[int]:
+    """First position of each of ``k`` contiguous folds of ``n`` rows."""
     q, r = divmod(n, k)
-    big = r * (q + 1)
-    return F.when(idx < big, F.floor(idx / (q + 1))).otherwise(
-        F.lit(r) + F.floor((idx - big) / max(q, 1))).cast("int")
+    return [i * q + min(i, r) for i in range(k)]
 
 
 def kfold(df: DataFrame, id_col: str, k: int = 5, seed: int = 777, out: str = "fold") -> DataFrame:
-    """T4: shuffled K-fold assignment (as a column, one pass)."""
+    """T4: shuffled K-fold assignment (as a column, one projection)."""
     n = df.count()
-    idx = global_row_index(df.withColumn("__h", hash_order(id_col, seed)), ["__h", id_col], out="__idx")
-    return idx.withColumn(out, fold_of_position(F.col("__idx"), n, k)).drop("__h", "__idx", "__pid")
+    part = parts_before(df, [hash_order(id_col, seed), id_col], fold_starts(n, k), n)
+    return df.withColumn(out, part.cast("int"))
 
 
 def stratified_allocation(class_counts: Sequence[tuple], k: int) -> dict:
-    """Rows of each class per fold for unshuffled stratified K-fold: classes sorted, the sorted
-    label vector dealt round-robin into K folds; class c gets the count of its positions in each
-    residue class. Returns {class: [rows in fold 0..k-1]}."""
+    """Rows of each class per fold for unshuffled stratified K-fold: the label vector, grouped by
+    class in the given class order (that of first appearance), is dealt round-robin into K folds;
+    class c gets the count of its positions in each residue class. Returns {class: [rows in fold
+    0..k-1]}."""
     def upto(m: int, i: int) -> int:
         return max(0, -(-(m - i) // k))
     out, start = {}, 0
-    for c, cnt in sorted(class_counts, key=lambda t: t[0]):
+    for c, cnt in class_counts:
         out[c] = [upto(start + cnt, i) - upto(start, i) for i in range(k)]
         start += cnt
     return out
 
 
 def stratified_folds(df: DataFrame, label: str, order: Sequence[str | Column], k: int = 5,
-                     out: str = "fold") -> DataFrame:
-    """T5: stratified, contiguous folds that keep the given order inside each class. The
-    allocation table is classes x K numbers (bounded) and becomes a literal CASE expression."""
-    counts = [(r[label], r["n"]) for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()]
-    alloc = stratified_allocation(counts, k)
-    ranked = group_row_index(df, [label], order, out="__j", size_col=None)
-    expr = None
-    for c, sizes in alloc.items():
-        acc, fold_expr = 0, None
-        for i, s in enumerate(sizes):
-            acc += s
-            cond = F.col("__j") < acc
-            fold_expr = F.when(cond, F.lit(i)) if fold_expr is None else fold_expr.when(cond, F.lit(i))
-        is_c = F.col(label) == F.lit(c)
-        expr = F.when(is_c, fold_expr) if expr is None else expr.when(is_c, fold_expr)
-    return ranked.withColumn(out, expr.cast("int")).drop("__j")
+                     out: str = "fold", max_classes: int = 1000) -> DataFrame:
+    """T5: stratified, contiguous folds that keep the ascending ``order`` (a total one) inside each
+    class. Classes are dealt in the order of their first row; a row without a label has no fold.
+    More than ``max_classes`` classes are an error: such a column is no class label."""
+    classes = df.where(F.col(label).isNotNull()).groupBy(label) \
+        .agg(F.count(F.lit(1)).alias("n"), F.min(order_key(order)).alias("first")) \
+        .orderBy("first").limit(max_classes + 1).collect()
+    if len(classes) > max_classes:
+        raise ValueError(f"{label} has more than {max_classes} classes")
+    fold = F.lit(None).cast("int")
+    for c, sizes in stratified_allocation([(r[label], r["n"]) for r in classes], k).items():
+        own = F.col(label) == F.lit(c)
+        part = parts_before(df.where(own), order, [sum(sizes[:i]) for i in range(k)], sum(sizes))
+        fold = F.when(own, part).otherwise(fold)
+    return df.withColumn(out, fold.cast("int"))
 
 
 def split_sizes(df: DataFrame, cols: Sequence[str] = ("scheme", "split")) -> DataFrame:

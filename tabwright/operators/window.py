@@ -19,23 +19,25 @@ from tabwright.operators.ordering import group_row_index, running_agg
 
 def sequence_no(df: DataFrame, key: str, order: Sequence[str | Column], out: str = "seq") -> DataFrame:
     """1-based running ordinal inside ``key`` (``cumcount() + 1``). Put the row id last in
-    ``order`` so ties are broken deterministically."""
+    ``order`` so ties are broken deterministically. A row without a key has no ordinal."""
     return (group_row_index(df, [key], order, out="__r", size_col=None)
-            .withColumn(out, (F.col("__r") + 1).cast("int")).drop("__r"))
+            .withColumn(out, F.when(F.col(key).isNotNull(), (F.col("__r") + 1).cast("int"))).drop("__r"))
 
 
 def _shifted(df: DataFrame, key: str, seq: str, value: str, lag: int, out: str) -> DataFrame:
     prev = df.select(F.col(key).alias("__k"), (F.col(seq) + lag).alias("__s"), F.col(value).alias(out))
-    j = df.join(prev, (df[key].eqNullSafe(prev["__k"])) & (df[seq] == prev["__s"]), "left")
+    j = df.join(prev.where(F.col("__k").isNotNull()), (df[key] == F.col("__k")) & (df[seq] == F.col("__s")), "left")
     return j.drop("__k", "__s")
 
 
 def prev_value(df: DataFrame, key: str, order: Sequence[str | Column], value: str, out: str,
                default=None, seq: str = "seq") -> DataFrame:
-    """Value of the previous row in the group (``groupby().shift(1)``), ``default`` when none."""
+    """Value of the previous row in the group (``groupby().shift(1)``), ``default`` when none;
+    null for a row without a key."""
     base = df if seq in df.columns else sequence_no(df, key, order, out=seq)
     j = _shifted(base, key, seq, value, 1, out)
-    return j.withColumn(out, F.coalesce(F.col(out), F.lit(default))) if default is not None else j
+    return j.withColumn(out, F.when(F.col(key).isNotNull(), F.coalesce(F.col(out), F.lit(default)))) \
+        if default is not None else j
 
 
 def rolling_mean(df: DataFrame, key: str, order: Sequence[str | Column], value: str, out: str,
@@ -50,9 +52,10 @@ def rolling_mean(df: DataFrame, key: str, order: Sequence[str | Column], value:
         nm = f"__lag{lag}"
         cur = _shifted(cur, key, seq, value, lag, nm)
         names.append(nm)
-    s = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in names), F.lit(0.0))
-    k = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0))
-    return cur.withColumn(out, F.when(k > 0, s / k)).drop(*names[1:])
+    seen = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in names]
+    s = sum((F.when(ok, F.col(c)).otherwise(F.lit(0.0)) for ok, c in zip(seen, names)), F.lit(0.0))
+    k = sum((ok.cast("int") for ok in seen), F.lit(0))
+    return cur.withColumn(out, F.when(F.col(key).isNotNull() & (k > 0), s / k)).drop(*names[1:])
 
 
 def moving_average(df: DataFrame, order: str, value: str, n: int = 3, by: Sequence[str] = (),

@@ -11,6 +11,7 @@ from tabwright.plans.contracts import labelled_contracts, table, with_contracts
 from tabwright.plans.q_prep import house_age
 from tabwright.plans.q_profile import PERIOD_SQL, period
 from tabwright.plans.registry import query
+from tabwright.session import materialize
 
 K = 5
 SEED = 777
@@ -195,7 +196,7 @@ def model_table(spark, d, scheme: str = "random", return_encoder: bool = False):
     if scheme == "random":
         df = split.random_split_exact(df, "contract_id", seed=SEED)
     else:
-        df = split.ordered_split(df, [F.col("house_age").desc()], "contract_id", seed=SEED)
+        df = split.ordered_split(df, [-F.col("house_age")], "contract_id", seed=SEED)
     enc = encode.OneHotWide(ONE_HOT).fit(df.where(F.col("split") == "train"))
     df = enc.transform(df, keep_input=False)
     return (df, enc.output_columns(), enc) if return_encoder else (df, enc.output_columns())
@@ -215,7 +216,7 @@ def _metrics_rows(spark, model_name, fit, frames, label="target"):
 
 def _fit_and_score(spark, d, model_name, params=None, weight=None):
     df, oh = model_table(spark, d)
-    df = encode.assemble(df, _features(oh)).persist()
+    df = materialize(encode.assemble(df, _features(oh)).select("features", "target", "split"))
     train = df.where(F.col("split") == "train")
     if weight:
         train = ml.class_weight(train, "target", weight)
@@ -255,21 +256,20 @@ def train_with_folds(spark, d, proxies=True):
 @query("cv_scores")
 def q_cv_scores(spark, d):
     train, _ = train_with_folds(spark, d)
-    train = train.persist()
+    train = materialize(train.select("features", "target", "fold"))
     scores = ml.cv_scores(lambda: ml.tree({"maxDepth": 6}, label="target"), train, "fold", "target", k=5)
     rows = [(f, s) for f, s in scores]
     out = spark.createDataFrame(rows, "fold int, f1 double")
     return out.unionByName(out.agg(F.lit(-1).alias("fold"), F.avg("f1").alias("f1")))
 
 
-TREE_SPACE = {"maxDepth": (2, 12), "minInstancesPerNode": (1, 20), "impurity": ["gini", "entropy"]}
-
-
 @query("random_search")
 def q_random_search(spark, d):
-    """Seeded search (10 draws x 5 folds) -> trial log with best-so-far (W5) and the best flag."""
+    """Seeded search (50 draws x 5 folds over the whole tree space) -> trial log with best-so-far
+    (W5) and the best flag (T7)."""
     train, _ = train_with_folds(spark, d)
-    log = ml.random_search("tree", TREE_SPACE, 10, train, "fold", "target", seed=SEED)
+    train = materialize(train.select("features", "target", "fold"))
+    log = ml.random_search("tree", ml.SPACES["tree"], 50, train, "fold", "target", seed=SEED, parallelism=8)
     log = window.running_best(log, ["trial"], "mean_f1")
     best = split.best_row(log, "mean_f1", "trial").select(F.col("trial").alias("__best"))
     return log.join(best, log["trial"] == best["__best"], "left").withColumn(
@@ -283,18 +283,34 @@ def q_perm_importance(spark, d):
     data = encode.assemble(df, feats)
     fit = ml.tree({"maxDepth": 6}, label="target").fit(data.where(F.col("split") == "train"))
     test = df.where(F.col("split") == "test")
-    return ml.permutation_importance(fit, test, feats, "target", "contract_id", repeats=10, seed=SEED)
+    return ml.permutation_importance(ml.model_scorer(fit, feats), test, feats, "target", "contract_id", repeats=10, seed=SEED)
+
+
+# the shift of each repeat is a literal of the operator's rule: a prime-to-n factor and an offset
+@query("permutation_importance_rule")
+def q_perm_importance_rule(spark, d):
+    """M10 with a fixed rule as the model, so that every drop can be checked row by row."""
+    df = labelled_contracts(spark, d).where(F.col("label").isNotNull())
+    rule = lambda f: f.withColumn("pred", ((F.col("value") > 150000) & (F.col("n_lines") > 2)).cast("int"))
+    return ml.permutation_importance(rule, df, ["value", "n_lines", "acctbal"], "target", "contract_id", repeats=3,
+                                     seed=SEED, min_abs=-1.0).select("feature", r4("importance_mean").alias("importance_mean"))
 
 
 @query("experiment_metrics")
 def q_experiments(spark, d):
+    """Each scheme, feature set and model: tune on the train folds, refit the best, score
+    validation, refit on train + validation, score test. The forest and the boosted model have one
+    setting each here (their full spaces, ml.SPACES, take hours of fits)."""
     frames, sets = {}, {}
     for scheme in ("random", "ordered"):
         df, oh = model_table(spark, d, scheme)
-        frames[scheme] = df.persist()
+        folds = split.stratified_folds(df.where(F.col("split") == "train"), "target", ["contract_id"], k=5)
+        frames[scheme] = materialize(df.join(folds.select("contract_id", "fold"), "contract_id", "left"))
         sets = {"with_proxies": _features(oh), "without_proxies": _features(oh, proxies=False)}
-    params = {"tree": {"maxDepth": 6}, "forest": {"numTrees": 20, "maxDepth": 8}, "boosted": {"maxIter": 15, "maxDepth": 4}}
-    return ml.experiment_grid(frames, sets, ["tree", "forest", "boosted"], "target", params=params)
+    models = {"tree": ("tree", ml.SPACES["tree"], 10),
+              "forest": ("forest", {"n_estimators": 70, "max_depth": 10, "max_features": "sqrt"}, 1),
+              "boosted": ("boosted", {"n_estimators": 20, "max_depth": 5, "learning_rate": 0.1}, 1)}
+    return ml.experiment_grid(frames, sets, models, "target")
 
 
 @query("pseudo_label_train")
@@ -304,9 +320,12 @@ def q_pseudo_label(spark, d):
     trees on real plus pseudo labels, score on the test split."""
     lab, oh, enc = model_table(spark, d, "ordered", return_encoder=True)
     allc = labelled_contracts(spark, d)
-    graph_cols = ["value", "acctbal", "build_year"]
-    z = profile.zscore(allc.select("contract_id", *graph_cols), graph_cols)
-    vec = F.array(*[F.coalesce(F.col(f"{c}_z"), F.lit(0.0)) for c in graph_cols])
+    # the graph stands on the whole encoded matrix, standardised
+    allc = allc.withColumn("house_age", house_age(allc))
+    graph_cols = BASE_FEATURES + oh
+    encoded = enc.transform(allc).select("contract_id", *[F.col(c).cast("double").alias(c) for c in graph_cols])
+    z = profile.zscore(encoded, graph_cols)
+    vec = F.array(*[F.coalesce(F.col(f"`{c}_z`"), F.lit(0.0)) for c in graph_cols])
     known = lab.where(F.col("split").isin("train", "val")).select("contract_id", F.col("target").alias("seed_label"))
     unknown = allc.where(F.col("label").isNull()).select("contract_id", F.lit(None).cast("int").alias("seed_label"))
     nodes = known.unionByName(unknown).join(z.select("contract_id", vec.alias("vec")), "contract_id")
@@ -317,7 +336,7 @@ def q_pseudo_label(spark, d):
     feats = BASE_FEATURES + oh
     real = lab.where(F.col("split").isin("train", "val")).select(*feats, F.col("target").alias("y"))
     unl = allc.where(F.col("label").isNull())
-    unl = impute.fill_const(unl.withColumn("house_age", house_age(unl)), ["area", "room1", "room2", "room3", "discount", "n_lines"], 0)
+    unl = impute.fill_const(unl, ["area", "room1", "room2", "room3", "discount", "n_lines"], 0)
     unl = enc.transform(unl).join(pseudo, "contract_id").select(
         *[F.col(c).cast("double").alias(c) for c in BASE_FEATURES], *oh, F.col("pseudo").cast("int").alias("y"))
     train = encode.assemble(ml.class_weight(real.unionByName(unl), "y", 1.5), feats)

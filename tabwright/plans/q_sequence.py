@@ -109,7 +109,7 @@ def random_splits(spark, d):
 def ordered_splits(spark, d):
     df = labelled(spark, d)
     df = df.withColumn("house_age", house_age(df))
-    return split.ordered_split(df, [F.col("house_age").desc()], "contract_id", frac=0.6, seed=SEED)
+    return split.ordered_split(df, [-F.col("house_age")], "contract_id", frac=0.6, seed=SEED)
 
 
 @query("split_random", with_contracts("SELECT contract_id, split FROM rsplit", RANDOM_SPLIT_SQL))
@@ -136,8 +136,8 @@ def q_kfold(spark, d):
 SELECT r.contract_id, CAST(a.i AS INTEGER) AS fold
 FROM (SELECT contract_id, target, row_number() OVER (PARTITION BY target ORDER BY contract_id) - 1 AS j FROM lab) r
 JOIN cum a ON r.target = a.target AND r.j < a.hi AND r.j >= a.hi - a.cnt""", f"""{LAB_SQL},
-cc AS (SELECT target, count(*) AS n FROM lab GROUP BY target),
-st AS (SELECT target, n, coalesce(sum(n) OVER (ORDER BY target ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM cc),
+cc AS (SELECT target, count(*) AS n, min(contract_id) AS first_id FROM lab GROUP BY target),
+st AS (SELECT target, n, coalesce(sum(n) OVER (ORDER BY first_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM cc),
 al AS (SELECT target, i,
               greatest(0, CAST(ceil((s + n - i) / {float(K)}) AS BIGINT)) - greatest(0, CAST(ceil((s - i) / {float(K)}) AS BIGINT)) AS cnt
        FROM st, range({K}) t(i)),
@@ -207,6 +207,9 @@ def q_one_hot(spark, d):
 @query("features_per_split", with_contracts(f"""
 SELECT contract_id, split,
        {R4('avg(duration_days) OVER (PARTITION BY split, property_id)')} AS avg_dur_property,
+       {R4('avg(duration_days) OVER (PARTITION BY split, prop_type)')} AS avg_dur_type,
+       {R4('avg(duration_days) OVER (PARTITION BY split, complex_id)')} AS avg_dur_complex,
+       {R4('avg(duration_days) OVER (PARTITION BY split, city)')} AS avg_dur_city,
        {R4('avg(duration_days) OVER (PARTITION BY split, region)')} AS avg_dur_region,
        {R4('avg(value) OVER (PARTITION BY split, property_id ORDER BY start_ts, contract_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')} AS rolling_value,
        CAST(coalesce(room1 > 0, false) AS INTEGER) + CAST(coalesce(room2 > 0, false) AS INTEGER)
@@ -218,13 +221,14 @@ FROM (SELECT *, {RENT_SQL} AS rent FROM rsplit)""", RANDOM_SPLIT_SQL))
 def q_features_per_split(spark, d):
     """The feature bundle computed per split: every group and window key includes the split,
     so no statistic crosses from one split into another."""
-    df = random_splits(spark, d).withColumn("split_property", F.concat_ws("|", "split", F.col("property_id").cast("string")))
-    df = groups.group_mean(df, ["split", "property_id"], "duration_days", "avg_dur_property")
-    df = groups.group_mean(df, ["split", "region"], "duration_days", "avg_dur_region")
+    df = random_splits(spark, d).withColumn("split_property", F.concat("split", F.lit("|"), F.col("property_id").cast("string")))
+    means = {"avg_dur_property": "property_id", "avg_dur_type": "prop_type", "avg_dur_complex": "complex_id",
+             "avg_dur_city": "city", "avg_dur_region": "region"}
+    for name, key in means.items():
+        df = groups.group_mean(df, ["split", key], "duration_days", name)
     df = window.rolling_mean(df, "split_property", ["start_ts", "contract_id"], "value", "rolling_value", n=3)
     df = df.withColumns({
         "n_rooms": C.count_positive(["room1", "room2", "room3"]),
         "price_class": C.banded(F.col("value") / F.col("area") * 0.3, RENT_EDGES, RENT_LABELS, RENT_UNKNOWN)})
-    return df.select("contract_id", "split", r4("avg_dur_property").alias("avg_dur_property"),
-                     r4("avg_dur_region").alias("avg_dur_region"), r4("rolling_value").alias("rolling_value"),
+    return df.select("contract_id", "split", *[r4(m).alias(m) for m in means], r4("rolling_value").alias("rolling_value"),
                      "n_rooms", "price_class")

@@ -4,7 +4,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tabwright.operators import groups, ordering, split, window
+from tabwright.operators import groups, ordering, ranks, split, window
 
 
 def test_global_row_index_is_a_permutation(spark):
@@ -62,7 +62,7 @@ def test_random_split_ignores_partitioning(spark):
 
 def test_ordered_split_head_is_train(spark):
     df = spark.range(0, 101).withColumn("age", 200 - F.col("id"))
-    out = split.ordered_split(df, [F.col("age").desc()], "id", frac=0.6)
+    out = split.ordered_split(df, [-F.col("age")], "id", frac=0.6)
     train = sorted(r["id"] for r in out.where("split = 'train'").collect())
     assert train == list(range(60))
     sizes = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
@@ -76,10 +76,11 @@ def test_kfold_sizes(spark):
 
 
 def _reference_stratified(labels, k):
-    """Unshuffled stratified K-fold allocation, written out from the documented rule."""
-    classes = sorted(set(labels))
-    y_sorted = sorted(labels)
-    alloc = [[sum(1 for y in y_sorted[i::k] if y == c) for c in classes] for i in range(k)]
+    """Unshuffled stratified K-fold allocation, written out from the documented rule: classes are
+    numbered by first appearance, the sorted numbers dealt round-robin."""
+    classes = list(dict.fromkeys(labels))
+    y_sorted = sorted(classes.index(y) for y in labels)
+    alloc = [[sum(1 for y in y_sorted[i::k] if y == c) for c in range(len(classes))] for i in range(k)]
     folds = [None] * len(labels)
     for ci, c in enumerate(classes):
         seq = [i for i in range(k) for _ in range(alloc[i][ci])]
@@ -89,11 +90,56 @@ def _reference_stratified(labels, k):
     return folds
 
 
-def test_stratified_folds_match_rule(spark):
-    labels = [(i * 7) % 3 % 2 for i in range(137)]
-    df = spark.createDataFrame(list(enumerate(labels)), "pos long, y int")
-    out = {r["pos"]: r["fold"] for r in split.stratified_folds(df, "y", ["pos"], k=5).collect()}
-    assert [out[i] for i in range(len(labels))] == _reference_stratified(labels, 5)
+@pytest.mark.parametrize("labels,k", [([(i * 7) % 3 % 2 for i in range(137)], 5), ([1, 0, 1, 0, 1, 0, 1, 0], 3),
+                                      (list("cabacbbbaacc"), 4)])
+def test_stratified_folds_match_rule(spark, labels, k):
+    df = spark.createDataFrame(list(enumerate(labels)), ["pos", "y"]).repartition(3)
+    out = {r["pos"]: r["fold"] for r in split.stratified_folds(df, "y", ["pos"], k=k).collect()}
+    assert [out[i] for i in range(len(labels))] == _reference_stratified(labels, k)
+
+
+def test_stratified_folds_leave_unlabelled_rows_out(spark):
+    df = spark.createDataFrame([(0, None), (1, 1), (2, 0), (3, 1), (4, 0)], "pos int, y int")
+    out = {r["pos"]: r["fold"] for r in split.stratified_folds(df, "y", ["pos"], k=2).collect()}
+    assert out[0] is None and {out[i] for i in range(1, 5)} == {0, 1}
+    with pytest.raises(ValueError):
+        split.stratified_folds(df, "pos", ["pos"], k=2, max_classes=3)
+
+
+@pytest.mark.parametrize("limit", [3, 50, 20_000])
+def test_keys_at_positions(spark, limit):
+    rows = [(None if i % 11 == 0 else float((i * 37) % 50), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "v double, id long").repartition(5)
+    want = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0.0, r[1]))
+    positions = [0, 1, 57, 199, 398, 399]
+    got = ranks.keys_at(df, ["v", "id"], positions, limit=limit)
+    for p in positions:
+        hit = df.where(ranks.order_key(["v", "id"]) == got[p]).collect()
+        assert [(r["v"], r["id"]) for r in hit] == [want[p]]
+
+
+def test_keys_at_of_equal_keys(spark):
+    df = spark.createDataFrame([(7,)] * 300, "v int").repartition(4)
+    got = ranks.keys_at(df, ["v"], [0, 150, 299], limit=5)
+    assert df.where(ranks.order_key(["v"]) == got[150]).count() == 300
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_running_sum_does_not_depend_on_partitions(spark, parts):
+    vals = [None, 1.0, None, 3.0, None, None, 2.0, None]
+    df = spark.createDataFrame(list(enumerate(vals)), "t int, v double")
+    out = {r["t"]: r["running_sum"] for r in ordering.running_agg(df, ["t"], "v", "sum", num_partitions=parts).collect()}
+    assert [out[i] for i in range(8)] == [None, 1.0, 1.0, 4.0, 4.0, 4.0, 6.0, 6.0]
+
+
+def test_rows_without_a_key_have_no_sequence(spark):
+    df = spark.createDataFrame([(1, 1, 10.0, "a"), (None, 2, 20.0, "b"), (None, 3, 30.0, "c"), (1, 4, float("nan"), "d")],
+                               "k int, t int, v double, lab string")
+    assert {r["t"]: r["seq"] for r in window.sequence_no(df, "k", ["t"]).collect()} == {1: 1, 2: None, 3: None, 4: 2}
+    got = {r["t"]: r["m"] for r in window.rolling_mean(df, "k", ["t"], "v", "m").collect()}
+    assert got == {1: 10.0, 2: None, 3: None, 4: 10.0}
+    prev = {r["t"]: r["p"] for r in window.prev_value(df, "k", ["t"], "lab", "p", default="none").collect()}
+    assert prev == {1: "none", 2: None, 3: None, 4: "a"}
 
 
 def test_sequence_prev_and_rolling(spark):
