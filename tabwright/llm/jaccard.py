@@ -7,15 +7,16 @@ a 128-bit hash. The exact join has four steps:
    width that grows with the input and packed as sorted differences, to buckets; each bucket
    answers every chunk with the frequencies. A cut can only raise a frequency, so a set with under
    80 % of shingles seen twice links with nothing and leaves.
-2. Index lists. The remaining sets are ordered rarest shingle first; lists over the prefixes hold
-   (set, size, position). Every linked pair meets in a list.
-3. Leaders. Each list's sets are compared with its leader, the smallest set name, and links are
-   joined into components.
-4. Skipping. A list whose sets now share one component is skipped as a block. In the others a pair
-   is compared only if it is in two components, its sizes and positions leave room for the
-   required overlap, and its distances from the leader, already computed, differ by no more than
-   the threshold (Jaccard distance is a metric): the answer of a set is derived from that of a
-   similar one.
+2. Index lists. The remaining sets are ordered rarest shingle first and listed by the shingles of
+   their prefixes, positions beyond which no linked pair can first meet. Every linked pair meets
+   in a list.
+3. Leaders. Each list's sets are compared with its leader, the set with the fewest shingles of its
+   own, and links are joined into components.
+4. Skipping. The sets of a leader's lists are dealt into cells by their distance from it, already
+   computed. As Jaccard distance is a metric, two sets whose distances differ by more than the
+   threshold cannot link, so the answer of a set is derived from its leader's: pairs of cells too
+   far apart are skipped as blocks, as are cells inside the leader's component. The other pairs of
+   cells are compared whole, and only links between components are returned.
 
 Cases: null, empty and blank texts have empty sets that link with nothing; fewer than ``width``
 words make one shingle of the whole sequence; rows with equal texts share a component; repeated
@@ -36,8 +37,11 @@ from pyspark.sql import functions as F
 from tabwright.llm.common import (LOWER, chunk_name, common_first, encode, gather, pack_ints, stage_table, text_buffers,
                                   text_slices, unpack_ints, words)
 from tabwright.llm.graph import components
+from tabwright.llm.vectors import forest
 
 CHUNK_BYTES = 16 << 20
+CELL_SETS = 512
+FAR_STEP = 0.05
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -234,39 +238,83 @@ def linked(pct: int):
 def set_components(sets: DataFrame, pct: int) -> DataFrame:
     """(node, root) of all linked sets."""
     index = stage_table(
-        sets.select("sid", "n", F.posexplode(F.slice("prefix", 2, F.greatest(F.size("prefix") - 1, F.lit(0)))).alias("pos", "item"),
-                    F.element_at("prefix", 1).alias("single")).withColumn("pos", F.col("pos") + F.col("single")).drop("single"),
-        "jaccard-index")
-    lists = index.groupBy("item").agg(F.min("sid").alias("leader"), F.max("sid").alias("other")).where("leader < other") \
-        .select("item", "leader")
-    lists = stage_table(index.join(lists, "item"), "jaccard-lists")
-    sizes_fit = lambda x, y: (100 * F.least(x, y) >= pct * F.greatest(x, y))
+        sets.select("sid", F.explode(F.slice("prefix", 2, F.greatest(F.size("prefix") - 1, F.lit(0)))).alias("item"),
+                    F.element_at("prefix", 1).alias("single")), "jaccard-index")
+    # the leader has the fewest shingles of its own: the source of a group of copies rather than a copy
+    lists = index.groupBy("item").agg(F.min(F.struct("single", "sid")).alias("leader"), F.count(F.lit(1)).alias("sets")) \
+        .where("sets > 1").select("item", F.col("leader.sid").alias("leader"))
+    lists = stage_table(index.drop("single").join(lists, "item"), "jaccard-lists")
     stars = lists.where("sid <> leader").select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct()
     compared = stage_table(overlaps(stars, sets), "jaccard-stars")
     links = compared.where(linked(pct)).select("a", "b")
-    roots = components(links)
-    near = compared.select(F.col("a").alias("leader"), F.col("b").alias("sid"),
-                           (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"))
-    # a list of one component is skipped whole; a leader is at distance 0 from itself
-    listed = lists.join(near, ["leader", "sid"], "left").fillna({"far": 0.0}) \
-        .join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left") \
-        .withColumn("root", F.coalesce("root", "sid"))
-    listed = stage_table(listed, "jaccard-listed")
-    mixed_lists = listed.groupBy("item").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("item")
-    open_lists = listed.where("sid <> leader").join(mixed_lists, "item", "left_semi")
-    x = open_lists.select("item", *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "pos", "far", "root")))
-    y = open_lists.select("item", *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "pos", "far", "root")))
-    least = lambda a, b: F.least(F.col(f"x_{a}") - F.col(f"x_{b}"), F.col(f"y_{a}") - F.col(f"y_{b}"))
-    room = F.least("x_pos", "y_pos") + least("n", "pos")
-    need = pct * (F.col("x_n") + F.col("y_n")) <= (100 + pct) * room
-    rest = x.join(y, "item").where(
-        (F.col("x_sid") < F.col("y_sid")) & (F.col("x_root") != F.col("y_root")) & sizes_fit(F.col("x_n"), F.col("y_n")) & need
-        & (F.abs(F.col("x_far") - F.col("y_far")) <= 1 - pct / 100 + 1e-9)) \
-        .select(F.col("x_sid").alias("a"), F.col("y_sid").alias("b")).distinct()
-    more = overlaps(rest, sets).where(linked(pct)).select("a", "b")
+    roots = stage_table(components(links), "jaccard-roots")
+    more = open_links(compared, roots, sets, pct)
     return components(links.unionByName(more))
 
 
+def open_links(compared: DataFrame, roots: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """(a, b): links between components that a leader's sets still have among themselves.
+
+    The sets of a leader are dealt into cells by their distance from it, FAR_STEP wide and of about
+    CELL_SETS sets. Two cells are compared if their distances leave room for a link and one of them
+    holds a set outside the leader's component; a task returns the smallest component that each
+    component is linked to, never the pairs.
+    """
+    def root_of(c: str) -> DataFrame:
+        return roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    far = 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
+    members = compared.select("a", "b", F.floor(far / FAR_STEP).cast("int").alias("ring")) \
+        .join(root_of("a"), "a", "left").join(root_of("b"), "b", "left") \
+        .select("a", "b", "ring", F.coalesce("root_b", "b").alias("root"),
+                (F.coalesce("root_b", "b") != F.coalesce("root_a", "a")).alias("outside"))
+    members = stage_table(members, "jaccard-members")
+    rings = members.groupBy("a", "ring").agg(F.count(F.lit(1)).alias("n"), F.max("outside").alias("outside")) \
+        .withColumn("parts", (1 + F.col("n") / CELL_SETS).cast("int"))
+    cells = rings.select("a", "ring", "outside", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    x, y = (cells.select("a", *(F.col(c).alias(f"{p}_{c}") for c in ("ring", "part", "outside"))) for p in "xy")
+    reach = math.ceil((1 - pct / 100) / FAR_STEP + 1e-9) + 1
+    pairs = x.join(y, "a").where(
+        (F.struct("x_ring", "x_part") <= F.struct("y_ring", "y_part")) & (F.col("y_ring") - F.col("x_ring") < reach)
+        & (F.col("x_outside") | F.col("y_outside"))).withColumn("pair", F.xxhash64("a", "x_ring", "x_part", "y_ring", "y_part"))
+    # both cells of a pair: one row if they are the same
+    sides = pairs.select("a", "pair", F.explode(F.array_distinct(F.array(
+        F.struct(F.col("x_ring").alias("ring"), F.col("x_part").alias("part")),
+        F.struct(F.col("y_ring").alias("ring"), F.col("y_part").alias("part"))))).alias("cell")).select("a", "pair", "cell.*")
+    dealt = members.join(rings.select("a", "ring", "parts"), ["a", "ring"]) \
+        .withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")) \
+        .join(sides, ["a", "ring", "part"]).select("pair", "ring", "part", "root", "outside", F.col("b").alias("sid")) \
+        .join(sets.select("sid", "n", "items"), "sid")
+
+    def compare(group):
+        cell = group.column("ring").to_numpy() * (1 << 20) + group.column("part").to_numpy()
+        outside = np.array(group.column("outside").to_pylist(), bool)
+        names, root = np.unique(np.array(group.column("root").to_pylist(), object), return_inverse=True)
+        n = group.column("n").to_numpy()
+        items = np.frombuffer(b"".join(group.column("items").to_pylist()), np.uint64)
+        owner = np.repeat(np.arange(len(n)), n)
+        _, column, times = np.unique(items, return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+        one = np.flatnonzero(cell == cell.min())
+        two = np.flatnonzero(cell == cell.max())
+        common = np.zeros((len(one), len(two)), np.float32)
+        width = int(column.max()) + 1 if len(column) else 0
+        for c in range(0, width, 4096):
+            here = (column >= c) & (column < c + 4096)
+            has = np.zeros((len(n), min(4096, width - c)), np.float32)
+            has[owner[here], column[here] - c] = 1
+            common += has[one] @ has[two].T
+        common = common.astype(np.int64)
+        link = (100 * common >= pct * (n[one][:, None] + n[two][None, :] - common)) \
+            & (outside[one][:, None] | outside[two][None, :]) & (root[one][:, None] != root[two][None, :])
+        p, q = np.nonzero(link)
+        least = forest(root[one][p], root[two][q], len(names))
+        moved = np.flatnonzero(least != np.arange(len(names)))
+        return pa.table({"a": pa.array(names[least[moved]].tolist(), pa.binary()), "b": pa.array(names[moved].tolist(), pa.binary())})
+
+    return dealt.groupBy("pair").applyInArrow(compare, "a binary, b binary")
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, pct: int = 80, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, row, n_shingles, component_id) for every row of ``docs``; ``row`` is xxhash64 of the text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"),
