@@ -47,22 +47,26 @@ def contingency(df: DataFrame, features: Sequence[str], label: str) -> DataFrame
     return long.groupBy("feature", "level", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def chi2_cells(table: DataFrame) -> DataFrame:
+    """Every cell of every feature's table, zeros included, with its expected count: (feature, level,
+    label, n, expected, dof, n_levels, n_classes). A level's counts are one map, so the table is
+    completed by two aggregates and one join per feature, not by joining levels with classes."""
+    by_level = table.groupBy("feature", "level").agg(
+        F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("seen"), F.sum("n").alias("row_n"))
+    margins = table.groupBy("feature", "label").agg(F.sum("n").alias("col_n")).groupBy("feature").agg(
+        F.collect_list(F.struct("label", "col_n")).alias("cols"), F.sum("col_n").alias("total"),
+        F.count(F.lit(1)).alias("n_classes"))
+    levels = by_level.groupBy("feature").agg(F.count(F.lit(1)).alias("n_levels"))
+    cells = by_level.join(margins.join(levels, "feature"), "feature").select("*", F.explode("cols").alias("c"))
+    return cells.select(
+        "feature", "level", "c.label", F.coalesce(F.col("seen")[F.col("c.label")], F.lit(0)).alias("n"),
+        (F.col("row_n") * F.col("c.col_n") / F.col("total")).alias("expected"),
+        ((F.col("n_levels") - 1) * (F.col("n_classes") - 1)).cast("int").alias("dof"), "n_levels", "n_classes")
+
+
 def chi2_statistic(table: DataFrame, yates: bool = True) -> DataFrame:
-    """(feature, statistic, dof, n_levels, n_classes) from a long contingency table.
-    Zero cells are materialised as levels x classes per feature, a bounded product."""
-    levels = table.select("feature", "level").distinct()
-    classes = table.select("feature", "label").distinct()
-    dense = (levels.join(classes, "feature")
-             .join(table, ["feature", "level", "label"], "left")
-             .withColumn("n", F.coalesce(F.col("n"), F.lit(0))))
-    rows = dense.groupBy("feature", "level").agg(F.sum("n").alias("row_n"))
-    cols = dense.groupBy("feature", "label").agg(F.sum("n").alias("col_n"))
-    tot = dense.groupBy("feature").agg(F.sum("n").alias("total"),
-                                       F.count_distinct("level").alias("n_levels"),
-                                       F.count_distinct("label").alias("n_classes"))
-    cells = (dense.join(rows, ["feature", "level"]).join(cols, ["feature", "label"]).join(tot, "feature")
-             .withColumn("dof", ((F.col("n_levels") - 1) * (F.col("n_classes") - 1)).cast("int"))
-             .withColumn("expected", F.col("row_n") * F.col("col_n") / F.col("total")))
+    """(feature, statistic, dof, n_levels, n_classes) from a long contingency table."""
+    cells = chi2_cells(table)
     diff = F.abs(F.col("n") - F.col("expected"))
     if yates:
         diff = F.when(F.col("dof") == 1, diff - F.least(F.lit(0.5), diff)).otherwise(diff)

@@ -113,20 +113,47 @@ def q_knn_impute(spark, d):
     return out.select("p_partkey", r4("retailprice").alias("retailprice"))
 
 
-@query("knn_impute_categorical", f"""
+def _categorical_sql(rounding: str) -> str:
+    return f"""
 WITH lv AS (SELECT p_type AS level, CAST(row_number() OVER (ORDER BY p_type) - 1 AS DOUBLE) AS code
             FROM (SELECT DISTINCT p_type FROM part WHERE NOT ({MASK_SQL}))),
 {_nan_knn_sql('(SELECT code FROM lv WHERE level = p_type)')}
 SELECT p.id AS p_partkey, lv.level AS p_type
 FROM p LEFT JOIN fill ON p.id = fill.rid
-LEFT JOIN lv ON lv.code = round_even(coalesce(p.y, fill.v, (SELECT avg(y) FROM p)), 0)""")
-def q_knn_impute_cat(spark, d):
+LEFT JOIN lv ON lv.code = {rounding.format('coalesce(p.y, fill.v, (SELECT avg(y) FROM p))')}"""
+
+
+def _categorical(spark, d, rounding):
     p = parts(spark, d).withColumn("ptype", F.when(~F.col("masked"), F.col("p_type")))
     out = knn.knn_impute_categorical(p.select("p_partkey", "ptype", "f1", "f2"), "p_partkey", "ptype", ["f1", "f2"],
-                                     k=K, rounding="nearest", out="p_type")
+                                     k=K, rounding=rounding, out="p_type")
     return out.select("p_partkey", "p_type")
 
 
+@query("knn_impute_categorical", _categorical_sql("round_even({}, 0)"))
+def q_knn_impute_cat(spark, d):
+    return _categorical(spark, d, "nearest")
+
+
+@query("knn_impute_categorical_floor", _categorical_sql("floor({})"))
+def q_knn_impute_cat_floor(spark, d):
+    return _categorical(spark, d, "floor")
+
+
+@query("knn_impute_categorical_vote", f"""
+WITH lv AS (SELECT p_type AS level, CAST(row_number() OVER (ORDER BY p_type) - 1 AS DOUBLE) AS code
+            FROM (SELECT DISTINCT p_type FROM part WHERE NOT ({MASK_SQL}))),
+{_nan_knn_sql('(SELECT code FROM lv WHERE level = p_type)')},
+votes AS (SELECT rid, y, row_number() OVER (PARTITION BY rid ORDER BY count(*) DESC, y) AS place
+          FROM ranked WHERE rn <= {K} GROUP BY rid, y),
+usual AS (SELECT y FROM p WHERE y IS NOT NULL GROUP BY y ORDER BY count(*) DESC, y LIMIT 1)
+SELECT p.id AS p_partkey, lv.level AS p_type
+FROM p LEFT JOIN votes ON p.id = votes.rid AND votes.place = 1
+LEFT JOIN lv ON lv.code = coalesce(p.y, votes.y, (SELECT y FROM usual))""")
+def q_knn_impute_cat_vote(spark, d):
+    return _categorical(spark, d, "vote")
+
+
 # ------------------------------------------------------------------ L1, L2 on embeddings
 
 EMB_LABELLED_SQL = "substr(md5(CAST(vec_id AS VARCHAR)), 1, 1) < '4'"

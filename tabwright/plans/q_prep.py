@@ -6,6 +6,8 @@ statement over the same parquet tables. Floating outputs are rounded to 4 decima
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tabwright.functions import columns as C
@@ -13,6 +15,8 @@ from tabwright.operators import filters, impute, joins
 from tabwright.plans.contracts import AS_OF, CUTOFF_YEAR, contracts, labelled_contracts, table, with_contracts
 from tabwright.plans.common import R4, RND, r4, rnd
 from tabwright.plans.registry import query
+from tabwright.session import ensure_checkpoint_dir
+from tabwright.sources import io
 
 
 # ------------------------------------------------------------------ fixed values of the stand-in
@@ -160,6 +164,52 @@ def q_split_labeled(spark, d):
                             unl.select("contract_id", F.lit(0).alias("is_labeled")))
 
 
+@query("filter_abs", with_contracts("SELECT contract_id, acctbal FROM contracts WHERE abs(acctbal) > 5000"))
+def q_filter_abs(spark, d):
+    return filters.filter_abs(contracts(spark, d).select("contract_id", "acctbal"), "acctbal", 5000)
+
+
+@query("numeric_columns", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(count({c}) AS BIGINT) AS n FROM lineitem"
+    for c in ("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")))
+def q_numeric_columns(spark, d):
+    df = table(spark, d, "lineitem")
+    cols = [c for c in filters.select_by_type(df, "number") if c in ("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")]
+    one = df.agg(*[F.count(c).alias(c) for c in cols])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in cols])).alias("s")).select("s.*")
+
+
+# ------------------------------------------------------------------ S2, S4-S6: round trips through the shared folder
+
+def stage_path(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+NARROW_SQL = "SELECT contract_id, status, value, discount FROM contracts"
+
+
+@query("stage_roundtrip", with_contracts(NARROW_SQL))
+def q_stage(spark, d):
+    return io.materialize_stage(contracts(spark, d).select("contract_id", "status", "value", "discount"), stage_path(spark, "stage"))
+
+
+@query("delimited_roundtrip", with_contracts(NARROW_SQL))
+def q_delimited(spark, d):
+    df = contracts(spark, d).select("contract_id", "status", "value", "discount")
+    path = stage_path(spark, "delimited")
+    io.write_table(df, path, fmt="csv", sep=";")
+    return io.read_delimited(spark, path, schema=df.schema)
+
+
+@query("split_roundtrip", with_contracts(
+    "SELECT contract_id, value FROM contracts WHERE CAST(year(start_ts) AS INTEGER) = 1996 AND status = 'O'"))
+def q_split_roundtrip(spark, d):
+    df = contracts(spark, d).select("contract_id", "value", F.year("start_ts").cast("string").alias("scheme"), F.col("status").alias("split"))
+    path = stage_path(spark, "splits")
+    io.write_splits(df, path)
+    return io.read_split(spark, path, "1996", "O").select("contract_id", "value")
+
+
 SPARSE_COLS = ("end_ts", "duration_days", "area", "room1", "room2", "room3", "discount", "demolish_ts")
 
 

@@ -274,6 +274,26 @@ def q_chi2(spark, d):
     return st.select("feature", r4("statistic").alias("statistic"), "dof")
 
 
+# Upper 5 % points of the chi-squared distribution for 1 to 10 degrees of freedom
+CHI2_CRITICAL = [3.841459, 5.991465, 7.814728, 9.487729, 11.070498, 12.591587, 14.067140, 15.507313, 16.918978, 18.307038]
+
+
+@query("chi2_expected", with_contracts(f"""
+SELECT feature, level, label, CAST(n AS BIGINT) AS n, {R4('e')} AS expected FROM cells2""", CHI_CTES + """,
+cells2 AS (SELECT d.feature, d.level, d.label, d.n, rs.row_n * cs.col_n / ts.total AS e
+           FROM dense d JOIN rs USING (feature, level) JOIN cs USING (feature, label) JOIN ts USING (feature))"""))
+def q_chi2_expected(spark, d):
+    cells = assoc.chi2_cells(assoc.contingency(labelled_contracts(spark, d), CHI_FEATURES, "label"))
+    return cells.select("feature", "level", "label", "n", r4("expected").alias("expected"))
+
+
+@query("chi2_verdict", with_contracts(f"""
+SELECT feature, dof, CASE WHEN statistic > list_extract({CHI2_CRITICAL}, dof) THEN 'reject' ELSE 'keep' END AS verdict
+FROM (SELECT feature, sum({YATES_TERM}) AS statistic, first(dof) AS dof FROM cells GROUP BY feature)""", CHI_CTES))
+def q_chi2_verdict(spark, d):
+    return assoc.chi2_test(labelled_contracts(spark, d), CHI_FEATURES, "label").select("feature", "dof", "verdict")
+
+
 @query("chi2_test")
 def q_chi2_test(spark, d):
     """Statistic, p-value and verdict; the p-value has no SQL counterpart in the oracle."""
