@@ -1,10 +1,10 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-A task cuts its documents into units (a white-space run and the solid run after it), numbers the
-distinct units of a chunk of documents and keeps every document as the list of these numbers by
-position. Only the distinct units of each chunk are exploded and shuffled; over all chunks each
-distinct unit is encoded once (its pattern matches separately); the ids are joined back by unit,
-sent to the chunk and put in place by position. Decoding looks up ids in the token-byte table,
+A task cuts its documents into units (pre-tokens, or runs of them that no cut is sure to divide),
+numbers the distinct units of a chunk of documents and keeps every document as the list of these
+numbers by position. Only the distinct units of each chunk are shuffled, packed by a hash of the unit; the
+task of a hash bucket encodes each distinct unit of all chunks once (its pattern matches
+separately) and joins the ids to every chunk that asked, where they are put in place by position. Decoding looks up ids in the token-byte table,
 whose size is that of the vocabulary.
 
 Cases: a null text counts as empty and has no ids; repeated rows stay; other columns are ignored.
@@ -16,11 +16,12 @@ import base64
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import encode, gather, stage_table, text_buffers, text_slices, units
+from tabwright.llm.common import (bucket_count, chunk_name, common_first, encode, gather, ids_and_nulls, ids_array,
+                                  pack_ints, pack_words, text_buffers, text_slices, units, unpack_ints, unpack_words,
+                                  word_buckets)
 
 CHUNK_BYTES = 16 << 20
 
@@ -30,85 +31,91 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def pack_ints(*arrays: np.ndarray) -> bytes:
-    """Compressed integer arrays, each in the narrowest type."""
-    out = []
-    for a in arrays:
-        a = np.asarray(a)
-        top = int(a.max()) if len(a) else 0
-        low = int(a.min()) if len(a) else 0
-        kind = next(k for k in (np.uint16, np.uint32, np.int64)
-                    if low >= np.iinfo(k).min and top <= np.iinfo(k).max)
-        out += [np.array([np.dtype(kind).itemsize, len(a)], np.int64).tobytes(), a.astype(kind).tobytes()]
-    return zstandard.compress(b"".join(out), 3)
+def coded(part: pa.RecordBatch):
+    """Distinct units of a chunk, the code of each unit in place, and the documents' offsets."""
+    col, offs = units(*text_buffers(part.column("text")))
+    return *common_first(*encode(col)), offs
 
 
-def unpack_ints(blob: bytes) -> list[np.ndarray]:
-    raw, at, out = zstandard.decompress(blob), 0, []
-    while at < len(raw):
-        width, n = np.frombuffer(raw, np.int64, 2, at)
-        out.append(np.frombuffer(raw, {2: np.uint16, 4: np.uint32, 8: np.int64}[int(width)], int(n), at + 16))
-        at += 16 + int(width * n)
-    return out
-
-
-def chunks_of_units(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk, payload, vocab): documents as numbers of the chunk's distinct units."""
+def chunk_words(docs: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
+    """(to_chunk, bucket, places, words): the distinct units of each chunk, packed by bucket."""
     def run(batches):
-        from pyspark import TaskContext
-        chunk = TaskContext.get().partitionId() << 32
         for part in text_slices(batches, chunk_bytes):
-            col, offs = units(*text_buffers(part.column("text")))
-            codes, vocab = encode(col)
-            ids = part.column("doc_id")
-            blob = pack_ints(ids.fill_null(0).to_numpy(zero_copy_only=False),
-                             ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), offs, codes)
-            yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([blob], pa.binary()),
-                                   pa.ListArray.from_arrays(pa.array([0, len(vocab)], pa.int32()), vocab)],
-                                  names=["chunk", "payload", "vocab"])
-            chunk += 1
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .mapInArrow(run, "chunk long, payload binary, vocab array<string>")
-
-
-def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str,
-               chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(doc_id, ids) for every row of ``docs`` (doc_id, text)."""
-    chunks = stage_table(chunks_of_units(docs, chunk_bytes), "bpe-chunks")
-
-    def encode_words(batches):
+            vocab = coded(part)[1].cast(pa.binary()).to_pylist()
+            chunk = chunk_name(part)
+            rows = [(bucket, pack_ints(np.diff(at, prepend=0)), pack_words([vocab[i] for i in at.tolist()]))
+                    for bucket, at in word_buckets(vocab, buckets)]
+            for a in range(0, len(rows), 4096):
+                some = list(zip(*rows[a:a + 4096]))
+                yield pa.record_batch([pa.array([chunk] * len(some[0]), pa.int64()), pa.array(some[0], pa.int64()),
+                                       pa.array(some[1], pa.binary()), pa.array(some[2], pa.binary())],
+                                      names=["to_chunk", "bucket", "places", "words"])
+    return docs.mapInArrow(run, "to_chunk long, bucket long, places binary, words binary")
+
+
+def chunk_places(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """(chunk, payload): the documents of each chunk as numbers of its units, by position."""
+    def run(batches):
+        for part in text_slices(batches, chunk_bytes):
+            codes, _, offs = coded(part)
+            yield pa.record_batch([pa.array([chunk_name(part)], pa.int64()),
+                                   pa.array([pack_ints(*ids_and_nulls(part), offs, codes)], pa.binary())],
+                                  names=["chunk", "payload"])
+    return docs.mapInArrow(run, "chunk long, payload binary")
+
+
+def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_bytes: int = CHUNK_BYTES,
+               bucket_bytes: int = 8 << 20) -> DataFrame:
+    """(doc_id, ids) for every row of ``docs`` (doc_id, text), a table or another frame that gives
+    the same partitions when read again: chunks are named by content, and one whose words were
+    not all answered is an error."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    asked = chunk_words(docs, bucket_count(docs, bucket_bytes), chunk_bytes)
+
+    def answer(group):
+        """Encode each distinct unit of the bucket once, and join the ids to every chunk that asked."""
         import tiktoken
         bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        for batch in batches:
-            ids = [bpe.encode_ordinary(w) for w in batch.column("word").to_pylist()]
-            yield pa.record_batch([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
-
-    asked = chunks.select(F.col("chunk").alias("to_chunk"), F.posexplode("vocab").alias("pos", "word"))
-    known = asked.select("word").distinct().mapInArrow(encode_words, "word string, ids array<int>")
-    replies = asked.join(known, "word").select("to_chunk", "pos", "ids")
+        known: dict[bytes, bytes] = {}
+        out = []
+        for blob in group.column("words").to_pylist():
+            ids = []
+            for w in unpack_words(blob):
+                if w not in known:
+                    known[w] = np.array(bpe.encode_ordinary(w.decode()), np.uint32).tobytes()
+                ids.append(known[w])
+            out.append(pack_ints([len(x) // 4 for x in ids], np.frombuffer(b"".join(ids), np.uint32)))
+        return pa.table({"to_chunk": group.column("to_chunk"), "places": group.column("places"), "ids": pa.array(out, pa.binary())})
+
+    replies = asked.groupBy("bucket").applyInArrow(answer, "to_chunk long, places binary, ids binary")
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def place(left, right):
-        reply = right.combine_chunks()
-        order = np.argsort(reply.column("pos").to_numpy())
-        lists = pa.chunked_array(reply.column("ids")).combine_chunks().take(pa.array(order))
-        flat = lists.flatten().to_numpy()
-        loffs = np.append(0, np.cumsum(lists.value_lengths().to_numpy())).astype(np.int64)
+        # equal chunks share a name, and then each unit is answered once for each of them
+        pos = [np.cumsum(unpack_ints(x)[0]) for x in right.column("places").to_pylist()]
+        pos, order = np.unique(np.concatenate(pos) if pos else np.zeros(0, np.int64), return_index=True)
+        got = [unpack_ints(x) for x in right.column("ids").to_pylist()]
+        lens = np.concatenate([x[0] for x in got]) if got else np.zeros(0, np.int64)
+        loffs = np.append(0, np.cumsum(lens))
+        flat = np.concatenate([x[1] for x in got]).astype(np.int32) if got else np.zeros(0, np.int32)
+        flat, loffs = gather(flat, loffs, order), np.append(0, np.cumsum(lens[order]))
         rows = []
         for blob in left.column("payload").to_pylist():
             ids, nulls, offs, codes = unpack_ints(blob)
+            if len(codes) and (len(pos) <= codes.max() or pos[-1] != len(pos) - 1):
+                raise RuntimeError("a chunk's words were not all answered: the input changed between two reads")
             for a in range(0, len(ids), 512):
                 b = min(a + 512, len(ids))
                 own = codes[offs[a]:offs[b]]
                 ends = np.append(0, np.cumsum(np.diff(loffs)[own]))
-                lens = ends[(offs[a:b + 1] - offs[a]).astype(np.int64)]
+                lens = ends[offs[a:b + 1] - offs[a]]
                 rows.append(pa.record_batch([
-                    pa.array(ids[a:b].astype(np.int64), pa.int64(), mask=nulls[a:b].astype(bool)),
+                    ids_array(ids[a:b], nulls[a:b]),
                     pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(gather(flat, loffs, own), pa.int32()))],
-                    names=["doc_id", "ids"]))
-        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-        return pa.Table.from_batches([r.cast(schema) for r in rows], schema)
+                    names=["doc_id", "ids"]).cast(schema))
+        return pa.Table.from_batches(rows, schema)
 
-    return chunks.select("chunk", "payload").groupBy("chunk").cogroup(replies.groupBy("to_chunk")) \
+    return chunk_places(docs, chunk_bytes).groupBy("chunk").cogroup(replies.groupBy("to_chunk")) \
         .applyInArrow(place, "doc_id long, ids array<int>")
 
 
