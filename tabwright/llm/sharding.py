@@ -15,6 +15,7 @@ apart by the row number; empty tables yield no rows; other columns are ignored.
 from __future__ import annotations
 
 from decimal import Decimal
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,10 +39,11 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def shard_by_bytes(docs: DataFrame, shards: int, tolerance: float = 0.001, task_share: float = 1 / 8192,
-                   least_rows: int = 512) -> DataFrame:
+                   least_rows: int = 512, group_share: float = 0.05) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): shards of equal bytes, to ``tolerance`` of a shard or
-    one row. An interval with more than ``task_share`` of all rows or bytes is split for the tasks'
-    sake, unless it has at most ``least_rows`` rows."""
+    one row. Rows of equal texts share a shard if they have at most ``group_share`` of its bytes. An
+    interval with more than ``task_share`` of all rows or bytes is split for the tasks' sake, unless
+    it has at most ``least_rows`` rows."""
     rows = sized(docs)
     spark = docs.sparkSession
     total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
@@ -51,6 +53,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, tolerance: float = 0.001, task_
     # leaves: path -> (rows, bytes); a node is refined by its key from `low` in steps of `width`
     leaves: dict[tuple, tuple[int, int]] = {}
     nodes = [((), 0, 0, TOP)]  # path, key number, low, high
+    whole: set[tuple] = set()  # groups of equal texts that stay in one shard
     at = rows.withColumn("path", F.lpad(F.shiftrightunsigned("key", 51).cast("int"), 4, "0")).withColumn("fresh", F.lit(True))
     while nodes:
         if leaves:
@@ -79,21 +82,28 @@ def shard_by_bytes(docs: DataFrame, shards: int, tolerance: float = 0.001, task_
             splitter = int(below / target) + 1
             cuts = splitter < shards and splitter * target < below + size
             heavy = n > least_rows and (size > task_share * total.bytes or n > task_share * total.n)
-            if n > 1 and path in own and (heavy or cuts and size > tolerance * target):
-                r = own[path]
+            r = own.get(path)
+            if r is not None and r.min_key == r.max_key and size <= group_share * target \
+                    and not any(path[:i] in whole for i in range(len(path))):
+                whole.add(path)
+            kept = any(path[:i] in whole for i in range(len(path) + 1))
+            if n > 1 and r is not None and (heavy or cuts and not kept and size > tolerance * target):
                 for level, k in enumerate(KEYS):
                     if r[f"min_{k}"] < r[f"max_{k}"]:
                         nodes.append((path, level, r[f"min_{k}"], r[f"max_{k}"]))
                         break
             below += size
     out, below, shard, slot = [], 0, 0, 0
-    for path in sorted(leaves):
-        n, size = leaves[path]
+    unit = lambda path: next((path[:i] for i in range(len(path) + 1) if path[:i] in whole), path)
+    for _, paths in groupby(sorted(leaves), key=unit):
+        paths = list(paths)
+        size = sum(leaves[path][1] for path in paths)
         mine = min(shards - 1, int((below + size / 2) / target))
         if mine != shard:
             shard, slot = mine, 0
-        out.append((_name(path), shard, slot))
-        slot += n
+        for path in paths:
+            out.append((_name(path), shard, slot))
+            slot += leaves[path][0]
         below += size
     # as many rows as intervals: PROBES and what the refined ones add
     place = spark.createDataFrame(out, "path string, shard int, first long")

@@ -112,7 +112,12 @@ def test_shards_have_equal_bytes_and_gapless_slots(spark, seed):
     for r in got:
         load[r.shard] += r["size"]
     target, top = sum(load.values()) / 24, max(size(t) for t in texts)
-    assert all(abs(load[s] - target) <= top + 0.002 * target for s in range(24))
+    assert all(abs(load[s] - target) <= top + 0.06 * target for s in range(24))
+    # equal texts share a shard unless they hold more than a twentieth of one
+    by_text = {}
+    for r in got:
+        by_text.setdefault((r["size"], r.text_crc32), []).append(r.shard)
+    assert all(len(set(v)) == 1 for (n, _), v in by_text.items() if n * len(v) <= 0.05 * target)
     for s in range(24):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert sharding.shard_by_bytes(spark.createDataFrame([], DOCS), 24).count() == 0
