@@ -29,11 +29,10 @@ CITY_REGION = {"nation_0": "north", "nation_1": "north", "nation_2": "east", "na
                "nation_4": "west", "nation_5": "west", "nation_6": "centre"}
 # Per-region price constant.
 REGION_PRICE = {"AFRICA": 1.10, "AMERICA": 1.25, "ASIA": 0.95, "EUROPE": 1.40}
-# Rent bands (F10): right-closed edges and labels, null -> unknown.
-RENT_EDGES = (454.47, 650.43, 697.08, 879.66)
-RENT_LABELS = ("Goedkoop", "klaliteitskorting Betaalbaar", "1e aftoppingsgrens Betaalbaar",
-               "Sociale hogere huur", "Vrije huur")
-RENT_UNKNOWN = "Onbekend"
+# Rent bands (F10) that fit the stand-in's rents: right-closed edges and labels, null -> unknown.
+RENT_EDGES = (300.0, 450.0, 600.0, 900.0)
+RENT_LABELS = ("low", "moderate", "middle", "upper", "top")
+RENT_UNKNOWN = "unknown"
 
 
 def rate_text(discount):

@@ -6,7 +6,9 @@ session they belong to. ``build_session`` exists for tests, tools and ``bench.py
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tabwright-ckpt-"))
+    path = tempfile.mkdtemp(prefix="tabwright-ckpt-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)  # a laptop's or a test's own folder
+    sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
 
