@@ -124,6 +124,22 @@ def test_keys_at_of_equal_keys(spark):
     assert df.where(ranks.order_key(["v"]) == got[150]).count() == 300
 
 
+@pytest.mark.parametrize("limit", [2, 20_000])
+def test_column_quantiles_match_numpy(spark, limit):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    a = np.concatenate([rng.standard_normal(300), [5.0] * 200, [1e300, -1e300]])
+    b = rng.integers(0, 4, len(a)).astype(float)
+    b[::7] = np.nan
+    rows = [(float(x), None if i % 5 == 0 else float(y), None) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "a double, b double, e double").repartition(4)
+    qs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    got = ranks.column_quantiles(df, ["a", "b", "e"], qs, limit=limit)
+    kept = [y for _, y, _ in rows if y is not None and not np.isnan(y)]
+    assert got["a"] == pytest.approx([float(np.quantile(a, q)) for q in qs])
+    assert got["b"] == pytest.approx([float(np.quantile(kept, q)) for q in qs]) and got["e"] == [None] * 6
+
+
 @pytest.mark.parametrize("parts", [1, 3, 8])
 def test_running_sum_does_not_depend_on_partitions(spark, parts):
     vals = [None, 1.0, None, 3.0, None, None, 2.0, None]
