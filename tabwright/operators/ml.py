@@ -261,8 +261,12 @@ def tune_and_test(model: str, space: Mapping[str, object], n_trials: int, df: Da
     ``df`` holds features, label, ``split_col`` (train, val, test) and ``fold_col`` on train rows."""
     df = df.persist()
     train = df.where(F.col(split_col) == "train")
-    log = random_search(model, space, n_trials, train, fold_col, label, seed=seed, parallelism=parallelism)
-    best = json.loads(best_row(log, "mean_f1", "trial").first()["params"])
+    if n_trials > 1:
+        log = random_search(model, space, n_trials, train, fold_col, label, seed=seed, parallelism=parallelism)
+        best = json.loads(best_row(log, "mean_f1", "trial").first()["params"])
+    else:  # a single draw leaves nothing to choose
+        best = draw_params(space, random.Random(seed))
+        log = df.sparkSession.createDataFrame([(0, json.dumps(best, sort_keys=True), None)], "trial int, params string, mean_f1 double")
     rows = []
     for stage, fitted_on, scored_on in (("val", ["train"], "val"), ("test", ["train", "val"], "test")):
         fit = MODELS[model](best, label=label, weight=weight).fit(df.where(F.col(split_col).isin(fitted_on)))
