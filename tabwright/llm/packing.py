@@ -22,7 +22,8 @@ from pyspark.sql.window import Window
 
 from tabwright.llm.common import encode, gather, stage_table, text_buffers, text_slices, units
 
-SLICE_ROWS = 50_000
+# rows of one length that one group ranks
+SLICE_ROWS = 500
 # ids of units seen before by this Python worker, by tokenizer file; emptied at CACHE_UNITS
 _SEEN: dict[str, dict[str, bytes]] = {}
 CACHE_UNITS = 400_000
@@ -132,12 +133,12 @@ def pack(pieces: DataFrame, width: int, keys: tuple[str, ...] = ("doc_id", "star
     """
     spark = pieces.sparkSession
     counts = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most `width` rows
-    total = sum(r.n for r in counts)
     slots = spark.createDataFrame(
         pattern_slots(shortest_pack_first({r.length: r.n for r in counts}, width)) or [],
         "slot_length long, first_rank long, last_rank long, first_sequence long, slot_offset long, step long")
-    slices = 1 + total // SLICE_ROWS
-    cut = pieces.withColumn("slice", F.pmod(F.xxhash64(*keys), F.lit(slices)))
+    # each length has slices by its own count, so a frequent length is ranked by many tasks
+    slices = spark.createDataFrame([(r.length, 1 + r.n // SLICE_ROWS) for r in counts] or [], "length long, slices long")
+    cut = pieces.join(F.broadcast(slices), "length").withColumn("slice", F.pmod(F.xxhash64(*keys), F.col("slices")))
     # rows of each (length, slice), then the ranks before it: `width` x `slices` short rows
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sizes = cut.groupBy("length", "slice").agg(F.count("*").alias("n")) \
