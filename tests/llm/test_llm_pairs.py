@@ -144,6 +144,27 @@ def brute_url(url):
     return host, path, *(max(fit)[1:] if fit else (None, None))
 
 
+def test_shards_of_many_rows_keep_the_driver_bounded(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LEAVES", 20480, raising=False)
+    sent, create = [], type(spark).createDataFrame
+
+    def counted(self, data, *a, **k):
+        sent.append(len(data))
+        return create(self, data, *a, **k)
+    docs = spark.range(60000).selectExpr("id as doc_id", "concat('text ', id) as text").repartition(4)
+    monkeypatch.setattr(type(spark), "createDataFrame", counted)
+    # with these limits every one of the first 4096 intervals is heavy
+    got = sharding.shard_by_bytes(docs, 3, task_share=1 / 8192, least_rows=2).collect()
+    assert max(sent) < 21000
+    assert max(Counter(r.shard for r in got).values()) - min(Counter(r.shard for r in got).values()) < 200
+    for s in range(3):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    # by the defaults even intervals need no second look: only those of splitters are refined
+    sent.clear()
+    sharding.shard_by_bytes(docs, 3, least_rows=2).count()
+    assert max(sent) < 4096 + 200
+
+
 def test_url_rules_and_trees(spark):
     rng = random.Random(1)
     found = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.ORG/es/x", "x://a.org", "x://org/", "http://a.com/de/1?x=/fr/",
