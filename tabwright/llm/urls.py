@@ -3,8 +3,8 @@
 URLs that a rule decides are the labelled ones: the trees learn from their verdicts (allow 0,
 block 1) and decide the rest. Features are lengths, depth, digit ratio, character entropy,
 parameter counts, and smoothed block rates of the host's suffixes and of the leading path segment
-among the labelled URLs. The fit takes at most ``max_labelled`` labelled rows, those of the
-smallest URL hashes (a documented bound); every URL is parsed and judged.
+among all labelled rows. Only the fit is sampled: it takes at most ``max_labelled`` distinct
+labelled URLs, those of the smallest hashes; every URL is parsed and judged.
 
 Cases: a null url, or one without ``://``, has an empty host and path and no rule; ties and
 repeated rows are judged each; labels of one class only give that class to all others, no labels
@@ -78,32 +78,41 @@ def lexical(parsed: DataFrame) -> DataFrame:
         "segment": F.get(F.split("path", "/"), F.lit(1))}).fillna({"segment": ""})
 
 
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """(suffix, value, n, blocked): all labelled rows and the blocked ones of each value of SUFFIXES."""
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("suffix"), F.col(s).alias("value")) for s in SUFFIXES)))
+    return labelled.select(each.alias("s"), "y").groupBy("s.suffix", "s.value") \
+        .agg(F.count("*").alias("n"), F.sum("y").alias("blocked"))
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], max_labelled: int = 50_000, trees: int = 20,
                depth: int = 4, seed: int = 7) -> DataFrame:
     """(page_id, host, path, rule, verdict, predicted): ``verdict`` is the rule's, else ``predicted``,
     the trees' (each allow or block)."""
-    judged = lexical(apply_rules(parse(pages.select("page_id", F.col("url").cast("string").alias("url"))), rules))
+    ruled = apply_rules(parse(pages.select("page_id", F.col("url").cast("string").alias("url"))), rules)
+    judged = lexical(ruled)
     out = ["page_id", "host", "path", "rule"]
-    labelled = judged.where(F.col("rule_verdict").isNotNull()).withColumn("y", (F.col("rule_verdict") == "block").cast("double")) \
-        .orderBy(F.xxhash64("url"), "page_id").limit(max_labelled)
-    labelled = stage_table(labelled, "labelled-urls")
-    rates = {}
-    kinds = labelled.groupBy("y").agg(F.count("*").alias("n")).collect()  # two rows at most
-    if len(kinds) < 2:
-        only = "block" if kinds and kinds[0].y == 1 else "allow"
+    y = (F.col("rule_verdict") == "block").cast("double").alias("y")
+    rates = stage_table(suffix_counts(judged.where("rule_verdict is not null").select(*SUFFIXES, y)), "url-rates")
+    kinds = rates.where(F.col("suffix") == "top").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).first()
+    if not kinds.n or kinds.blocked in (0, kinds.n):
+        only = "block" if kinds.n and kinds.blocked else "allow"
         return judged.select(*out, F.coalesce("rule_verdict", F.lit(only)).alias("verdict"), F.lit(only).alias("predicted"))
-    overall = sum(r.y * r.n for r in kinds) / sum(r.n for r in kinds)
-    for s in SUFFIXES:
-        # one row per suffix of the labelled sample, so at most max_labelled rows
-        rates[s] = labelled.groupBy(s).agg(((F.sum("y") + 5 * overall) / (F.count("*") + 5)).alias(f"{s}_rate"))
+    overall = kinds.blocked / kinds.n
+    # the rules judge a URL, so its copies have one verdict and teach once
+    sample = ruled.where("rule_verdict is not null").select("url", "host", "path", "rest", y).dropDuplicates(["url"]) \
+        .orderBy(F.xxhash64("url"), "url").limit(max_labelled)
+    sample = stage_table(lexical(sample), "labelled-urls")
 
     def with_rates(df: DataFrame) -> DataFrame:
         for s in SUFFIXES:
-            df = df.join(F.broadcast(rates[s]), s, "left").fillna({f"{s}_rate": overall})
+            rate = rates.where(F.col("suffix") == s) \
+                .select(F.col("value").alias(s), ((F.col("blocked") + 5 * overall) / (F.col("n") + 5)).alias(f"{s}_rate"))
+            df = df.join(rate, s, "left").fillna({f"{s}_rate": overall})
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df)
 
     model = GBTClassifier(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=depth, seed=seed) \
-        .fit(with_rates(labelled).select("features", "y"))
+        .fit(with_rates(sample).select("features", "y"))
     predicted = F.when(F.col("prediction") == 1.0, "block").otherwise("allow")
     return model.transform(with_rates(judged)) \
         .select(*out, F.coalesce("rule_verdict", predicted).alias("verdict"), predicted.alias("predicted"))

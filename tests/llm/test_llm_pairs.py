@@ -186,6 +186,23 @@ def test_url_rules_and_trees(spark):
     assert only[0].verdict == "allow" and urls.judge_urls(df.where("false"), RULES).count() == 0
 
 
+def test_url_statistics_cover_rows_beyond_the_fit_sample(spark):
+    found = [f"http://h.com/{'de' if i % 2 else 'fr'}/{i}" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(found)), "page_id long, url string")
+    first = df.orderBy(F.xxhash64("url")).first().url
+    copies = spark.createDataFrame([(i, first) for i in range(1000, 1100)], "page_id long, url string")
+    unruled = spark.createDataFrame([(2000 + i, f"http://h.net/{'de' if i % 2 else 'fr'}/{i}") for i in range(20)], "page_id long, url string")
+    # copies of one URL do not fill the sample
+    got = {r.page_id: r for r in urls.judge_urls(df.union(copies).union(unruled), RULES, max_labelled=100).collect()}
+    assert len(got) == 320 and all(got[2000 + i].verdict == ("block" if i % 2 else "allow") for i in range(20))
+    # the rates count every labelled row
+    labelled = df.union(copies).selectExpr("'com' as top", "'x' as second", "split(url, '/')[3] as segment",
+                                           "if(url like '%/de/%', 1D, 0D) as y")
+    rates = {(r.suffix, r.value): (r.n, r.blocked) for r in urls.suffix_counts(labelled).collect()}
+    de = 100 + 100 * ("/de/" in first)
+    assert rates == {("top", "com"): (300, de), ("second", "x"): (300, de), ("segment", "de"): (de, de), ("segment", "fr"): (300 - de, 0)}
+
+
 @pytest.mark.parametrize("block_rows", [64, 4096])
 def test_near_vectors_match_brute_force(spark, block_rows):
     rng = np.random.default_rng(3)
