@@ -317,6 +317,15 @@ def open_links(compared: DataFrame, roots: DataFrame, sets: DataFrame, pct: int)
 
 def jaccard_components(docs: DataFrame, width: int = 5, pct: int = 80, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, row, n_shingles, component_id) for every row of ``docs``; ``row`` is xxhash64 of the text."""
+    named = row_roots(docs, width, pct, chunk_bytes)
+    least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "root", "left").select(
+        "doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def row_roots(docs: DataFrame, width: int = 5, pct: int = 80, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(doc_id, row, n, root) for every row of ``docs``, written: rows of one root are one component,
+    and rows with an empty set have none."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"),
                        F.col("text").cast("string").alias("text"))
     rows = stage_table(documents_of(docs, width, chunk_bytes), "jaccard-rows")
@@ -328,7 +337,4 @@ def jaccard_components(docs: DataFrame, width: int = 5, pct: int = 80, chunk_byt
     roots = set_components(sets, pct)
     named = rows.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left") \
         .withColumn("root", F.coalesce("root", "sid"))
-    named = stage_table(named.select("doc_id", "row", "n", "root"), "jaccard-named")
-    least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root", "left").select(
-        "doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return stage_table(named.select("doc_id", "row", "n", "root"), "jaccard-named")

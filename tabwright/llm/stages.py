@@ -1,7 +1,7 @@
 """Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame, on the columns of documents.
 
-Rows are told apart by doc_id and a hash of the text, so null and repeated ids are handled: rows
-that agree in both are one document.
+Rows are told apart by doc_id and a hash of the text, so null and repeated ids are handled. Rows that
+agree in both are copies: each stage treats them alike, and ngram_jaccard leaves one of them.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tabwright.llm import jaccard, lines, repetition, secrets
 from tabwright.llm import packing as packing_op
+from tabwright.llm.common import stage_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -35,11 +36,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group linked at 80 % of five-word shingles."""
-    found = jaccard.jaccard_components(docs, 5, 80)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))) \
-        .select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
-    return docs.join(gone, same_row(gone), "left_anti").select(*COLUMNS)
+    """One row of each group linked at 80 % of five-word shingles: that of smallest doc_id, null being
+    last, then of smallest text hash, then of smallest other columns."""
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    named = jaccard.row_roots(docs, 5, 80).where("root is not null")
+    # one row of each (doc_id, text) and how many rows it stands for
+    rows = named.groupBy("root", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("root").agg(F.min(key).alias("first"))
+    marked = stage_table(rows.join(first, "root").select(
+        F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "n", (key == F.col("first")).alias("kept"))
+        .where("n > 1 or not kept"), "jaccard-marked")
+    repeated = marked.where("kept")
+    once = docs.join(marked, same_row(marked), "left_anti").select(*COLUMNS)
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = docs.join(repeated, same_row(repeated), "left_semi") \
+        .groupBy("doc_id", F.xxhash64("text").alias("__row")).agg(F.min(F.struct(*others, "text")).alias("least")) \
+        .select("doc_id", "least.*").select(*COLUMNS)
+    return once.unionByName(one)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,6 +80,25 @@ def test_stages_survive_odd_tables(spark):
         assert {p.doc_id for p in left} == ({3} if rows else set())
 
 
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"t{g}w{rng.randrange(10 ** 6)}" for _ in range(60)) for g in range(6)]
+    near = lambda g: texts[g] + f" tail{rng.randrange(10 ** 6)}"
+    rows = [(None, near(0)) for _ in range(4)]  # null ids
+    rows += [(5, near(1)) for _ in range(4)] + [(5, near(2)) for _ in range(3)]  # equal ids, two groups
+    rows += [(6, texts[3])] * 5 + [(None, texts[4])] * 5  # repeated rows
+    rows += [(None, near(5)), (9, near(5)), (8, near(5)), (8, near(5))]  # a null id is last
+    rows += [(None, None), (None, None), (7, "")]  # no shingles, no copies
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", None) for k, (i, t) in enumerate(rows)], DOCS).repartition(3)
+    got = corpus_pipeline.stages.ngram_jaccard(spark, docs, None)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    left = got.collect()
+    assert sorted(r.text.split("w")[0] for r in left if r.text) == [f"t{g}" for g in range(6)]
+    ids = {r.text[:2]: r.doc_id for r in left if r.text}
+    assert ids == {"t0": None, "t1": 5, "t2": 5, "t3": 6, "t4": None, "t5": 8} and sum(not r.text for r in left) == 3
+    assert all((r.doc_id, r.text) == rows[int(r.source[1:])] for r in left)
+
+
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
     names = list(entry.queries())
