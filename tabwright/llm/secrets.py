@@ -35,6 +35,7 @@ KINDS = ["assign", "access", "hex", "random"]
 # fixed values: symbols of each encoding in the order of their values
 HEXA = "0123456789abcdef"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+BASE36 = "0123456789abcdefghijklmnopqrstuvwxyz"
 BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 PARTS = 4
 P_CELLS = 4000
@@ -97,13 +98,16 @@ def battery(tokens: DataFrame) -> DataFrame:
     characters; tokens of no known encoding leave."""
     v = F.col("v")
     encoding = (F.when(v.rlike("^[0-9a-f]+$") | v.rlike("^[0-9A-F]+$"), "hex")
-                .when(v.rlike("^[A-Z2-7]+$"), "base32")
+                .when(v.rlike("^[A-Z2-7]+$"), "base32").when(v.rlike("^[a-z2-7]+$"), "base32-lower")
+                .when(v.rlike("^[a-z0-9]+$"), "base36").when(v.rlike("^[A-Z0-9]+$"), "base36-upper")
                 .when(v.rlike("[a-z]") & v.rlike("[A-Z]"), F.when(v.rlike("^[A-Za-z0-9]+$"), "base62").otherwise("base64")))
-    size = F.expr("case encoding when 'hex' then 16 when 'base32' then 32 when 'base62' then 62 else 64 end")
-    symbols = F.when(F.col("encoding") == "hex", F.lit(HEXA)).when(F.col("encoding") == "base32", F.lit(BASE32)) \
+    base32, base36 = (F.col("encoding").startswith(x) for x in ("base32", "base36"))
+    size = F.when(F.col("encoding") == "hex", 16).when(base32, 32).when(base36, 36) \
+        .when(F.col("encoding") == "base62", 62).otherwise(64)
+    symbols = F.when(F.col("encoding") == "hex", F.lit(HEXA)).when(base32, F.lit(BASE32)).when(base36, F.lit(BASE36)) \
         .otherwise(F.lit(BASE62 + "+/"))
-    plain = F.when(F.col("encoding") == "hex", F.lower(v)).when(F.col("encoding") == "base64", F.translate(v, "-_", "+/")) \
-        .otherwise(v)
+    plain = F.when((F.col("encoding") == "hex") | base36, F.lower(v)).when(base32, F.upper(v)) \
+        .when(F.col("encoding") == "base64", F.translate(v, "-_", "+/")).otherwise(v)
     df = tokens.withColumn("encoding", encoding).where("encoding is not null").withColumn("size", size) \
         .withColumn("x", F.transform(F.split(plain, ""), lambda c: F.instr(symbols, c) - 1)) \
         .withColumn("x", F.filter("x", lambda i: i >= 0)).withColumn("n", F.size("x").cast("double"))

@@ -225,6 +225,17 @@ def test_random_runs_are_found_and_even_ones_left(spark):
     assert secrets.scan(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("symbols", ["0123456789abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz234567",
+                                     "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_random_runs_of_one_case_are_found(spark, symbols):
+    rng = random.Random(6)
+    texts = [f"text {''.join(rng.choice(symbols) for _ in range(rng.randrange(24, 60)))} end" for _ in range(60)]
+    texts += ["a" * 40 + "1", "AB1" * 20, "ab2" * 20, "abcdefghij0123456789" * 2]
+    rows = {r.doc_id: [x.kind for x in r.spans] for r in secrets.scan(docs_of(spark, texts)).collect()}
+    assert sum("random" in rows[i] for i in range(60)) >= 54
+    assert all("random" not in rows[i] for i in range(60, 64))
+
+
 def test_redaction_joins_overlaps(spark):
     rows = [("é0123456789", [("a", 1, 4, ""), ("b", 3, 6, ""), ("c", 8, 9, "")]), ("abc", []), ("abc", [("a", 0, 3, "")])]
     df = spark.createDataFrame(rows, "text string, spans array<struct<kind:string,s:int,e:int,v:string>>")
