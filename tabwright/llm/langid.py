@@ -6,8 +6,9 @@ A word unseen in training scores the mean log frequency of its longest character
 training words contain, from ``longest`` down to single characters. A document scores the sum over
 its words. Tasks keep documents as numbers of a chunk's distinct words; only those distinct words
 are shuffled, packed by a hash of the word, and the task of a hash bucket sends the merged counts
-back to the chunks. N-gram counts live in CELLS hash cells per length, a fixed size that can be
-broadcast whatever the corpus.
+back to the chunks. N-gram counts are a table of 64-bit hashes that grows with the corpus; the
+n-grams of unseen words alone are joined to it, longest first, and shorter ones only of words that
+had no match.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; if training has no language
 every text is ``und``; a text none of whose words or characters was seen takes the language with
@@ -26,9 +27,8 @@ from tabwright.llm.common import (bucket_count, chunk_name, common_first, encode
                                   stage_table, text_buffers, text_slices, unpack_ints, unpack_words, word_buckets, words)
 
 CHUNK_BYTES = 16 << 20
-CELLS = 1 << 17
 TOTALS = pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())]))
-GRAMS = pa.list_(pa.struct([("lang", pa.string()), ("cells", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))]))
+GRAMS = pa.list_(pa.struct([("lang", pa.string()), ("size", pa.int32()), ("gram", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))]))
 
 
 def letters(token: str) -> str:
@@ -81,8 +81,8 @@ def chunk_places(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     return docs.mapInArrow(run, "chunk long, payload binary, vocab binary")
 
 
-def gram_cells(vocab: list[bytes], longest: int):
-    """(n, word, cell) for n from 1 to ``longest``: the cells of all n-grams of the marked words."""
+def word_grams(vocab: list[bytes], longest: int):
+    """(n, word, gram) for n from 1 to ``longest``: the hashes of all n-grams of the marked words."""
     text = "".join(f"<{w.decode()}>" for w in vocab)
     lens = np.array([len(w.decode()) + 2 for w in vocab], np.int64)
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -94,16 +94,18 @@ def gram_cells(vocab: list[bytes], longest: int):
             h[:len(points) - n + 1] = (h[:len(points) - n + 1] + points[n - 1:] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
             ok = left >= n
-            yield n, word[ok], (h[ok] % np.uint64(CELLS)).astype(np.int64) + (n - 1) * CELLS
+            yield n, word[ok], h[ok].view(np.int64)
 
 
 def merged_counts(docs: DataFrame, longest: int, chunk_bytes: int, bucket_bytes: int) -> DataFrame:
     """Per bucket: replies to the chunks (to_chunk, places, langs, counts), counts being over all
-    training texts; and on the bucket's first row its word totals and n-gram counts."""
+    training texts, with the places and numbers of their unseen words; and on the bucket's first row
+    its word totals, n-gram counts and unseen words."""
     def merge(group):
         langs = sorted({x for row in group.column("langs").to_pylist() for x in row})
         number: dict[bytes, int] = {}
         asked = []
+        to = [np.cumsum(unpack_ints(x)[0]) for x in group.column("places").to_pylist()]
         for blob, own, counts in zip(*(group.column(c).to_pylist() for c in ("words", "langs", "counts"))):
             at = np.array([number.setdefault(w, len(number)) for w in unpack_words(blob)], np.int64)
             asked.append((at, [langs.index(x) for x in own], unpack_ints(counts)[0].reshape(len(at), len(own))))
@@ -115,21 +117,88 @@ def merged_counts(docs: DataFrame, longest: int, chunk_bytes: int, bucket_bytes:
         grams, totals = [], []
         if len(known):
             totals = [{"lang": x, "n": int(n)} for x, n in zip(langs, total.sum(0))]
-            for _, word, cell in gram_cells([vocab[i] for i in known], longest):
+            for size, word, gram in word_grams([vocab[i] for i in known], longest):
                 for k, x in enumerate(langs):
                     # a word counts once per language, so rare words weigh as much as common ones
-                    cells, n = np.unique(cell[(total[known, k] > 0)[word]], return_counts=True)
-                    grams.append({"lang": x, "cells": cells.tolist(), "n": n.tolist()})
+                    some, n = np.unique(gram[(total[known, k] > 0)[word]], return_counts=True)
+                    grams.append({"lang": x, "size": size, "gram": some.tolist(), "n": n.tolist()})
+        open_ = ~total.any(1)
+        number_of = np.cumsum(open_) - 1
+        unseen = [vocab[i] for i in np.flatnonzero(open_)]
         rest = len(asked) - 1
         return pa.table({
+            "bucket": group.column("bucket").combine_chunks(),
             "to_chunk": group.column("to_chunk").combine_chunks(), "places": group.column("places").combine_chunks(),
             "langs": pa.array([langs] * len(asked), pa.list_(pa.string())),
             "counts": pa.array([pack_ints(total[at].ravel()) for at, _, _ in asked], pa.binary()),
+            "asks": pa.array([pack_ints(np.diff(p[open_[at]], prepend=0), number_of[at][open_[at]]) if open_[at].any() else None
+                              for (at, _, _), p in zip(asked, to)], pa.binary()),
+            "unseen": pa.array([pack_words(unseen) if unseen else None] + [None] * rest, pa.binary()),
             "totals": pa.array([totals] + [[]] * rest, TOTALS), "grams": pa.array([grams] + [[]] * rest, GRAMS)})
 
     return chunk_words(docs, bucket_count(docs, bucket_bytes), chunk_bytes).groupBy("bucket").applyInArrow(
-        merge, "to_chunk long, places binary, langs array<string>, counts binary, "
-               "totals array<struct<lang:string,n:long>>, grams array<struct<lang:string,cells:array<long>,n:array<long>>>")
+        merge, "bucket long, to_chunk long, places binary, langs array<string>, counts binary, asks binary, unseen binary, "
+               "totals array<struct<lang:string,n:long>>, grams array<struct<lang:string,size:int,gram:array<long>,n:array<long>>>")
+
+
+def unseen_rates(merged: DataFrame, langs: list[str], longest: int, alpha: float) -> DataFrame:
+    """(bucket, number, rates) of the unseen words with a known n-gram: the mean log frequency by
+    language of the longest ones."""
+    each = merged.select(F.explode("grams").alias("g")).select("g.lang", "g.size", F.explode(F.arrays_zip("g.gram", "g.n")).alias("c"))
+    grams = stage_table(each.groupBy("size", "c.gram").agg(*(
+        F.sum(F.when(F.col("lang") == x, F.col("c.n")).otherwise(0)).alias(f"n{k}") for k, x in enumerate(langs))), "lang-grams")
+    sums = {r["size"]: r for r in grams.groupBy("size").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(len(langs)))).collect()}
+
+    def spread(batches):
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("unseen").to_pylist()):
+                vocab = unpack_words(blob)
+                for a in range(0, len(vocab), 1 << 16):
+                    some = vocab[a:a + (1 << 16)]
+                    yield pa.record_batch([pa.array([bucket] * len(some), pa.int64()), pa.array(range(a, a + len(some)), pa.int64()),
+                                           pa.array(some, pa.binary())], names=["bucket", "number", "word"])
+
+    def cut(size: int):
+        def run(batches):
+            for batch in batches:
+                for n, word, gram in word_grams(batch.column("word").to_pylist(), size):
+                    if n == size:
+                        at = pa.array(word)
+                        yield pa.record_batch([batch.column("bucket").take(at), batch.column("number").take(at), pa.array(gram)],
+                                              names=["bucket", "number", "gram"])
+        return run
+    left = stage_table(merged.where("unseen is not null").select("bucket", "unseen")
+                       .mapInArrow(spread, "bucket long, number long, word binary"), "lang-unseen")
+    out = None
+    for size in sorted(sums, reverse=True):
+        rates = [F.avg(F.ln((F.col(f"n{k}") + alpha) / (sums[size][f"n{k}"] + 1.0))) for k in range(len(langs))]
+        hit = stage_table(left.mapInArrow(cut(size), "bucket long, number long, gram long")
+                          .join(grams.where(F.col("size") == size), "gram").groupBy("bucket", "number")
+                          .agg(F.array(*rates).alias("rates")), "lang-backoff")
+        out = hit if out is None else out.unionByName(hit)
+        left = left.join(hit, ["bucket", "number"], "left_anti")
+    return out
+
+
+def answered(merged: DataFrame, rates: DataFrame) -> DataFrame:
+    """(to_chunk, places, rates): the rates of each chunk's unseen words."""
+    def run(left, right):
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"to_chunk": pa.array([], pa.int64()), "places": pa.array([], pa.binary()), "rates": pa.array([], pa.binary())})
+        number = right.column("number").to_numpy()
+        values = right.column("rates").combine_chunks()
+        values = values.flatten().to_numpy(zero_copy_only=False).reshape(len(number), -1)
+        row = np.full(int(number.max()) + 1, -1)
+        row[number] = np.arange(len(number))
+        out = []
+        for chunk, blob in zip(left.column("to_chunk").to_pylist(), left.column("asks").to_pylist()):
+            gaps, asked = unpack_ints(blob)
+            at = np.where(asked < len(row), row[np.minimum(asked, len(row) - 1)], -1)
+            out.append((chunk, pack_ints(np.diff(np.cumsum(gaps)[at >= 0], prepend=0)), values[at[at >= 0]].tobytes()))
+        return pa.table({k: pa.array(v, t) for k, v, t in zip(("to_chunk", "places", "rates"), zip(*out),
+                                                              (pa.int64(), pa.binary(), pa.binary()))})
+    return merged.where("asks is not null").select("bucket", "to_chunk", "asks").groupBy("bucket") \
+        .cogroup(rates.groupBy("bucket")).applyInArrow(run, "to_chunk long, places binary, rates binary")
 
 
 def identify(docs: DataFrame, train_lang: Column, held_out: Column, longest: int = 4, alpha: float = 0.1,
@@ -143,16 +212,11 @@ def identify(docs: DataFrame, train_lang: Column, held_out: Column, longest: int
               .agg(F.sum("t.n").alias("n")).collect() if r.n}  # one row per language
     langs = sorted(totals)
     first = max(langs, key=lambda x: (totals[x], x), default="und")
-    # longest x CELLS cells per language, whatever the corpus
-    cells = merged.select(F.explode("grams").alias("g")).select("g.lang", F.explode(F.arrays_zip("g.cells", "g.n")).alias("c")) \
-        .groupBy("lang", "c.cells").agg(F.sum("c.n").alias("n")).toArrow()
-    seen = np.zeros((longest * CELLS, len(langs)), np.float32)
-    if langs and cells.num_rows:
-        column = np.array([langs.index(x) for x in cells.column("lang").dictionary_encode().combine_chunks().dictionary.to_pylist()])
-        seen[cells.column("cells").to_numpy(), column[cells.column("lang").dictionary_encode().combine_chunks().indices.to_numpy()]] \
-            = cells.column("n").to_numpy()
-    rates = docs.sparkSession.sparkContext.broadcast(_rates(seen, longest, alpha))
-    known_cell = docs.sparkSession.sparkContext.broadcast(np.packbits(seen.any(1)))
+    replies = merged.select("to_chunk", "places", "langs", "counts")
+    if langs:
+        replies = replies.unionByName(answered(merged, unseen_rates(merged, langs, longest, alpha)), allowMissingColumns=True)
+    else:
+        replies = replies.withColumn("rates", F.lit(None).cast("binary"))
     sizes = np.array([totals[x] for x in langs], float)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -162,8 +226,12 @@ def identify(docs: DataFrame, train_lang: Column, held_out: Column, longest: int
             ids, nulls, held, offs, codes = unpack_ints(blob)
             vocab = unpack_words(words_blob)
             counts = np.full((len(vocab), len(langs)), -1.0)
-            for places, own, n in zip(*(right.column(c).to_pylist() for c in ("places", "langs", "counts"))):
+            backoff = np.zeros((len(vocab), len(langs)))
+            for places, own, n, rates in zip(*(right.column(c).to_pylist() for c in ("places", "langs", "counts", "rates"))):
                 at = np.cumsum(unpack_ints(places)[0])
+                if rates is not None:
+                    backoff[at] = np.frombuffer(rates).reshape(len(at), len(langs))
+                    continue
                 part = np.zeros((len(at), len(langs)))
                 for k, x in enumerate(own):
                     if x in totals:
@@ -173,8 +241,7 @@ def identify(docs: DataFrame, train_lang: Column, held_out: Column, longest: int
                 raise RuntimeError("a chunk's words were not all answered: the input changed between two reads")
             by_code = np.log((np.maximum(counts, 0) + alpha) / (sizes + 1))
             unseen = np.flatnonzero(~(counts > 0).any(1))
-            if len(unseen) and langs:
-                by_code[unseen] = backed_off([vocab[i] for i in unseen.tolist()], rates.value, known_cell.value, longest)
+            by_code[unseen] = backoff[unseen]
             n = len(ids)
             sums = np.zeros((n, len(langs)))
             for i in range(len(langs)):
@@ -195,26 +262,5 @@ def identify(docs: DataFrame, train_lang: Column, held_out: Column, longest: int
         return pa.Table.from_batches(rows, schema)
 
     return chunk_places(docs, chunk_bytes).groupBy("chunk") \
-        .cogroup(merged.select("to_chunk", "places", "langs", "counts").groupBy("to_chunk")) \
+        .cogroup(replies.groupBy("to_chunk")) \
         .applyInArrow(place, "doc_id long, held_out boolean, lang_pred string, score double")
-
-
-def _rates(seen: np.ndarray, longest: int, alpha: float) -> np.ndarray:
-    """Smoothed log frequency of each cell among the n-grams of its length."""
-    by_n = seen.reshape(longest, CELLS, -1)
-    return np.log((by_n + alpha) / (by_n.sum(1, keepdims=True) + 1)).reshape(seen.shape).astype(np.float32)
-
-
-def backed_off(vocab: list[bytes], rates: np.ndarray, known: np.ndarray, longest: int) -> np.ndarray:
-    """Mean log frequency of the longest known n-grams of each word; 0 where even no character is known."""
-    known = np.unpackbits(known, count=len(rates)).astype(bool)
-    out = np.zeros((len(vocab), rates.shape[1]))
-    for _, word, cell in gram_cells(vocab, longest):  # a longer match replaces a shorter one
-        ok = known[cell]
-        word, cell = word[ok], cell[ok]
-        n = np.bincount(word, minlength=len(vocab))
-        hit = n > 0
-        for k in range(rates.shape[1]):
-            total = np.bincount(word, weights=rates[cell, k], minlength=len(vocab))
-            out[hit, k] = total[hit] / n[hit]
-    return out

@@ -260,5 +260,17 @@ def test_language_is_learned_and_backs_off(spark):
     assert langid.identify(df.where("false"), F.col("lang"), held).count() == 0
 
 
+def test_backoff_uses_exact_grams_only(spark):
+    rng = random.Random(11)
+    make = lambda a: " ".join("".join(rng.choice(a) for _ in range(8)) for _ in range(60))
+    a, b = [chr(0x4e00 + i) for i in range(3000)], [chr(0x6000 + i) for i in range(3000)]
+    # far more 4-grams than 2^17; no unseen word has a 2-gram or longer that training has
+    rows = [(i, make(a if i % 2 else b), "xx" if i % 2 else "yy") for i in range(800)]
+    rows += [(1000 + i, "".join(rng.choice(a if i % 2 else b) for _ in range(2)), None) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = langid.identify(df, F.col("lang"), F.lit(False)).where("doc_id >= 1000").collect()
+    assert len(got) == 200 and all(r.lang_pred == ("xx" if r.doc_id % 2 else "yy") for r in got)
+
+
 def test_digest_of_empty_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
