@@ -2,7 +2,7 @@
 
 Documents are tokenized and cut into pieces of at most ``width`` ids. The histogram of piece
 lengths (at most ``width`` counts) is packed on the driver: lengths are placed longest first into
-the fullest pattern that is still open and fits, whole groups of equal patterns at a time. Patterns
+the open pattern with the most room left, whole groups of equal patterns at a time. Patterns
 are joined back to the pieces by length and rank; ranks come from per-slice counts, so a length
 that holds most pieces is still numbered in parallel.
 
@@ -86,7 +86,7 @@ def shortest_pack_first(histogram: dict[int, int], width: int) -> list[tuple[tup
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            room = next((r for r in range(length, width) if open_by_room.get(r)), None)
+            room = next((r for r in range(width - 1, length - 1, -1) if open_by_room.get(r)), None)
             if room is None:
                 fit = max(1, width // length)
                 # new patterns of one piece each; shorter lengths fill them later

@@ -146,6 +146,11 @@ def test_shortest_pack_first_holds_the_histogram():
         assert held == Counter(histogram)
 
 
+def test_shortest_pack_is_filled_first():
+    # 7 and 6 open a pack each; 3 goes to the one with the most room, 4 of 10
+    assert packing.shortest_pack_first({7: 1, 6: 1, 3: 1}, 10) == [((6, 3), 1), ((7,), 1)]
+
+
 def brute_lines(texts, min_words):
     """Lines in a run of min_words words or more, from one line with words to another, that equals a
     run starting earlier."""
