@@ -84,9 +84,10 @@ def encode(col: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return d.indices.to_numpy(zero_copy_only=False), d.dictionary
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """All `[^\\x20\\x09-\\x0D]+` words, and the offsets of each document's words."""
-    solid = ~SPACE[data]
+def words(data: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACE) -> tuple[pa.Array, np.ndarray]:
+    """All maximal runs of bytes that are not ``between`` (`[^\\x20\\x09-\\x0D]+` words by default),
+    and the offsets of each document's."""
+    solid = ~between[data]
     first = solid.copy()
     if len(data):
         first[1:] &= ~solid[:-1]

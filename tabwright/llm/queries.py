@@ -1,4 +1,4 @@
-"""Queries op1..op10 over the driver's tables, and the SQL of those that SQL can express."""
+"""Queries op1..op13 over the driver's tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import jaccard, langid, lines, packing, repetition, secrets, sharding, tokens, urls, vectors
+from tabwright.llm import (jaccard, langid, lines, packing, ranking, repetition, secrets, sharding, tokens, urls, vectors)
 from tabwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,30 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+RANKING_SQL = r"""
+with d as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents
+), q as (
+  select item_id, term, count(*) as times from (
+    select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by all
+), lengths as (select doc_id, count(*) as n from d group by doc_id),
+whole as (select count(*) as n_docs, cast(sum(n) as bigint) as n_terms from lengths),
+m as (select doc_id, 75 + (25 * n * n_docs) // n_terms as m from lengths, whole),
+p as (select doc_id, term, count(*) as tf from d where term in (select term from q) group by all),
+w as (select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) as bigint) as w
+      from (select term, count(*) as df from p group by term), whole),
+s as (select item_id, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+      from q join w using (term) join p using (term) join m using (doc_id) group by all),
+r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+      from s where score > 0)
+select * from r where rank <= 20
+"""
+
+
+@query("op11_ranked_search", RANKING_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
