@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import (jaccard, langid, lines, packing, ranking, repetition, secrets, sharding, tokens, urls, vectors)
+from tabwright.llm import (jaccard, langid, lines, packing, periodic, ranking, repetition, secrets, sharding,
+                           tokens, urls, vectors)
 from tabwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +155,65 @@ select * from r where rank <= 20
 @query("op11_ranked_search", RANKING_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+# crc32 by bits over the decimal digits; equal words at a distance p in unbroken stretches are runs of period p
+PERIODIC_SQL = r"""
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+         xor(4294967295, list_reduce(list_concat([4294967295::bigint], flatten(list_transform(
+             string_split(cast(doc_id as varchar), ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda c, x: case when x >= 0 then xor(c, x) when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as h
+  from documents
+), e as (select doc_id, w, len(w) as n, h % 10 = 0 and len(w) > 0 as planted, (h // 10) % greatest(len(w), 1) as a,
+                1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) as p from d),
+x as (
+  select doc_id, n, case when planted then list_transform(range(0, n), lambda i: w[1 + case when i < a then i else a + (i - a) % p end])
+                         else w end as w from e
+), words as (select doc_id, n, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from x),
+pairs as (
+  select f.doc_id, f.i, g.i - f.i as p from words f join words g using (doc_id, word) where g.i > f.i and g.i - f.i <= f.n // 4
+), stretches as (
+  select doc_id, p, min(i) as start, count(*) + p as length
+  from (select *, i - row_number() over (partition by doc_id, p order by i) as part from pairs)
+  group by doc_id, p, part having count(*) + p >= greatest(6, 4 * p)
+), runs as (select doc_id, start, length, min(p) as period from stretches group by doc_id, start, length),
+of_doc as (
+  select doc_id, count(*) as n_runs, arg_min({'s': start, 'l': length, 'p': period}, [-length, start, period]) as best,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as written
+  from runs group by doc_id
+), dropped as (select distinct doc_id, unnest(range(start + period, start + length)) as i from runs),
+kept as (
+  select doc_id, string_agg(word, ' ' order by i) as body from words anti join dropped using (doc_id, i) group by doc_id
+)
+select doc_id, coalesce(n_runs, 0) as n_runs, cast(best.s as bigint) as start, cast(best.l as bigint) as length,
+       cast(best.p as bigint) as period, cast(1000 * best.l // best.p as bigint) as exponent_milli,
+       sha256(coalesce(written, '')) as runs_sha256, sha256(coalesce(body, '')) as collapsed_sha256
+from x left join of_doc using (doc_id) left join kept using (doc_id)
+"""
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; a tenth of the texts, by the contract's crc32, made periodic from a word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    own = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def repeat(word):
+        n, g = F.size(word), F.floor(h / 10)
+        a = F.pmod(g, F.greatest(n, F.lit(1)))
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.when(n > 0, F.concat_ws(" ", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(
+            word, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))))).otherwise("")
+    # the one-element array binds the words once
+    return docs.select("doc_id", F.when(h % 10 == 0, F.transform(F.array(own), repeat)[0]).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs", PERIODIC_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("least"), r.start.alias("start"), r.period.alias("period"))))
+    line = lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), (-best["least"]).alias("length"),
+        best["period"].alias("period"), F.floor(-1000 * best["least"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform("runs", line)), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
