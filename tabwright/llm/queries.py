@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import (jaccard, langid, lines, packing, periodic, ranking, repetition, secrets, sharding,
-                           tokens, urls, vectors)
+from tabwright.llm import (jaccard, langid, lines, mixing, packing, periodic, ranking, repetition, secrets,
+                           sharding, tokens, urls, vectors)
 from tabwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,3 +217,42 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), (-best["least"]).alias("length"),
         best["period"].alias("period"), F.floor(-1000 * best["least"] / best["period"]).alias("exponent_milli"),
         F.sha2(F.concat_ws("", F.transform("runs", line)), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+# the level of the shares: with the sources by cap and weight, the first k capped, the others share by weight
+MIXING_SQL = r"""
+with d as (
+  select doc_id, source, md5(doc_id || '|777') as key,
+         cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents
+), s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+r as (select *, [5, 2, 1][1 + (row_number() over (order by source nulls last) - 1) % 3] as weight from s),
+o as (
+  select *, row_number() over w as k, sum(weight) over () - sum(weight) over w as weight_left,
+         sum(source_size) over () - 3 * sum(source_size) over w as words_left
+  from r window w as (order by source_size / weight, source nulls last rows unbounded preceding)
+), levels as (
+  select 0 as k, cast(sum(weight) as bigint) as weight_left, cast(sum(source_size) as bigint) as words_left from r
+  union all select k, cast(weight_left as bigint), cast(words_left as bigint) from o
+), level as (
+  select k, weight_left, words_left from levels l
+  where not exists (select 1 from o where o.k > l.k and o.weight * l.words_left / l.weight_left > 3 * o.source_size)
+  order by k limit 1
+), t as (
+  select o.source, o.source_size,
+         case when o.k <= level.k then cast(3 * o.source_size as double) else o.weight * level.words_left / level.weight_left end as target
+  from o, level
+), q as (
+  select doc_id, size, source_size, target, cast(floor(target) as bigint) as stop,
+         cast(sum(size) over (partition by d.source order by key, doc_id rows unbounded preceding) as bigint) - size as start
+  from d join t on d.source is not distinct from t.source
+)
+select doc_id, size, source_size, target,
+       cast(greatest(0, least(size, stop - start)) + greatest(0, least(size, stop - start - source_size))
+            + greatest(0, least(size, stop - start - 2 * source_size)) as bigint) as taken
+from q
+"""
+
+
+@query("op13_source_mix", MIXING_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"), (5, 2, 1))
