@@ -113,8 +113,7 @@ def test_equal_chunks_share_their_answers(spark):
 def test_packing_places_every_id_once(spark, width):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    texts = odd_texts()
+    texts = odd_texts() + ["<|endoftext|>", " <|endoftext|>\n\n<|endoftext|><|endoftext|>x <|endoftext|", "é <|endoftext|>  "]
     rows = packing.pack_documents(docs_of(spark, texts), P.path("byte_bpe_50k.json"), width).collect()
     ids = {i: tok.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
     place, fill = {}, {}
@@ -132,6 +131,26 @@ def test_packing_places_every_id_once(spark, width):
     assert packing.pack_documents(docs_of(spark, []), P.path("byte_bpe_50k.json"), width).count() == 0
 
 
+def test_ranks_give_the_tokenizers_ids():
+    """The vocabulary as ranks against the tokenizer itself, around every code point."""
+    from tokenizers import Tokenizer
+    path = P.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    ranks, special = packing.byte_ranks(path)
+    assert special == {"<|endoftext|>": 50256} and len(ranks) == 50256
+    import tiktoken
+    bpe = tiktoken.Encoding("t", pat_str=packing.BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special)
+    chars = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}  {chr(c)}'s 1{chr(c)}\n" for c in chars[a:a + 500])
+             for a in range(0, len(chars), 500)] + ["<|endoftext|> a", "a\n <|endoftext|>\n\n", "<|endoftext|", None, ""]
+    part = pa.record_batch([pa.array(texts)], names=["text"])
+    flat, offs = packing.slice_ids(part, bpe, special, {}, 7)
+    for t, a, b in zip(texts, offs[:-1], offs[1:]):
+        assert flat[a:b].tolist() == tok.encode(t or "", add_special_tokens=False).ids + [7]
+    with pytest.raises(ValueError):
+        packing.byte_ranks(P.path("word_bpe_49k.json"))
+
+
 def test_shortest_pack_first_holds_the_histogram():
     rng = random.Random(3)
     for _ in range(200):
