@@ -118,6 +118,69 @@ def test_keys_at_positions(spark, limit):
         assert [(r["v"], r["id"]) for r in hit] == [want[p]]
 
 
+@pytest.mark.parametrize("order, limit", [(["s", "id"], 1), (["d", "t", "id"], 1), (["n", "s", "id"], 200), (["dec", "id"], 200),
+                                          (["b", "x", "id"], 1), (["big", "id"], 200), (["s", "id"], 20_000)])
+def test_cuts_of_all_groups_and_types(spark, order, limit):
+    """Positions of every group at once against a sort; values that repeat, are null, or agree in their first bytes."""
+    rows = [(i, "g" if i % 3 else None, None if i % 7 == 0 else "a common beginning %d" % (i * 31 % 57), i % 5 if i % 4 else None,
+             float("nan") if i % 13 == 0 else (float("inf") if i % 17 == 0 else (i * 7 % 23) - 11.5), i % 2 == 0, (1 << 60) + (i * 37 % 101))
+            for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, g string, s string, n int, x double, b boolean, big long").repartition(5) \
+        .withColumn("d", F.when(F.col("n").isNotNull(), F.date_add(F.lit("1960-01-01").cast("date"), F.col("n") * 1000))) \
+        .withColumn("t", F.when(F.col("n").isNotNull(), F.timestamp_micros(F.col("id") % 9))).withColumn("dec", (F.col("n") * 7).cast("decimal(30,2)"))
+    positions = [0, 51, 200, 465]
+    got, tied = ranks.cut_keys(df, order, lambda sizes: {g: positions for g in sizes}, by="g", limit=limit)
+    assert not tied
+    for g, n in ((None, 234), ("g", 466)):
+        own = df.where(F.col("g").eqNullSafe(F.lit(g)))
+        want = [r["id"] for r in own.orderBy(ranks.order_key(order)).collect()]
+        assert len(want) == n
+        for p in positions:
+            if p < n:
+                assert own.where(ranks.order_key(order) == got[g, p]).first()["id"] == want[p]
+
+
+def _counting(spark, n):
+    """n rows (cid, y) and an accumulator of the rows read from them."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+    df = spark.range(0, n, 1, 4).select(F.col("id").alias("cid"), (F.col("id") % 2).alias("y"))
+    return df.mapInArrow(seen, "cid long, y long"), reads
+
+
+@pytest.mark.parametrize("k", [2, 40])
+def test_cuts_share_their_passes(spark, k):
+    """The keys are read at most four times for any number of cuts, and the input once."""
+    n = 60_000
+    starts = split.fold_starts(n, k)[1:]
+    keys, reads = _counting(spark, n)
+    found, _ = ranks.cut_keys(keys, [split.hash_order("cid", 1), "cid"], lambda rows: {0: starts})
+    assert len(found) == k - 1 and reads.value <= 4 * n
+    keys, reads = _counting(spark, n)
+    found, _ = ranks.cut_keys(keys, ["cid"], lambda rows: {g: [s // 2 for s in starts] for g in rows}, by="y")
+    assert len(found) == 2 * (k - 1) and reads.value <= 4 * n
+    df, reads = _counting(spark, n)
+    split.kfold(df, "cid", k=k)
+    assert reads.value == n
+
+
+def test_repeated_ids_keep_exact_sizes(spark):
+    df = spark.createDataFrame([(i % 3, i) for i in range(30)], "cid long, v int").repartition(4)
+    sizes = {r["split"]: r["count"] for r in split.random_split_exact(df, "cid").groupBy("split").count().collect()}
+    assert sizes == {"train": 18, "val": 6, "test": 6}
+    folds = split.kfold(df, "cid", k=5)
+    assert sorted(r["count"] for r in folds.groupBy("fold").count().collect()) == [6] * 5 and folds.columns == ["cid", "v", "fold"]
+    ordered = split.ordered_split(df, ["cid"], "cid", frac=0.5)
+    assert {r["split"]: r["count"] for r in ordered.groupBy("split").count().collect()} == {"train": 15, "val": 7, "test": 8}
+    assert max(r["cid"] for r in ordered.where("split = 'train'").collect()) <= min(r["cid"] for r in ordered.where("split <> 'train'").collect())
+    strata = split.stratified_folds(df.withColumn("y", F.col("v") % 2), "y", ["cid"], k=3)
+    assert [r["count"] for r in strata.groupBy("fold", "y").count().collect()] == [5] * 6
+
+
 def test_keys_at_of_equal_keys(spark):
     df = spark.createDataFrame([(7,)] * 300, "v int").repartition(4)
     got = ranks.keys_at(df, ["v"], [0, 150, 299], limit=5)
