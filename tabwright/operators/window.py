@@ -1,9 +1,9 @@
 """Sequence operators inside groups (W1-W5), skew-proof.
 
 A ``Window.partitionBy(key)`` puts every row of a key into one task; with a key holding a third of
-the data that is one task for a third of the data. These operators number rows on a range-sorted
-table instead (``group_row_index``), so a hot key is spread over many partitions, and reach the
-previous rows through equi-joins on unique (key, position) pairs, which cannot skew.
+the data that is one task for a third of the data. These operators work on a range-sorted table
+(``ordering.neighbours``): windows inside (range partition, key), completed by a small table of what
+earlier partitions hold of the same key. One exchange besides the range partitioning, no self-join.
 Windows are still used where the partition is bounded (per range partition, per fold table).
 """
 
@@ -11,64 +11,52 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.operators.ordering import group_row_index, running_agg
+from tabwright.operators.ordering import neighbours, running_agg
+
+
+def _keyed(key: str, x: Column) -> Column:
+    return F.when(F.col(key).isNotNull(), x)
 
 
 def sequence_no(df: DataFrame, key: str, order: Sequence[str | Column], out: str = "seq") -> DataFrame:
     """1-based running ordinal inside ``key`` (``cumcount() + 1``). Put the row id last in
     ``order`` so ties are broken deterministically. A row without a key has no ordinal."""
-    return (group_row_index(df, [key], order, out="__r", size_col=None)
-            .withColumn(out, F.when(F.col(key).isNotNull(), (F.col("__r") + 1).cast("int"))).drop("__r"))
-
-
-def _shifted(df: DataFrame, key: str, seq: str, value: str, lag: int, out: str) -> DataFrame:
-    prev = df.select(F.col(key).alias("__k"), (F.col(seq) + lag).alias("__s"), F.col(value).alias(out))
-    j = df.join(prev.where(F.col("__k").isNotNull()), (df[key] == F.col("__k")) & (df[seq] == F.col("__s")), "left")
-    return j.drop("__k", "__s")
+    return neighbours(df, key, order, seq=out)[0].withColumn(out, _keyed(key, F.col(out)))
 
 
 def prev_value(df: DataFrame, key: str, order: Sequence[str | Column], value: str, out: str,
                default=None, seq: str = "seq") -> DataFrame:
     """Value of the previous row in the group (``groupby().shift(1)``), ``default`` when none;
-    null for a row without a key."""
-    base = df if seq in df.columns else sequence_no(df, key, order, out=seq)
-    j = _shifted(base, key, seq, value, 1, out)
-    return j.withColumn(out, F.when(F.col(key).isNotNull(), F.coalesce(F.col(out), F.lit(default)))) \
-        if default is not None else j
+    null for a row without a key. ``seq`` is added too."""
+    rows, (lag,) = neighbours(df, key, order, value, 1, seq)
+    value_before = F.col(lag) if default is None else F.coalesce(F.col(lag), F.lit(default))
+    return rows.withColumns({out: _keyed(key, value_before), seq: _keyed(key, F.col(seq))}).drop(lag)
 
 
 def rolling_mean(df: DataFrame, key: str, order: Sequence[str | Column], value: str, out: str,
                  n: int = 3, seq: str = "seq") -> DataFrame:
     """Mean of the current and ``n-1`` previous rows in the group, nulls skipped, at least one
-    non-null value needed (``rolling(n, min_periods=1).mean()``)."""
-    base = df if seq in df.columns else sequence_no(df, key, order, out=seq)
-    # n-1 narrow lookups: one row per (key, seq + lag) pair, so no join key is ever hot.
-    cur = base
-    names = [value]
-    for lag in range(1, n):
-        nm = f"__lag{lag}"
-        cur = _shifted(cur, key, seq, value, lag, nm)
-        names.append(nm)
+    non-null value needed (``rolling(n, min_periods=1).mean()``). ``seq`` is added too."""
+    rows, lags = neighbours(df, key, order, value, n - 1, seq)
+    names = [value, *lags]
     seen = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in names]
     s = sum((F.when(ok, F.col(c)).otherwise(F.lit(0.0)) for ok, c in zip(seen, names)), F.lit(0.0))
     k = sum((ok.cast("int") for ok in seen), F.lit(0))
-    return cur.withColumn(out, F.when(F.col(key).isNotNull() & (k > 0), s / k)).drop(*names[1:])
+    return rows.withColumns({out: F.when(F.col(key).isNotNull() & (k > 0), s / k), seq: _keyed(key, F.col(seq))}).drop(*lags)
 
 
 def moving_average(df: DataFrame, order: str, value: str, n: int = 3, by: Sequence[str] = (),
                    out: str = "moving_avg", mode: str = "valid") -> DataFrame:
     """Trailing mean over ``n`` rows (``np.convolve(x, ones(n)/n, 'valid')`` laid on the
     last row of each window); in ``valid`` mode only rows with a full window are kept. Built on
-    the same skew-proof numbering and (key, position) lookups as ``rolling_mean``; without ``by``
-    the whole frame is one series (numbered by the global row index, never a partition-less
-    window)."""
+    the same range partitions as ``rolling_mean``; without ``by`` the whole frame is one series in many
+    of them, never a partition-less window."""
     key = "__series"
     base = df.withColumn(key, F.to_json(F.struct(*by)) if by else F.lit(""))
-    seq = sequence_no(base, key, [order], out="__seq")
-    out_df = rolling_mean(seq, key, [order], value, out, n=n, seq="__seq")
+    out_df = rolling_mean(base, key, [order], value, out, n=n, seq="__seq")
     if mode == "valid":
         out_df = out_df.where(F.col("__seq") >= n)
     return out_df.drop("__seq", key)

@@ -266,6 +266,36 @@ def test_window_operators_on_hot_key_match_pandas(spark):
     assert (got["key"] == 0).sum() == n // 3
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_neighbours_cross_any_number_of_partitions(spark, partitions):
+    """Fewer rows than partitions, null keys, null values, and lags longer than a partition."""
+    rows = [(None if i % 10 == 9 else (0 if i < 25 else i // 8), i, None if i % 6 == 0 else float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "key int, t int, v double").repartition(4)
+    out, lags = ordering.neighbours(df, "key", ["t"], "v", 5, num_partitions=partitions)
+    got = {r["t"]: (r["seq"], [r[c] for c in lags]) for r in out.collect()}
+    before = {}
+    for k, t, v in rows:
+        own = before.setdefault(k, [])
+        assert got[t] == (len(own) + 1, (own[::-1] + [None] * 5)[:5])
+        own.append(v)
+
+
+@pytest.mark.parametrize("limit, bins", [(5, 8), (20, 1024), (20_000, 4)])
+def test_group_quantiles_narrow_in_shared_passes(spark, limit, bins):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    groups_ = {None: rng.standard_normal(400), "ties": np.repeat([1.0, 2.0, 2.0, 9.0], 60), "far": np.append(rng.standard_normal(90), [1e300, -1e300]),
+               "one": np.array([3.5]), "same": np.full(70, -0.25), "small": np.array([1.0, 4.0, 2.0])}
+    rows = [(g, float(v), i % 2) for g, own in groups_.items() for i, v in enumerate(own)] + [("none", None, 0), ("none", float("nan"), 0)]
+    df = spark.createDataFrame(rows, "g string, v double, h int").repartition(5)
+    qs = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
+    got = {r["g"]: [r[f"q{i}"] for i in range(6)] for r in
+           ordering.exact_quantiles(df, "v", qs, by=["g"], names=[f"q{i}" for i in range(6)], limit=limit, bins=bins).collect()}
+    assert set(got) == set(groups_)
+    for g, own in groups_.items():
+        assert got[g] == pytest.approx([float(np.quantile(own, q)) for q in qs])
+
+
 def test_group_quantiles_and_running_max_on_hot_key(spark):
     n = 1500
     df = (spark.range(0, n).repartition(7)

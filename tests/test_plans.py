@@ -29,3 +29,15 @@ def test_filters_reach_the_scan(spark):
     df = table(spark, SF, "lineitem").where(F.col("l_linenumber") == 1).select("l_orderkey")
     txt = plan_text(df)
     assert "PushedFilters: [IsNotNull(l_linenumber), EqualTo(l_linenumber,1)]" in txt
+
+
+def test_windows_and_box_need_no_second_sort(spark):
+    """Neighbours: one hash exchange for the local windows over the written ranges, no join of the rows
+    with themselves; quantiles: no range exchange."""
+    from tabwright.operators import profile, window
+    df = spark.range(0, 5000).selectExpr("id", "id % 7 as k", "id * 3 % 11 * 1D as v")
+    txt = plan_text(window.rolling_mean(df, "k", ["id"], "v", "m", n=4))
+    main = txt.split("BroadcastExchange")[0]
+    assert main.count("Exchange hashpartitioning") <= 1 and "SortMergeJoin" not in main and "rangepartitioning" not in txt
+    box = plan_text(profile.box_stats(df, "v", by=["k"]))
+    assert "rangepartitioning" not in box and "Scan ExistingRDD" not in box
