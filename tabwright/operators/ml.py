@@ -202,21 +202,24 @@ def random_search(model: str, space: Mapping[str, object], n_trials: int, df: Da
     return spark.createDataFrame(rows, "trial int, params string, mean_f1 double")
 
 
+def donor_shift(r: int, n: int, seed: int) -> tuple[int, int]:
+    """Factor and offset of repeat ``r``: position p takes its donor from (a * p + b) mod n. The factor
+    is the first number prime to n from a seeded start on, so the map is a bijection."""
+    a = 1 + seed * 7919 * (r + 1) % max(n - 1, 1)
+    while math.gcd(a, max(n, 1)) != 1:
+        a += 1
+    return a, seed * 104729 * (r + 1) % max(n, 1)
+
+
 def permuted(df: DataFrame, id_col: str, features: Sequence[str], repeats: int, seed: int) -> DataFrame:
     """``repeats`` copies of the rows, each with the features of another row as ``donor``.
 
-    A repeat pairs position p with position (a * p + b) mod n, a bijection for ``a`` prime to n, so
-    no copy is sorted; one join per repeat carries a donor's whole feature row."""
+    Positions are those of the order by id; a repeat pairs them by ``donor_shift``, so no copy is
+    sorted, and one join per repeat carries a donor's whole feature row."""
     base = global_row_index(df, [id_col], out="__pos").drop("__pid")
     n = base.count()
-    rng = random.Random(seed)
-    shifts = []
-    for r in range(repeats):
-        a = rng.randrange(1, max(2, n))
-        while math.gcd(a, max(n, 1)) != 1:
-            a = rng.randrange(1, max(2, n))
-        shifts.append(F.struct(F.lit(r).alias("rep"), F.lit(a).cast("decimal(38,0)").alias("a"),
-                               F.lit(rng.randrange(max(n, 1))).cast("decimal(38,0)").alias("b")))
+    shifts = [F.struct(F.lit(r).alias("rep"), *(F.lit(x).cast("decimal(38,0)").alias(c) for c, x in zip("ab", donor_shift(r, n, seed))))
+              for r in range(repeats)]
     copies = base.withColumn("__s", F.explode(F.array(*shifts))).select("*", "__s.rep", (
         (F.col("__s.a") * F.col("__pos") + F.col("__s.b")) % F.lit(max(n, 1))).cast("long").alias("__from")).drop("__s", "__pos")
     donors = base.select(F.col("__pos").alias("__from"), F.struct(*features).alias("donor"))

@@ -313,14 +313,148 @@ def q_perm_importance(spark, d):
     return ml.permutation_importance(ml.model_scorer(fit, feats), test, feats, "target", "contract_id", repeats=10, seed=SEED)
 
 
-# the shift of each repeat is a literal of the operator's rule: a prime-to-n factor and an offset
-@query("permutation_importance_rule")
+PERMUTED_SQL = f"""pb AS (
+  SELECT contract_id, target, value, n_lines, acctbal, row_number() OVER (ORDER BY contract_id) - 1 AS pos, count(*) OVER () AS n
+  FROM lc WHERE label IS NOT NULL),
+sh AS (SELECT rep, list_filter(range(1 + {SEED} * 7919 * (rep + 1) % (n - 1), 1000 + {SEED} * 7919 * (rep + 1) % (n - 1)),
+                               lambda i: gcd(i, n) = 1)[1] AS a, {SEED} * 104729 * (rep + 1) % n AS b
+       FROM range(3) t(rep), (SELECT count(*) AS n FROM pb)),
+copies AS (SELECT sh.rep, x.target, x.value, x.n_lines, x.acctbal, y.value AS d_value, y.n_lines AS d_lines
+           FROM pb x JOIN sh ON true JOIN pb y ON y.pos = (sh.a * x.pos + sh.b) % x.n),
+base AS (SELECT avg(CAST(CAST(value > 150000 AND n_lines > 2 AS INTEGER) = target AS DOUBLE)) AS acc FROM pb),
+accs AS (
+  SELECT rep, 'value' AS feature, avg(CAST(CAST(d_value > 150000 AND n_lines > 2 AS INTEGER) = target AS DOUBLE)) AS acc FROM copies GROUP BY rep
+  UNION ALL SELECT rep, 'n_lines', avg(CAST(CAST(value > 150000 AND d_lines > 2 AS INTEGER) = target AS DOUBLE)) FROM copies GROUP BY rep
+  UNION ALL SELECT rep, 'acctbal', avg(CAST(CAST(value > 150000 AND n_lines > 2 AS INTEGER) = target AS DOUBLE)) FROM copies GROUP BY rep)"""
+
+
+@query("permutation_importance_rule", with_contracts(f"""
+SELECT feature, {R4('avg(base.acc - accs.acc)')} AS importance_mean, {R4('stddev_pop(base.acc - accs.acc)')} AS importance_std
+FROM accs, base GROUP BY feature""", PERMUTED_SQL))
 def q_perm_importance_rule(spark, d):
-    """M10 with a fixed rule as the model, so that every drop can be checked row by row."""
+    """M10 with a fixed rule as the model: every drop follows from the donors' positions."""
     df = labelled_contracts(spark, d).where(F.col("label").isNotNull())
     rule = lambda f: f.withColumn("pred", ((F.col("value") > 150000) & (F.col("n_lines") > 2)).cast("int"))
-    return ml.permutation_importance(rule, df, ["value", "n_lines", "acctbal"], "target", "contract_id", repeats=3,
-                                     seed=SEED, min_abs=-1.0).select("feature", r4("importance_mean").alias("importance_mean"))
+    out = ml.permutation_importance(rule, df, ["value", "n_lines", "acctbal"], "target", "contract_id", repeats=3, seed=SEED, min_abs=-1.0)
+    return out.select("feature", r4("importance_mean").alias("importance_mean"), r4("importance_std").alias("importance_std"))
+
+
+# ------------------------------------------------------------------ closed forms: one split on yes/no columns
+
+# Depth-1 trees on columns of 0 and 1 have a closed form: the column of greatest impurity decrease
+# splits, and a leaf's value is a (weighted) mean. Fixed values of these queries: the three columns.
+STUMP_COLUMNS = {"dear": "value > 150000", "many": "n_lines > 2", "rich": "acctbal > 4500"}
+STUMP_SQL = "st AS (SELECT contract_id, target, CASE WHEN target = 1 THEN 1.5 ELSE 1.0 END AS weight, " + ", ".join(
+    f"CAST(coalesce({sql}, false) AS INTEGER) AS {c}" for c, sql in STUMP_COLUMNS.items()) + " FROM lc WHERE label IS NOT NULL)"
+
+
+def _split_sql(rows: str, weight: str = "1.0", by: str = "") -> str:
+    """(by, x, share): the leaves of the best column among ``rows``; x is the column's value."""
+    key = f"{by}, " if by else ""
+    sides = " UNION ALL ".join(f"SELECT {key}{i} AS col, {c} AS x, {weight} AS w, target FROM {rows}" for i, c in enumerate(STUMP_COLUMNS))
+    return f"""(
+  WITH sides AS ({sides}),
+  leaves AS (SELECT {key}col, x, sum(w) AS w, sum(w * target) / sum(w) AS share FROM sides GROUP BY {key}col, x),
+  impurity AS (SELECT {key}col, sum(w * share * (1 - share)) AS imp FROM leaves GROUP BY {key}col),
+  best AS (SELECT {key}col FROM (SELECT *, row_number() OVER ({f'PARTITION BY {by} ' if by else ''}ORDER BY round(imp, 6), col) AS k FROM impurity) WHERE k = 1)
+  SELECT {key}col, x, share FROM leaves JOIN best USING ({key}col))"""
+
+
+def _chosen(leaves: str) -> str:
+    """The value of the leaves' column in a row of st."""
+    return "CASE " + " ".join(f"WHEN {leaves}.col = {i} THEN {c}" for i, c in enumerate(STUMP_COLUMNS)) + " END"
+
+
+def stump_table(spark, d):
+    df = labelled_contracts(spark, d).where(F.col("label").isNotNull())
+    df = df.select("contract_id", "target", *(F.coalesce(F.expr(sql), F.lit(False)).cast("double").alias(c) for c, sql in STUMP_COLUMNS.items()))
+    return encode.assemble(ml.class_weight(df, "target", 1.5), list(STUMP_COLUMNS))
+
+
+def _stump(spark, d, model, params, weight=None):
+    df = materialize(stump_table(spark, d).select("contract_id", "target", "weight", "features"))
+    fit = ml.MODELS[model](params, label="target", weight=weight).fit(df)
+    return ml.predict(fit, df).select("contract_id", r4("score").alias("score"), "pred")
+
+
+SHARE_SQL = f"""SELECT contract_id, {R4('share')} AS score, CAST(share > 0.5 AS INTEGER) AS pred
+FROM st JOIN {{leaves}} l ON l.x = {_chosen('l')}"""
+MARGIN_SQL = f"""SELECT contract_id, {R4('1 / (1 + exp(-2 * (2 * share - 1)))')} AS score, CAST(share > 0.5 AS INTEGER) AS pred
+FROM st JOIN {{leaves}} l ON l.x = {_chosen('l')}"""
+
+
+@query("tree_one_split", with_contracts(SHARE_SQL.format(leaves=_split_sql("st")), STUMP_SQL))
+def q_tree_stump(spark, d):
+    """Leaf shares of the best column."""
+    return _stump(spark, d, "tree", {"max_depth": 1})
+
+
+@query("forest_one_split", with_contracts(SHARE_SQL.format(leaves=_split_sql("st")), STUMP_SQL))
+def q_forest_stump(spark, d):
+    """M2: without resampling and with all columns every tree of the forest is the same split."""
+    return _stump(spark, d, "forest", {"n_estimators": 3, "max_depth": 1, "max_features": None, "bootstrap": False})
+
+
+@query("boosted_one_round", with_contracts(MARGIN_SQL.format(leaves=_split_sql("st")), STUMP_SQL))
+def q_boosted_stump(spark, d):
+    """M3: the first round of the logistic booster is the mean of -1 and 1 in each leaf."""
+    return _stump(spark, d, "boosted", {"n_estimators": 1, "max_depth": 1})
+
+
+@query("boosted_one_round_weighted", with_contracts(MARGIN_SQL.format(leaves=_split_sql("st", "weight")), STUMP_SQL))
+def q_boosted_stump_weighted(spark, d):
+    """M4: the same with the positive class weighted."""
+    return _stump(spark, d, "boosted", {"n_estimators": 1, "max_depth": 1}, weight="weight")
+
+
+FOLDS_SQL = STUMP_SQL + f""",
+fo AS (SELECT *, contract_id % 5 AS fold FROM st),
+tr AS (SELECT g.f, fo.* FROM fo, range(5) g(f) WHERE fo.fold <> g.f),
+pr AS (SELECT fold, target, CAST(share > 0.5 AS INTEGER) AS pred FROM fo JOIN {_split_sql('tr', by='f')} l ON l.f = fold AND l.x = {_chosen('l')}),
+f1 AS (SELECT fold, CASE WHEN sum(pred + target) > 0 THEN 2.0 * sum(pred * target) / sum(pred + target) ELSE 0.0 END AS f1 FROM pr GROUP BY fold)"""
+
+
+def stump_folds(spark, d):
+    return materialize(stump_table(spark, d).select("target", "features", (F.col("contract_id") % 5).cast("int").alias("fold")))
+
+
+@query("cv_one_split", with_contracts(f"SELECT CAST(fold AS INTEGER) AS fold, {R4('f1')} AS f1 FROM f1", FOLDS_SQL))
+def q_cv_stump(spark, d):
+    """M9: F1 of each held-out fold."""
+    scores = ml.cv_scores(lambda: ml.tree({"max_depth": 1}, label="target"), stump_folds(spark, d), "fold", "target", k=5)
+    return spark.createDataFrame(scores, "fold int, f1 double").withColumn("f1", r4("f1"))
+
+
+@query("search_one_split", with_contracts(f"""
+SELECT CAST(t AS INTEGER) AS trial, {R4('(SELECT avg(f1) FROM f1)')} AS mean_f1, t = 0 AS is_best FROM range(3) g(t)""", FOLDS_SQL))
+def q_search_stump(spark, d):
+    """Three draws that cannot differ, so the first is the best."""
+    space = {"criterion": ["gini"], "max_depth": [1], "min_samples_split": (2, 20)}
+    log = ml.random_search("tree", space, 3, stump_folds(spark, d), "fold", "target", seed=SEED)
+    best = split.best_row(log, "mean_f1", "trial").first()["trial"]
+    return log.select("trial", r4("mean_f1").alias("mean_f1"), (F.col("trial") == best).alias("is_best"))
+
+
+GRID_SQL = STUMP_SQL + f""",
+sp AS (SELECT *, CASE WHEN contract_id % 5 < 3 THEN 'train' WHEN contract_id % 5 = 3 THEN 'val' ELSE 'test' END AS split FROM st),
+fit AS (SELECT 'val' AS stage, sp.* FROM sp WHERE split = 'train' UNION ALL SELECT 'test', sp.* FROM sp WHERE split <> 'test'),
+gp AS (SELECT stage, target, CAST(share > 0.5 AS INTEGER) AS pred FROM sp JOIN {_split_sql('fit', by='stage')} l
+       ON l.stage = sp.split AND l.x = {_chosen('l')}),
+gm AS (SELECT stage, avg(CAST(pred = target AS DOUBLE)) AS accuracy,
+              CASE WHEN sum(pred) > 0 THEN sum(pred * target) / sum(pred) ELSE 0 END AS "precision",
+              CASE WHEN sum(target) > 0 THEN sum(pred * target) / sum(target) ELSE 0 END AS recall,
+              CASE WHEN sum(pred + target) > 0 THEN 2.0 * sum(pred * target) / sum(pred + target) ELSE 0 END AS f1 FROM gp GROUP BY stage)"""
+
+
+@query("grid_one_split", with_contracts("SELECT 'one' AS scheme, 'all' AS feature_set, 'tree' AS model, stage, metric, " + R4("value") + """ AS value
+FROM (""" + " UNION ALL ".join(f"SELECT stage, '{m}' AS metric, \"{m}\" AS value FROM gm" for m in ("accuracy", "precision", "recall", "f1")) + ")", GRID_SQL))
+def q_grid_stump(spark, d):
+    """The chain from search to test scores."""
+    part = F.col("contract_id") % 5
+    df = stump_table(spark, d).drop("features").withColumns({
+        "split": F.when(part < 3, "train").when(part == 3, "val").otherwise("test"), "fold": F.when(part < 3, part.cast("int"))})
+    out = ml.experiment_grid({"one": df}, {"all": list(STUMP_COLUMNS)}, {"tree": ("tree", {"max_depth": [1]}, 2)}, "target")
+    return out.where("metric <> 'auc'").withColumn("value", r4("value"))
 
 
 @query("experiment_metrics")
