@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions import columns as C
 from tabwright.operators import encode, groups, impute, knn, metrics, ml, profile, split, ssl, window
-from tabwright.plans.common import R4, r4
+from tabwright.plans.common import R4, RND, r4, rnd
 from tabwright.plans.contracts import labelled_contracts, table, with_contracts
 from tabwright.plans.q_prep import house_age
 from tabwright.plans.q_profile import PERIOD_SQL, period
@@ -193,6 +193,29 @@ def q_propagate_one(spark, d):
     return step.select("node", "class", r4("p").alias("p"))
 
 
+def _steps_sql(n: int) -> str:
+    """CTEs m0 (the seeds) to m{n}: one propagation step each."""
+    out = """edges AS (SELECT src, dst FROM nn WHERE rk <= 4 UNION ALL SELECT vec_id, vec_id FROM e),
+m0 AS (SELECT vec_id AS node, label AS class, 1.0 AS p FROM e WHERE labelled)"""
+    for i in range(n):
+        out += f""",
+r{i} AS (SELECT g.src AS node, m.class, sum(m.p) AS s FROM edges g JOIN m{i} m ON g.dst = m.node
+        WHERE g.src NOT IN (SELECT node FROM m0) GROUP BY ALL),
+m{i + 1} AS (SELECT node, class, s / sum(s) OVER (PARTITION BY node) AS p FROM r{i} UNION ALL SELECT * FROM m0)"""
+    return out
+
+
+@query("propagate_four_steps", f"""
+WITH {EMB_PAIRS_SQL}, {_steps_sql(4)}
+SELECT node, class, {RND("p", 11)} AS p, first(class) OVER (PARTITION BY node ORDER BY round(p, 9) DESC, class) AS pred FROM m4""")
+def q_propagate_four(spark, d):
+    """The loop, stopped after four steps."""
+    nodes = embeddings(spark, d)
+    edges = knn.knn_graph(nodes, "vec_id", "embedding", k=K, include_self=True)
+    mass, _ = ssl.propagate_labels(edges, nodes, "vec_id", "seed_label", max_iter=4, tol=0.0)
+    return mass.select("node", "class", rnd("p", 11).alias("p"), "pred")
+
+
 @query("propagate_labels")
 def q_propagate(spark, d):
     """Full propagation to convergence (tol 1e-3); rows-only check, tests cover fixed points."""
