@@ -22,7 +22,10 @@ counting costs grow with the square of the distinct vectors there (about 1 ns a
 cluster structure pair fewer blocks.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing;
-vectors of different length never link; repeated rows are returned each; other columns are ignored.
+vectors of different length never link. Every row is returned once: classes of equal vectors are named
+by a written row number, so a vec_id may be null or repeat, with the same vector or another; a null
+vec_id comes last in a component, whose component_id is null only if all its ids are. An empty table
+yields no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,14 +149,14 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def distinct_vectors(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vec_id, rep) of every row, rep null for vectors that cannot link; and (rep, vec, copies)."""
+    """(vec_id, rep) of every row, rep null for vectors that cannot link; and (rep, vec, copies, first_id)."""
     vec = F.col("embedding").cast("array<double>")
     top = F.array_max(F.transform(vec, lambda x: F.abs(x)))
     good = vec.isNotNull() & (F.size(vec) > 0) & (top > 0) & \
         ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, vec).alias("vec"))
-    reps = stage_table(rows.where("vec is not null").groupBy("vec")
-                       .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
+    classes = rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
+    reps = stage_table(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
     members = rows.join(reps.select("vec", "rep"), "vec", "left").select("vec_id", "rep")
     return stage_table(members, "vector-members"), reps
 
@@ -175,35 +179,21 @@ def near_links(reps: DataFrame, cosine: float, projections: int, reach: float, r
 
     placed = stage_table(reps.select("rep", "copies", "vec").mapInArrow(
         project, "rep long, copies long, unit binary, first double, dim int"), "vector-projections")
-    # blocks of about block_rows consecutive values of the first projection; one bound per block
+    # blocks of about block_rows consecutive values of the first projection, by one cut value per block
     total = placed.count()
     n_blocks = max(1, -(-total // block_rows))
     cuts = sorted(set(placed.agg(F.percentile_approx("first", [i / n_blocks for i in range(1, n_blocks)],
                                                      10 * n_blocks)).first()[0])) if n_blocks > 1 else []
-    block = F.lit(0)
-    for c in cuts:
-        block = block + (F.col("first") > c).cast("int")
+    sized = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="first", outputCol="block").transform(placed) \
+        if cuts else placed.withColumn("block", F.lit(0.0))
     # ties can pile up in a block, so blocks are split again by hash to at most about block_rows
-    sized = placed.withColumn("block", block)
-    ranges = sized.groupBy("block", "dim").agg(F.min("first").alias("low"), F.max("first").alias("high"),
-                                               F.count("*").alias("n")).orderBy("dim", "block").collect()
-    parts = {(r.dim, r.block): -(-r.n // block_rows) for r in ranges}
-    pairs, sub = [], []
-    for i, r in enumerate(ranges):
-        sub += [(i, s) for s in range(parts[r.dim, r.block])]
-    for x, (i, s) in enumerate(sub):
-        for y in range(x, len(sub)):
-            j, t = sub[y]
-            if ranges[i].dim == ranges[j].dim and ranges[j].low - ranges[i].high <= gap:
-                pairs += [(ranges[i].dim, ranges[i].block, s, x, y, 0)]
-                if x != y:
-                    pairs += [(ranges[j].dim, ranges[j].block, t, x, y, 1)]
-    spark = reps.sparkSession
-    pairing = spark.createDataFrame(pairs, "dim int, block int, part int, x long, y long, side int")
-    split = spark.createDataFrame([(r.dim, r.block, parts[r.dim, r.block]) for r in ranges], "dim int, block int, parts int")
-    grouped = sized.join(F.broadcast(split), ["dim", "block"]) \
+    bounds = stage_table(sized.groupBy("dim", "block").agg(
+        F.min("first").alias("low"), F.max("first").alias("high"), F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
+        .withColumn("number", F.monotonically_increasing_id()), "vector-blocks")
+    paired = stage_table(block_pairs(bounds, gap), "vector-pairs")
+    grouped = sized.join(bounds.select("dim", "block", "parts"), ["dim", "block"]) \
         .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")) \
-        .join(F.broadcast(pairing), ["dim", "block", "part"]).select("x", "y", "side", "rep", "copies", "unit", "dim")
+        .join(paired, ["dim", "block", "part"]).select("x", "y", "side", "rep", "copies", "unit", "dim")
 
     def count(group):
         dim = group.column("dim")[0].as_py()
@@ -239,6 +229,30 @@ def near_links(reps: DataFrame, cosine: float, projections: int, reach: float, r
     return grouped.groupBy("x", "y").applyInArrow(count, "rep long, n_links long, least long")
 
 
+def block_pairs(bounds: DataFrame, gap: float) -> DataFrame:
+    """(dim, block, part, x, y, side): for each pair (x, y) of block parts whose values come within
+    ``gap``, a row for x (side 0) and, if it is another, for y (side 1).
+
+    A range join by cells of ``gap``: a block lies in the cells of its values and is looked for in those
+    up to ``gap`` further on; each pair is kept in the first cell that both share."""
+    parts = bounds.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")) \
+        .withColumn("name", F.struct("low", "number", "part"))
+    cell = lambda c: F.floor(c / F.lit(gap))
+    own = parts.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
+    near = parts.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") + gap))))
+    x = near.select("dim", "cell", *(F.col(c).alias(f"x_{c}") for c in ("low", "high", "block", "part", "name")))
+    y = own.select("dim", "cell", *(F.col(c).alias(f"y_{c}") for c in ("low", "high", "block", "part", "name")))
+    pairs = x.join(y, ["dim", "cell"]).where(
+        (F.col("x_name") <= F.col("y_name")) & (F.col("y_low") - F.col("x_high") <= gap)
+        & (F.col("cell") == F.greatest(cell(F.col("x_low")), cell(F.col("y_low")))))
+    number = lambda c: F.xxhash64(f"{c}.number", f"{c}.part")
+    sides = F.array(F.struct(F.col("x_block").alias("block"), F.col("x_part").alias("part"), F.lit(0).alias("side")),
+                    F.struct(F.col("y_block").alias("block"), F.col("y_part").alias("part"), F.lit(1).alias("side")))
+    return pairs.select("dim", number("x_name").alias("x"), number("y_name").alias("y"),
+                        F.explode(F.when(F.col("x_name") < F.col("y_name"), sides).otherwise(F.slice(sides, 1, 1))).alias("s")) \
+        .select("dim", "s.block", "s.part", "x", "y", "s.side")
+
+
 def _by_length(batch):
     """Vectors of a batch by their length, as matrices."""
     vec = batch.column("vec")
@@ -258,12 +272,13 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95, projections: in
     node = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
     roots = components(found.select(node("rep").alias("a"), node("least").alias("b"))) \
         .select(F.col("node.id").alias("rep"), F.col("root.id").alias("root"))
-    classes = reps.select("rep", "copies").join(links, "rep", "left").join(roots, "rep", "left") \
+    classes = reps.select("rep", "copies", "first_id").join(links, "rep", "left").join(roots, "rep", "left") \
         .withColumn("root", F.coalesce("root", "rep"))
     classes = stage_table(classes, "vector-roots")
-    least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = classes.join(least, "root").select("rep", "component_id",
                                                  (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = members.join(classes, "rep", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.when(F.col("rep").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -231,6 +231,36 @@ def test_near_vectors_match_brute_force(spark, block_rows):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_vectors_with_null_and_repeated_ids(spark):
+    """One row per input row, whatever the ids; null ids come last."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    near_a = [1.0, 0.05, 0.0]
+    rows = [(1, a), (1, b), (2, near_a), (None, a), (None, c), (None, c), (7, b), (7, b), (None, None), (9, None), (9, None)]
+    df = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<float>, root int").repartition(3)
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect())
+    assert got == Counter([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 2, 1, False), (None, 1, None, True), (None, 1, None, True),
+                           (7, 2, 1, False), (7, 2, 1, False), (None, 0, None, True), (9, 0, 9, True), (9, 0, 9, True)])
+
+
+def test_block_pairs_are_those_within_the_gap(spark):
+    import itertools
+    rng = random.Random(6)
+    blocks, at = [], -3.0
+    for i in range(40):
+        high = at + rng.choice([0.0, 0.01, 0.4, 2.0])
+        blocks.append((3 if i % 4 else 5, float(i), at, high, rng.choice([1, 1, 3]), i))
+        at = high + rng.choice([0.0, 0.3])
+    df = spark.createDataFrame(blocks, "dim int, block double, low double, high double, parts int, number long")
+    got = {}
+    for r in vectors.block_pairs(df, 0.7).collect():
+        got.setdefault((r.x, r.y), []).append((r.dim, r.block, r.part, r.side))
+    parts = [(d, b, lo, hi, p) for d, b, lo, hi, n, _ in blocks for p in range(n)]
+    want = [frozenset([(x[1], x[4]), (y[1], y[4])]) for x, y in itertools.combinations_with_replacement(parts, 2)
+            if x[0] == y[0] and max(x[2], y[2]) - min(x[3], y[3]) <= 0.7]
+    assert all(sorted(s for *_, s in v) == list(range(len(v))) for v in got.values())
+    assert Counter(frozenset((b, p) for _, b, p, _ in v) for v in got.values()) == Counter(want)
+
+
 def test_calibrated_count_reaches_its_recall():
     import math
     least = vectors.calibrated(24, 0.55, math.sqrt(0.1), 0.9999)
