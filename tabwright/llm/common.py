@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.session import ensure_checkpoint_dir
+from tabwright.session import stage
 
 # ASCII white space \x09-\x0D and \x20: the separators of `[^\x20\x09-\x0D]+` words
 SPACE = np.zeros(256, dtype=bool)
@@ -34,15 +32,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder of ``spark.checkpoint.dir`` and read it back.
+    """Write ``df`` once to the application's folder below ``spark.checkpoint.dir`` and read it back.
 
     Cuts the lineage reliably: lost executors lose nothing, and the Python work above is not run
-    again by each later reader.
+    again by each later reader. The folder goes when the driver process ends.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stage(df, name)
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``docs`` has it in either case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def text_slices(batches, max_bytes: int, text: str = "text"):

@@ -12,7 +12,8 @@ or more and with words in its first and last line, that equals a run starting ea
 
 Cases: a null text stays null and an empty one empty; blank lines belong to runs but start none;
 rows that agree in doc_id and text are one document, whose lines are kept; other columns pass
-through unchanged (the names ``lines_deleted`` and ``words_deleted`` are the operator's own).
+through unchanged whatever their names, but for ``lines_deleted`` and ``words_deleted``, which are the
+operator's own and are replaced. A slice holds one whole text at least, however long.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import SPACE, encode, stage_table, string_array, text_buffers, text_slices
+from tabwright.llm.common import SPACE, encode, stage_table, string_array, text_buffers, text_slices, unused
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
@@ -122,15 +123,15 @@ def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = 40) -> DataFrame:
     """``docs`` with later repeated runs cut from ``text``, and ``lines_deleted``, ``words_deleted``."""
     docs = docs.drop("lines_deleted", "words_deleted")
-    runs = repeated_runs(docs, min_words).select(F.col("doc_id").alias("__doc_id"), F.col("row").alias("__row"),
-                                                 F.col("spans").alias("__spans"))
-    joined = docs.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id"))
-                       & (F.xxhash64("text") == F.col("__row")), "left").drop("__doc_id", "__row")
-    schema = joined.drop("__spans").schema.add("lines_deleted", "long").add("words_deleted", "long")
+    doc_id, row, cut = unused(docs, "run_doc_id", "run_row", "run_spans")
+    runs = repeated_runs(docs, min_words).select(F.col("doc_id").alias(doc_id), F.col("row").alias(row), F.col("spans").alias(cut))
+    joined = docs.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id))
+                       & (F.xxhash64("text") == F.col(row)), "left").drop(doc_id, row)
+    schema = joined.drop(cut).schema.add("lines_deleted", "long").add("words_deleted", "long")
 
     def run(batches):
         for batch in batches:
-            spans = batch.column("__spans")
+            spans = batch.column(cut)
             texts = batch.column("text")
             hit = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
             lines_cut, words_cut = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
@@ -147,7 +148,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 40) -> DataFrame:
                     words_cut[i] = sum(len(x.encode().split()) for x, g in zip(lines, gone) if g)
                     new[i] = "\n".join(x for x, g in zip(lines, gone) if not g)
                 texts = pa.array(new, texts.type)
-            names = [x for x in batch.schema.names if x != "__spans"]
+            names = [x for x in batch.schema.names if x != cut]
             yield pa.record_batch([texts if x == "text" else batch.column(x) for x in names]
                                   + [pa.array(lines_cut), pa.array(words_cut)],
                                   names=[*names, "lines_deleted", "words_deleted"])

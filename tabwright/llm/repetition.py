@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.llm.common import SPACE, encode, string_array, text_buffers, text_slices, words
+from tabwright.llm.common import SPACE, encode, string_array, text_buffers, text_slices, unused, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -141,23 +141,23 @@ def repetition_report(docs: DataFrame, min_words: int = 8, slice_bytes: int = 2
         .mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
-def verdict(prefix: str, min_doc_words: int, max_covered_pct: int, max_longest: int) -> tuple[Column, Column]:
+def verdict(names: dict[str, str], min_doc_words: int, max_covered_pct: int, max_longest: int) -> tuple[Column, Column]:
     """(base_failed, kept): covered share of the words, and the longest repeat in words."""
-    n, repeat, longest = (F.col(prefix + m) for m in ("n_words", "n_repeat_words", "longest_repeat"))
+    n, repeat, longest = (F.col(names[m]) for m in ("n_words", "n_repeat_words", "longest_repeat"))
     failed = (n < min_doc_words) | (100 * repeat > max_covered_pct * n)
     return failed, ~failed & (longest <= max_longest)
 
 
 def judge(report: DataFrame, min_doc_words: int = 20, max_covered_pct: int = 30, max_longest: int = 40) -> DataFrame:
     """Add base_failed and kept to a report."""
-    failed, kept = verdict("", min_doc_words, max_covered_pct, max_longest)
+    failed, kept = verdict({m: m for m in MEASURES}, min_doc_words, max_covered_pct, max_longest)
     return report.withColumn("base_failed", failed).withColumn("kept", kept)
 
 
 def keep_quality(docs: DataFrame, min_words: int = 8, min_doc_words: int = 20, max_covered_pct: int = 30,
                  max_longest: int = 40, slice_bytes: int = 2 << 20) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, all columns as they are, in one pass."""
-    names = [f"__{m}" for m in MEASURES]
+    names = unused(docs, *MEASURES)
 
     def run(batches):
         for part in text_slices(batches, slice_bytes):
@@ -165,5 +165,5 @@ def keep_quality(docs: DataFrame, min_words: int = 8, min_doc_words: int = 20, m
             yield pa.record_batch([*part.columns, *(pa.array(v, pa.int64()) for v in found)],
                                   names=[*part.schema.names, *names])
     schema = T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in names)])
-    _, kept = verdict("__", min_doc_words, max_covered_pct, max_longest)
+    _, kept = verdict(dict(zip(MEASURES, names)), min_doc_words, max_covered_pct, max_longest)
     return docs.mapInArrow(run, schema).where(kept).select(*docs.columns)

@@ -212,6 +212,16 @@ def test_line_dedup_keeps_repeated_rows_of_one_document(spark):
     assert {(r.doc_id, r.text) for r in got} == {(7, ""), (None, text), (9, "")} and len(got) == 5
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    text = "\n".join(f"line {i} of a text" for i in range(12))
+    names = ["__spans", "run_spans", "RUN_SPANS_", "__doc_id", "run_doc_id", "__row", "run_row", "row", "spans", "anchor", "w1", "s"]
+    rows = [(1, text, *(f"{n}{i}" for n in names)) for i in (1, 2)] + [(2, text, *([None] * len(names)))]
+    docs = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = lines.dedup_lines(docs.withColumn("lines_deleted", F.lit("old")), min_words=10)
+    assert got.columns == ["doc_id", "text", *names, "lines_deleted", "words_deleted"]
+    assert {r.doc_id: (r.lines_deleted, *r[2:-2]) for r in got.collect()} == {0: (0, *rows[0][2:]), 1: (12, *rows[1][2:]), 2: (12, *rows[2][2:])}
+
+
 def brute_secrets(text):
     text, out = text or "", []
     for m in re.finditer(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
@@ -260,6 +270,40 @@ def test_random_runs_of_one_case_are_found(spark, symbols):
     assert all("random" not in rows[i] for i in range(60, 64))
 
 
+NAME_PARTS = ("Data Model User Report Http Index Config Service Request Response Table Value Node Session Server Client Query Filter Handler "
+              "Account Update Image Event").split()
+
+
+def identifiers(rng, n):
+    """Names that people write: joined, snake, path, upper and slug forms of a few words and a number."""
+    forms = ["".join, lambda w: "_".join(w).lower(), lambda w: "-".join(w) + "-", "/".join, lambda w: "".join(w).lower(), lambda w: "".join(w).upper()]
+    return [rng.choice(forms)([rng.choice(NAME_PARTS) for _ in range(rng.randrange(3, 7))]) + str(rng.randrange(3000)) for _ in range(n)]
+
+
+def random_kinds(spark, texts):
+    spans = F.filter("spans", lambda x: x["kind"] == "random")
+    return {r.doc_id: r.n for r in secrets.scan(docs_of(spark, texts)).select("doc_id", F.size(spans).alias("n")).collect()}
+
+
+def test_identifiers_are_left_whatever_keys_are_beside_them(spark):
+    """The verdict on a fixed text hardly moves when many random keys join the table."""
+    rng = random.Random(9)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    names = [f"the name {x} of it" for x in identifiers(rng, 400)]
+    keys = [f"text {''.join(rng.choice(alnum) for _ in range(rng.choice([16, 20, 24, 40])))} end" for _ in range(1500)]
+    alone, beside = random_kinds(spark, names), random_kinds(spark, names + keys)
+    assert sum(alone.values()) == 0 and sum(beside[i] for i in range(400)) <= 2
+    # keys of 16 characters or more are found; one without a digit is not looked at
+    assert sum(beside[400 + i] > 0 for i in range(1500)) >= 0.93 * 1500
+
+
+def test_letter_pairs_of_distinct_words(spark):
+    got = secrets.letter_pairs(docs_of(spark, ["The the, THE x aB1 key9", "the cab; cab", None, ""]))
+    assert got == {(-1, 3): 2, (19, 7): 1, (7, 4): 1, (2, 0): 1, (0, 1): 1}
+    words = secrets.natural({})
+    assert words.mean > 0.5 and 0.1 < words.change < 0.4 and len(words.gain) == 676
+
+
 def test_redaction_joins_overlaps(spark):
     rows = [("é0123456789", [("a", 1, 4, ""), ("b", 3, 6, ""), ("c", 8, 9, "")]), ("abc", []), ("abc", [("a", 0, 3, "")])]
     df = spark.createDataFrame(rows, "text string, spans array<struct<kind:string,s:int,e:int,v:string>>")
