@@ -8,9 +8,10 @@ a 128-bit hash. The exact join has four steps:
    answers every chunk with the frequencies. A cut can only raise a frequency, so a set with under
    80 % of shingles seen twice links with nothing and leaves.
 2. Index lists. The remaining sets are ordered rarest shingle first and listed by the shingles of
-   their prefixes, positions beyond which no linked pair can first meet. Every linked pair meets
-   in a list.
-3. Leaders. Each list's sets are compared with its leader, the set with the fewest shingles of its
+   their prefixes, positions beyond which no linked pair can first meet. The lists are cut into blocks
+   by set size, and a set is entered only in the blocks that its position can reach; blocks without
+   a possible pair are skipped. Every linked pair meets in a block.
+3. Leaders. Each block's sets are compared with its leader, the set with the fewest shingles of its
    own, and links are joined into components.
 4. Skipping. The sets of a leader's lists are dealt into cells by their distance from it, already
    computed. As Jaccard distance is a metric, two sets whose distances differ by more than the
@@ -20,7 +21,7 @@ a 128-bit hash. The exact join has four steps:
 
 Cases: null, empty and blank texts have empty sets that link with nothing; fewer than ``width``
 words make one shingle of the whole sequence; rows with equal texts share a component; repeated
-rows are returned each; other columns are ignored.
+rows are returned each; other columns are ignored. A chunk holds one whole text at least, however long.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from tabwright.llm.common import (LOWER, chunk_name, common_first, encode, gathe
 from tabwright.llm.graph import components
 from tabwright.llm.vectors import forest
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 CELL_SETS = 512
 FAR_STEP = 0.05
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -235,15 +236,33 @@ def linked(pct: int):
     return 100 * F.col("common") >= pct * (F.col("na") + F.col("nb") - F.col("common"))
 
 
+def index_blocks(sets: DataFrame, pct: int) -> DataFrame:
+    """(item, block, sid, leader): the index lists, cut into blocks that can hold links.
+
+    Block k of a list holds the sets of size class k (a class is a factor of 100 / pct wide, so linked
+    sets are of the same class or of neighbouring ones) and, as visitors, those of class k - 1 whose
+    position lets them reach it: two sets that first meet at positions p and q have at most
+    min(n - p, m - q) shingles in common and need pct / (100 + pct) of n + m, so a set at position p
+    links with sets of at most (n - p) * (100 + pct) / pct - n shingles there. Every linked pair is in
+    the block of its larger set in the list where it first meets; the other blocks are skipped, and
+    so are those with fewer than two sets or visitors only."""
+    class_of = lambda n: F.floor(F.ln(F.greatest(n, F.lit(1)).cast("double")) / math.log(100 / pct)).cast("int")
+    single = F.element_at("prefix", 1)
+    index = sets.select("sid", "n", single.alias("single"), F.posexplode(F.slice("prefix", 2, F.greatest(F.size("prefix") - 1, F.lit(0)))).alias("i", "item"))
+    most = F.floor((F.col("n") - F.col("single") - F.col("i")) * (100 + pct) / pct) - F.col("n")
+    own = class_of(F.col("n"))
+    blocks = F.when(class_of(most) > own, F.array(own, own + 1)).otherwise(F.array(own))
+    entries = stage_table(index.select("sid", "single", "item", own.alias("class"), F.explode(blocks).alias("block")), "jaccard-index")
+    # the leader has the fewest shingles of its own: the source of a group of copies rather than a copy
+    lists = entries.groupBy("item", "block").agg(F.min(F.struct("single", "sid")).alias("leader"), F.count(F.lit(1)).alias("sets"),
+                                                 F.max("class").alias("top")) \
+        .where((F.col("sets") > 1) & (F.col("top") == F.col("block"))).select("item", "block", F.col("leader.sid").alias("leader"))
+    return entries.select("item", "block", "sid").join(lists, ["item", "block"])
+
+
 def set_components(sets: DataFrame, pct: int) -> DataFrame:
     """(node, root) of all linked sets."""
-    index = stage_table(
-        sets.select("sid", F.explode(F.slice("prefix", 2, F.greatest(F.size("prefix") - 1, F.lit(0)))).alias("item"),
-                    F.element_at("prefix", 1).alias("single")), "jaccard-index")
-    # the leader has the fewest shingles of its own: the source of a group of copies rather than a copy
-    lists = index.groupBy("item").agg(F.min(F.struct("single", "sid")).alias("leader"), F.count(F.lit(1)).alias("sets")) \
-        .where("sets > 1").select("item", F.col("leader.sid").alias("leader"))
-    lists = stage_table(index.drop("single").join(lists, "item"), "jaccard-lists")
+    lists = stage_table(index_blocks(sets, pct), "jaccard-lists")
     stars = lists.where("sid <> leader").select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct()
     compared = stage_table(overlaps(stars, sets), "jaccard-stars")
     links = compared.where(linked(pct)).select("a", "b")

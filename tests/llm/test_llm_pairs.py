@@ -78,6 +78,44 @@ def test_jaccard_components_match_brute_force(spark, seed, pct):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_blocks_hold_every_link_and_skip_the_rest(spark):
+    """Every linked pair shares a block; sets too unlike in size for their position share none."""
+    rng = random.Random(5)
+    universe = sorted(rng.sample(range(1 << 40), 400))
+    sets = [sorted(rng.sample(universe, rng.randrange(3, 60))) for _ in range(60)]
+    for base in sets[:40]:  # near copies of other sizes
+        for _ in range(2):
+            own = set(base) - set(rng.sample(base, rng.randrange(0, max(1, len(base) // 8))))
+            sets.append(sorted(own | set(rng.sample(universe, rng.randrange(0, max(1, len(base) // 8 + 1))))))
+    df = Counter(x for s in sets for x in s)
+    rows, plain = [], Counter()
+    for i, s in enumerate(sets):
+        order = sorted(s, key=lambda x: (min(df[x], 255), x))
+        single = sum(df[x] == 1 for x in order)
+        k = len(s) - -(-80 * len(s) // 100) + 1
+        alone = min(single, k)
+        rows.append((i.to_bytes(4, "big"), len(s), [alone, *order[alone:k]]))
+        plain.update(order[alone:k])
+    got = jaccard.index_blocks(spark.createDataFrame(rows, "sid binary, n long, prefix array<long>"), 80).collect()
+    blocks = {}
+    for r in got:
+        blocks.setdefault((r.item, r.block), set()).add(int.from_bytes(r.sid, "big"))
+        assert r.leader is not None
+    assert all(len(b) > 1 for b in blocks.values())
+    together = {(x, y) for b in blocks.values() for x in b for y in b if x < y}
+    links = 0
+    for x in range(len(sets)):
+        for y in range(x + 1, len(sets)):
+            a, b = set(sets[x]), set(sets[y])
+            if 100 * len(a & b) >= 80 * len(a | b):
+                links += 1
+                assert (x, y) in together
+    assert links > 40
+    assert not any(min(len(sets[x]), len(sets[y])) * 1.5625 < max(len(sets[x]), len(sets[y])) for x, y in together)
+    # entries read with and without blocks
+    assert len(got) < sum(n for n in plain.values() if n > 1)
+
+
 def test_jaccard_large_group_and_repeated_rows(spark):
     rng = random.Random(6)
     base = [f"w{rng.randrange(50)}" for _ in range(60)]
