@@ -178,6 +178,17 @@ def q_knn_graph(spark, d):
     return g.select("src", "dst", "rank")
 
 
+@query("knn_approx_recall", "SELECT count(*) AS n_vectors, true AS reached FROM embeddings")
+def q_knn_approx(spark, d):
+    """Hash-table neighbours of all embeddings against the exact graph: recall of 0.9 or more."""
+    e = embeddings(spark, d).select("vec_id", "embedding")
+    exact = knn.knn_graph(e, "vec_id", "embedding", k=K).select("src", "dst")
+    near = knn.knn_approx(e, e.withColumnRenamed("vec_id", "other"), "vec_id", "other", "embedding", K, exclude_self=True) \
+        .select(F.col("vec_id").alias("src"), F.col("other").alias("dst"), F.lit(1).alias("found"))
+    return exact.join(near, ["src", "dst"], "left").agg(
+        F.countDistinct("src").alias("n_vectors"), (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("reached"))
+
+
 @query("propagate_one_step", f"""
 WITH {EMB_PAIRS_SQL},
 edges AS (SELECT src, dst FROM nn WHERE rk <= {K - 1} UNION ALL SELECT vec_id, vec_id FROM e),
