@@ -3,8 +3,9 @@
 URLs that a rule decides are the labelled ones: the trees learn from their verdicts (allow 0,
 block 1) and decide the rest. Features are lengths, depth, digit ratio, character entropy,
 parameter counts, and smoothed block rates of the host's suffixes and of the leading path segment
-among all labelled rows. Only the fit is sampled: it takes at most ``max_labelled`` distinct
-labelled URLs, those of the smallest hashes; every URL is parsed and judged.
+among all labelled rows. In the fit a URL's rates leave out its own fold (a hash of the URL), so no
+label, its copies' included, is read back as a feature. Only the fit is sampled: it takes at most
+``max_labelled`` distinct labelled URLs, those of the smallest hashes; every URL is parsed and judged.
 
 Cases: a null url, or one without ``://``, has an empty host and path and no rule; ties and
 repeated rows are judged each; labels of one class only give that class to all others, no labels
@@ -22,6 +23,7 @@ from tabwright.llm.common import stage_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SUFFIXES = ("top", "second", "segment")
+FOLDS = 5
 FEATURES = ["n_url", "n_host", "n_path", "depth", "labels", "digits", "entropy", "params", "has_fragment",
             "hyphens", "n_last", *(f"{s}_rate" for s in SUFFIXES)]
 
@@ -78,41 +80,53 @@ def lexical(parsed: DataFrame) -> DataFrame:
         "segment": F.get(F.split("path", "/"), F.lit(1))}).fillna({"segment": ""})
 
 
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int")
+
+
 def suffix_counts(labelled: DataFrame) -> DataFrame:
-    """(suffix, value, n, blocked): all labelled rows and the blocked ones of each value of SUFFIXES."""
+    """(suffix, value, fold, n, blocked): labelled rows and blocked ones of each value of SUFFIXES, by the URL's fold."""
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("suffix"), F.col(s).alias("value")) for s in SUFFIXES)))
-    return labelled.select(each.alias("s"), "y").groupBy("s.suffix", "s.value") \
+    return labelled.select(each.alias("s"), "fold", "y").groupBy("s.suffix", "s.value", "fold") \
         .agg(F.count("*").alias("n"), F.sum("y").alias("blocked"))
 
 
+def with_rates(df: DataFrame, counts: DataFrame, overall: float, out_of_fold: bool) -> DataFrame:
+    """Add the smoothed block rate of each of SUFFIXES and the feature vector; with ``out_of_fold`` the
+    counts of the row's own fold are left out."""
+    for s in SUFFIXES:
+        own = counts.where(F.col("suffix") == s).select(F.col("value").alias(s), "fold", "n", "blocked")
+        total = own.groupBy(s).agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+        if out_of_fold:
+            total = own.select(s, "fold", F.col("n").alias("own_n"), F.col("blocked").alias("own_blocked")).join(total, s) \
+                .select(s, "fold", (F.col("n") - F.col("own_n")).alias("n"), (F.col("blocked") - F.col("own_blocked")).alias("blocked"))
+        rate = total.select(s, *(["fold"] if out_of_fold else []), ((F.col("blocked") + 5 * overall) / (F.col("n") + 5)).alias(f"{s}_rate"))
+        df = df.join(rate, [s, "fold"] if out_of_fold else s, "left").fillna({f"{s}_rate": overall})
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df)
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], max_labelled: int = 50_000, trees: int = 20,
-               depth: int = 4, seed: int = 7) -> DataFrame:
+               depth: int = 4, seed: int = 7, hidden: Column | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, predicted): ``verdict`` is the rule's, else ``predicted``,
-    the trees' (each allow or block)."""
+    the trees' (each allow or block). URLs that are ``hidden`` teach nothing, neither in the fit nor
+    in the rates: what is predicted for them is held out."""
     ruled = apply_rules(parse(pages.select("page_id", F.col("url").cast("string").alias("url"))), rules)
-    judged = lexical(ruled)
+    judged = lexical(ruled).withColumn("fold", fold_of(F.col("url")))
     out = ["page_id", "host", "path", "rule"]
     y = (F.col("rule_verdict") == "block").cast("double").alias("y")
-    rates = stage_table(suffix_counts(judged.where("rule_verdict is not null").select(*SUFFIXES, y)), "url-rates")
-    kinds = rates.where(F.col("suffix") == "top").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).first()
+    teaches = F.col("rule_verdict").isNotNull() & ~(F.lit(False) if hidden is None else hidden)
+    counts = stage_table(suffix_counts(judged.where(teaches).select(*SUFFIXES, "fold", y)), "url-rates")
+    kinds = counts.where(F.col("suffix") == "top").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).first()
     if not kinds.n or kinds.blocked in (0, kinds.n):
         only = "block" if kinds.n and kinds.blocked else "allow"
         return judged.select(*out, F.coalesce("rule_verdict", F.lit(only)).alias("verdict"), F.lit(only).alias("predicted"))
     overall = kinds.blocked / kinds.n
     # the rules judge a URL, so its copies have one verdict and teach once
-    sample = ruled.where("rule_verdict is not null").select("url", "host", "path", "rest", y).dropDuplicates(["url"]) \
+    sample = ruled.where(teaches).select("url", "host", "path", "rest", y).dropDuplicates(["url"]) \
         .orderBy(F.xxhash64("url"), "url").limit(max_labelled)
-    sample = stage_table(lexical(sample), "labelled-urls")
-
-    def with_rates(df: DataFrame) -> DataFrame:
-        for s in SUFFIXES:
-            rate = rates.where(F.col("suffix") == s) \
-                .select(F.col("value").alias(s), ((F.col("blocked") + 5 * overall) / (F.col("n") + 5)).alias(f"{s}_rate"))
-            df = df.join(rate, s, "left").fillna({f"{s}_rate": overall})
-        return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df)
-
+    sample = stage_table(lexical(sample).withColumn("fold", fold_of(F.col("url"))), "labelled-urls")
     model = GBTClassifier(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=depth, seed=seed) \
-        .fit(with_rates(sample).select("features", "y"))
+        .fit(with_rates(sample, counts, overall, True).select("features", "y"))
     predicted = F.when(F.col("prediction") == 1.0, "block").otherwise("allow")
-    return model.transform(with_rates(judged)) \
+    return model.transform(with_rates(judged, counts, overall, False)) \
         .select(*out, F.coalesce("rule_verdict", predicted).alias("verdict"), predicted.alias("predicted"))
