@@ -11,13 +11,14 @@ from __future__ import annotations
 import json
 import math
 import random
+import sys
 from functools import reduce
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, RandomForestClassifier)
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassificationModel, GBTClassifier, RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.operators.encode import assemble
@@ -175,12 +176,17 @@ def draw_params(space: Mapping[str, object], rng: random.Random) -> dict:
     return out
 
 
+def without_unmapped(model: str, space: Mapping[str, object]) -> dict:
+    """A space without the names that have no counterpart, so no two trials differ only in them."""
+    return {name: spec for name, spec in space.items() if name not in UNMAPPED[model]}
+
+
 def random_search(model: str, space: Mapping[str, object], n_trials: int, df: DataFrame, fold_col: str,
                   label: str, seed: int = SEED, parallelism: int = 4, k: int | None = None) -> DataFrame:
     """Seeded random search with fold-based CV F1. Returns the trial log
-    (trial, params, mean_f1) as a DataFrame."""
+    (trial, params, mean_f1) as a DataFrame. Names in UNMAPPED are not drawn."""
     rng = random.Random(seed)
-    trials = [draw_params(space, rng) for _ in range(n_trials)]
+    trials = [draw_params(without_unmapped(model, space), rng) for _ in range(n_trials)]
     MODELS[model](trials[0], label=label)  # unknown names and depths fail before any job
     folds = k if k is not None else df.select(F.max(fold_col)).first()[0] + 1
     df = with_class_count(df, label).persist()
@@ -202,6 +208,60 @@ def random_search(model: str, space: Mapping[str, object], n_trials: int, df: Da
     return spark.createDataFrame(rows, "trial int, params string, mean_f1 double")
 
 
+def boosted_prefix(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The boosted model as it was after its first ``rounds`` rounds."""
+    context = SparkSession.active().sparkContext
+    jvm, n = context._jvm, min(rounds, len(model.treeWeights))
+    all_trees, all_weights = model._java_obj.trees(), model.treeWeights
+    trees = context._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = context._gateway.new_array(jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = all_trees[i], float(all_weights[i])
+    cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"{model.uid}_{n}", trees, weights)
+    return GBTClassificationModel(cut).setFeaturesCol(model.getFeaturesCol())
+
+
+def halving_search(space: Mapping[str, object], n_trials: int, df: DataFrame, fold_col: str, label: str,
+                   rungs: Sequence[tuple[int | None, int]] = ((2, 1), (6, 2), (18, 5)), keep: int = 3, seed: int = SEED,
+                   parallelism: int = 8, folds: int = 5) -> DataFrame:
+    """M11 for boosted trees: seeded draws by successive halving. Log rows (rung, trial, params, rounds,
+    folds, mean_f1, fits, kept).
+
+    A rung (rounds, folds) fits the draws still alive with that many rounds (None: their own number) on
+    that many of ``folds`` folds, and the best of every ``keep`` go on. Draws that differ only in
+    their number of rounds share each fit and are scored at their prefixes of it. ``fits`` counts the
+    rung's fits."""
+    rng = random.Random(seed)
+    trials = [draw_params(without_unmapped("boosted", space), rng) for _ in range(n_trials)]
+    MODELS["boosted"](trials[0], label=label)  # unknown names and depths fail before any job
+    alive: dict[str, list[int]] = {}
+    for t, p in enumerate(trials):
+        alive.setdefault(json.dumps({k: v for k, v in p.items() if k != "n_estimators"}, sort_keys=True), []).append(t)
+    df = with_class_count(df, label).persist()
+    rows = []
+    for rung, (limit, used) in enumerate(rungs):
+        rounds = {t: min(trials[t].get("n_estimators", 20), limit or sys.maxsize) for own in alive.values() for t in own}
+
+        def fit(job):
+            own, f = job
+            params = {**trials[own[0]], "n_estimators": max(rounds[t] for t in own)}
+            model = boosted(params, label=label).fit(df.where(F.col(fold_col) != f))
+            scores = {r: fold_scores([(f, boosted_prefix(model, r))], df, fold_col, label)[0][1] for r in {rounds[t] for t in own}}
+            return {t: scores[rounds[t]] for t in own}
+        jobs = [(own, f) for own in alive.values() for f in range(min(used, folds))]
+        with ThreadPoolExecutor(max_workers=parallelism) as ex:
+            results = list(ex.map(fit, jobs))
+        mean = {t: sum(r[t] for r in results if t in r) / min(used, folds) for t in rounds}
+        best = sorted(alive, key=lambda g: (-max(mean[t] for t in alive[g]), min(alive[g])))
+        kept = set(best[:max(1, -(-len(best) // keep))])
+        rows += [(rung, t, json.dumps(trials[t], sort_keys=True), rounds[t], min(used, folds), mean[t], len(jobs), g in kept)
+                 for g, own in alive.items() for t in own]
+        alive = {g: own for g, own in alive.items() if g in kept}
+    df.unpersist()
+    return df.sparkSession.createDataFrame(
+        rows, "rung int, trial int, params string, rounds int, folds int, mean_f1 double, fits int, kept boolean")
+
+
 def donor_shift(r: int, n: int, seed: int) -> tuple[int, int]:
     """Factor and offset of repeat ``r``: position p takes its donor from (a * p + b) mod n. The factor
     is the first number prime to n from a seeded start on, so the map is a bijection."""
@@ -268,7 +328,7 @@ def tune_and_test(model: str, space: Mapping[str, object], n_trials: int, df: Da
         log = random_search(model, space, n_trials, train, fold_col, label, seed=seed, parallelism=parallelism)
         best = json.loads(best_row(log, "mean_f1", "trial").first()["params"])
     else:  # a single draw leaves nothing to choose
-        best = draw_params(space, random.Random(seed))
+        best = draw_params(without_unmapped(model, space), random.Random(seed))
         log = df.sparkSession.createDataFrame([(0, json.dumps(best, sort_keys=True), None)], "trial int, params string, mean_f1 double")
     rows = []
     for stage, fitted_on, scored_on in (("val", ["train"], "val"), ("test", ["train", "val"], "test")):

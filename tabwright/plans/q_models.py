@@ -337,6 +337,13 @@ def q_random_search(spark, d):
         "is_best", F.col("__best").isNotNull()).drop("__best")
 
 
+@query("search_boosted")
+def q_search_boosted(spark, d):
+    """50 draws of the boosted grid by successive halving: 2, 6 and 18 rounds on 1, 2 and 5 folds."""
+    train, _ = train_with_folds(spark, d)
+    return ml.halving_search(ml.SPACES["boosted_grid"], 50, materialize(train.select("features", "target", "fold")), "fold", "target", seed=SEED)
+
+
 @query("permutation_importance")
 def q_perm_importance(spark, d):
     df, oh = model_table(spark, d)
