@@ -328,6 +328,66 @@ def test_language_is_learned_and_backs_off(spark):
     assert langid.identify(df.where("false"), F.col("lang"), held).count() == 0
 
 
+def brute_language(rows, longest, alpha):
+    """{id: (language, score)} of (id, text, training language) by plain dictionaries."""
+    import math
+    words_of = {i: [w for w in (langid.letters(t) for t in WORD.findall(text or "")) if w] for i, text, _ in rows}
+    counts, totals = {}, Counter()
+    for i, _, lang in rows:
+        if lang is not None:
+            for w in words_of[i]:
+                counts.setdefault(w, Counter())[lang] += 1
+                totals[lang] += 1
+    langs = sorted(totals)
+    cut = lambda w, n: [f"<{w}>"[a:a + n] for a in range(len(w) + 3 - n)]
+    grams = {n: {} for n in range(1, longest + 1)}
+    for w, own in counts.items():
+        for n, table in grams.items():
+            for g in cut(w, n):
+                for lang in own:
+                    table.setdefault(g, Counter())[lang] += 1
+    sums = {n: {x: sum(c[x] for c in table.values()) for x in langs} for n, table in grams.items()}
+
+    def rate(w):
+        if w in counts:
+            return [math.log((counts[w][x] + alpha) / (totals[x] + 1)) for x in langs]
+        for n in range(longest, 0, -1):
+            hit = [grams[n][g] for g in cut(w, n) if g in grams[n]]
+            if hit:
+                return [sum(math.log((g[x] + alpha) / (sums[n][x] + 1)) for g in hit) / len(hit) for x in langs]
+        return [0.0] * len(langs)
+    out = {}
+    for i, _, _ in rows:
+        scores = [sum(x) for x in zip(*map(rate, words_of[i]))]
+        if not scores or not langs:
+            out[i] = ("und", 0.0)
+            continue
+        top = max(scores)
+        name = langs[scores.index(top)] if len(set(scores)) > 1 else max(langs, key=lambda x: (totals[x], x))
+        out[i] = (name, 1 / sum(math.exp(x - top) for x in scores))
+    return out
+
+
+@pytest.mark.parametrize("longest, chunk_bytes", [(4, 16 << 20), (2, 500)])
+def test_language_matches_brute_force(spark, longest, chunk_bytes):
+    rng = random.Random(12)
+    syll = {"de": ["sch", "ein", "ung", "ä", "ü"], "en": ["the", "ing", "sh", "wh", "e"], "ja": ["東", "京", "日", "本", "の"]}
+    make = lambda x: "".join(rng.choice(syll[x] + syll["en"][:1]) for _ in range(rng.randrange(1, 4)))
+    rows = []
+    for i in range(90):
+        x = rng.choice(list(syll))
+        words_ = [make(x if rng.random() < 0.8 else rng.choice(list(syll))) for _ in range(rng.randrange(1, 25))]
+        rows.append((i, rng.choice([" ", "\n", ", 1 "]).join(words_), x if i % 3 else None))
+    rows += [(200 + i, t, None) for i, t in enumerate([None, "", "12 !", "zzz", "q", "The THE th3e", "ß", "schein zzz"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {r.doc_id: r for r in langid.identify(df, F.col("lang"), F.lit(False), longest=longest, chunk_bytes=chunk_bytes, bucket_bytes=2000).collect()}
+    want = brute_language(rows, longest, 0.1)
+    assert set(got) == set(want)
+    for i, (name, score) in want.items():
+        assert got[i].score == pytest.approx(score, abs=1e-9), i
+        assert got[i].lang_pred == name, i
+
+
 def test_backoff_uses_exact_grams_only(spark):
     rng = random.Random(11)
     make = lambda a: " ".join("".join(rng.choice(a) for _ in range(8)) for _ in range(60))
