@@ -1,8 +1,8 @@
 """Joins and set operations.
 
 Only left equi-joins exist in the source workload. Join strategy is left to Catalyst + AQE:
-a side is broadcast only when its size is known to be bounded (explicit ``broadcast=True`` for
-fixed dimensions) or when AQE's runtime statistics put it under
+a side is broadcast only when its size is checked (explicit ``broadcast=True`` for small
+dimensions) or when AQE's runtime statistics put it under
 ``spark.sql.autoBroadcastJoinThreshold``; otherwise a sort-merge join with AQE skew splitting.
 """
 
@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+BROADCAST_ROWS = 100_000
+
+
 def enrich(df: DataFrame, dim: DataFrame, on: Sequence[tuple[str, str]], how: str = "left",
            suffixes: tuple[str, str] = ("_x", "_y"), null_safe: bool = False,
            broadcast: bool = False) -> DataFrame:
@@ -23,6 +26,8 @@ def enrich(df: DataFrame, dim: DataFrame, on: Sequence[tuple[str, str]], how: st
     * Non-key columns present on both sides get ``suffixes`` (pandas ``_x``/``_y``); Spark would
       otherwise keep two columns of the same name.
     * The right-hand key columns are dropped when they carry the same name as the left keys.
+    * ``broadcast=True`` is taken up only after a count shows that ``dim`` has at most
+      ``BROADCAST_ROWS`` rows; a larger side is left to AQE.
     """
     left_keys = {l for l, _ in on}
     right_keys = {r for _, r in on}
@@ -34,7 +39,7 @@ def enrich(df: DataFrame, dim: DataFrame, on: Sequence[tuple[str, str]], how: st
     # Right keys that clash with left keys are renamed to private names for the condition.
     rkey = {r: (f"__r_{r}" if r in left.columns else r) for _, r in on}
     right = right.withColumnsRenamed({r: n for r, n in rkey.items() if n != r})
-    if broadcast:
+    if broadcast and dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         right = F.broadcast(right)
     conds = []
     for l, r in on:

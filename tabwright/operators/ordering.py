@@ -107,11 +107,12 @@ def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str | Colu
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (),
-                    names: Sequence[str] | None = None, limit: int = 20_000, bins: int = 1024) -> DataFrame:
+                    names: Sequence[str] | None = None, limit: int = 20_000, bins: int = 1024,
+                    written: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation between closest ranks; nulls ignored.
     Returns one row per group: ``by`` columns plus one column per quantile.
 
-    The (group, value) pairs are written once. A table of intervals, a few per group, is narrowed in
+    The (group, value) pairs are written once, unless ``df`` is a ``written`` table already. A table of intervals, a few per group, is narrowed in
     Spark: a pass counts the rows of all open intervals of all groups in ``bins`` equal steps, and
     the step that holds a wanted rank, tightened to its least and greatest value, is the next
     interval. A group with at most ``limit`` rows needs no pass, and a hot group's rows are counted
@@ -119,8 +120,9 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
     names = list(names) if names is not None else [f"q{int(round(q * 100)):02d}" for q in qs]
     keys = [f"g{i}" for i in range(len(by) or 1)]
     groups = [F.col(c) for c in by] or [F.lit(0)]
-    vals = stage(df.select(*(c.alias(k) for c, k in zip(groups, keys)), F.col(value).cast("double").alias("v"))
-                 .where(F.col("v").isNotNull() & ~F.isnan("v")), "quantile-values")
+    vals = df.select(*(c.alias(k) for c, k in zip(groups, keys)), F.col(value).cast("double").alias("v")) \
+        .where(F.col("v").isNotNull() & ~F.isnan("v"))
+    vals = vals if written else stage(vals, "quantile-values")
     at = [(F.col("n") - 1) * F.lit(float(q)) for q in qs]
     wanted = F.array_sort(F.array_distinct(F.array(*[f(x).cast("long") for x in at for f in (F.floor, F.ceil)])))
     sizes = stage(vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "quantile-groups")

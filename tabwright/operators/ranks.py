@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabwright.operators.ordering import exact_quantiles
+
 PROBES = 31
 LIMIT = 20_000
 GRID = 256
@@ -271,65 +273,10 @@ def part_of(order: Sequence[str | Column], starts: Sequence[int], n: int, cuts:
     return part
 
 
-BINS = 1024
-
-
 def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], limit: int = LIMIT) -> dict[str, list[float | None]]:
-    """Exact quantiles (linear between closest ranks, missing values left out) of numeric columns.
-
-    All columns share each pass: counts of BINS equal steps between the bounds of every interval
-    that still holds a wanted rank, then the values of the intervals that are short enough."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])).alias("s")) \
-        .select("s.*").where(F.col("v").isNotNull() & ~F.isnan("v"))
-    whole = {r["c"]: r for r in long.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
-    ranks = {c: sorted({f((whole[c]["n"] - 1) * q) for q in qs for f in (math.floor, math.ceil)}) if c in whole else [] for c in cols}
-    found: dict[tuple[str, int], float] = {}
-    # an interval of a column: values lo to hi, rows below it, rows in it, the ranks it holds
-    open_ = [(c, r["lo"], r["hi"], 0, r["n"], ranks[c]) for c, r in whole.items()]
-    while open_:
-        listed, split = [], []
-        for x in open_:
-            c, lo, hi, below, n, wanted = x
-            if lo == hi:
-                found.update({(c, p): lo for p in wanted})
-            elif n <= limit:
-                listed.append(x)
-            else:
-                split.append(x)
-        if listed:
-            inside = reduce(lambda a, b: a | b, [(F.col("c") == c) & F.col("v").between(lo, hi) for c, lo, hi, *_ in listed])
-            values: dict[str, list[float]] = {}
-            for r in long.where(inside).collect():
-                values.setdefault(r["c"], []).append(r["v"])
-            for c, lo, hi, below, _, wanted in listed:
-                own = sorted(v for v in values[c] if lo <= v <= hi)
-                found.update({(c, p): own[p - below] for p in wanted})
-        open_ = []
-        if split:
-            number, step = F.lit(None).cast("int"), F.lit(None).cast("int")
-            for i, (c, lo, hi, *_) in enumerate(split):
-                here = (F.col("c") == c) & F.col("v").between(lo, hi)
-                number = F.when(here, F.lit(i)).otherwise(number)
-                # halves, so that bounds of any size do not overflow
-                part = (F.col("v") / 2 - F.lit(lo / 2)) / F.lit((hi / 2 - lo / 2) / BINS)
-                step = F.when(here, F.least(F.floor(part), F.lit(BINS - 1)).cast("int")).otherwise(step)
-            counted = long.select("v", number.alias("i"), step.alias("b")).where("i is not null").groupBy("i", "b") \
-                .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-            for i, (c, _, _, below, _, wanted) in enumerate(split):
-                for r in sorted((r for r in counted if r["i"] == i), key=lambda r: r["b"]):
-                    own = [p for p in wanted if below <= p < below + r["n"]]
-                    if own:
-                        open_.append((c, r["lo"], r["hi"], below, r["n"], own))
-                    below += r["n"]
-    out = {}
-    for c in cols:
-        row = []
-        for q in qs:
-            if c not in whole:
-                row.append(None)
-                continue
-            at = (whole[c]["n"] - 1) * q
-            low, high = found[c, math.floor(at)], found[c, math.ceil(at)]
-            row.append(low + (high - low) * (at - math.floor(at)))
-        out[c] = row
-    return out
+    """Exact quantiles (linear between closest ranks, missing values left out) of numeric columns, on the
+    driver: one short list per column. All columns share each pass over their written values."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])).alias("s")).select("s.*")
+    names = [f"q{i}" for i in range(len(qs))]
+    found = {r["c"]: [r[n] for n in names] for r in exact_quantiles(long, "v", qs, by=["c"], names=names, limit=limit).collect()}
+    return {c: found.get(c, [None] * len(qs)) for c in cols}

@@ -125,3 +125,14 @@ def test_tuned_model_is_scored_on_both_stages(spark):
     assert log.count() == 2 and 2 <= best["max_depth"] <= 4
     assert {(s, m) for s, m, _ in rows} == {(s, m) for s in ("val", "test") for m in ml.METRICS}
     assert all(v == 1.0 for _, _, v in rows)
+
+
+def test_broadcast_is_taken_up_only_for_a_small_side(spark, monkeypatch):
+    from tabwright.operators import joins
+    left = spark.range(20).selectExpr("id", "id % 4 as k")
+    dim = spark.range(4).selectExpr("id as k", "id * 10 as v")
+    plan = lambda: joins.enrich(left, dim, [("k", "k")], broadcast=True)._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" in plan()
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 3)
+    assert "strategy=broadcast" not in plan()
+    assert joins.enrich(left, dim, [("k", "k")], broadcast=True).count() == 20
