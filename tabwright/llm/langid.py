@@ -12,7 +12,8 @@ had no match.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; if training has no language
 every text is ``und``; a text none of whose words or characters was seen takes the language with
-the most training words; repeated rows are judged each; other columns are ignored.
+the most training words; repeated rows are judged each; other columns are ignored. A
+chunk holds one whole text at least, however long.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ at a word is the larger of its two neighbouring prefixes; matches of at least ``
 are the occurrences of maximal repeated substrings, and their spans are united by position.
 
 Cases: a null text has no words and fails; empty texts likewise; repeated rows are judged each;
-other columns are ignored.
+other columns are ignored. A slice holds one whole text at least, with a rank array for each doubling
+of its longest repeat.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ task of a hash bucket encodes each distinct unit of all chunks once (its pattern
 separately) and joins the ids to every chunk that asked, where they are put in place by position. Decoding looks up ids in the token-byte table,
 whose size is that of the vocabulary.
 
-Cases: a null text counts as empty and has no ids; repeated rows stay; other columns are ignored.
+Cases: a null text counts as empty and has no ids; repeated rows stay; other columns are ignored. A
+chunk holds one whole text at least, however long.
 """
 
 from __future__ import annotations

@@ -161,6 +161,30 @@ def test_shards_have_equal_bytes_and_gapless_slots(spark, seed):
     assert sharding.shard_by_bytes(spark.createDataFrame([], DOCS), 24).count() == 0
 
 
+def test_shards_are_cuts_of_the_sorted_rows(spark):
+    """Against a plain sort: shards and slots follow it, and each cut lies at its share of the bytes."""
+    rng = random.Random(14)
+    texts = [rng.choice([None, "", "é" * rng.randrange(1, 40), "x" * rng.randrange(1, 900)]) for _ in range(1500)]
+    texts += [rng.choice(texts[:200]) for _ in range(400)] + ["y" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    shards = 7
+    got = {r.doc_id: r for r in sharding.shard_by_bytes(docs, shards).collect()}
+    key = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1)
+    order = [r.doc_id for r in docs.select("doc_id", key.alias("key")).orderBy("key", "doc_id").collect()]
+    size = [len((t or "").encode()) + 8 for t in texts]
+    target, below, at = sum(size) / shards, 0, (0, -1)
+    groups = Counter()
+    for i in order:
+        groups[texts[i] or ""] += size[i]
+    for i in order:
+        here = (got[i].shard, got[i].slot)
+        assert got[i]["size"] == size[i] and here in ((at[0], at[1] + 1), (at[0] + 1, 0))
+        if here[0] > at[0]:
+            assert abs(below - here[0] * target) <= 0.001 * target + max(groups.values())
+        below, at = below + size[i], here
+    assert at[0] == shards - 1
+
+
 def test_identical_rows_are_still_split(spark):
     rows = [(1, "the very same row", "x", 1, 2)] * 2400
     got = sharding.shard_by_bytes(spark.createDataFrame(rows, DOCS).repartition(4), 24).collect()
