@@ -226,7 +226,10 @@ def q_features_per_split(spark, d):
              "avg_dur_city": "city", "avg_dur_region": "region"}
     for name, key in means.items():
         df = groups.group_mean(df, ["split", key], "duration_days", name)
-    df = window.rolling_mean(df, "split_property", ["start_ts", "contract_id"], "value", "rolling_value", n=3)
+    # the window sees its own columns only
+    rolled = window.rolling_mean(df.select("contract_id", "split_property", "start_ts", "value"), "split_property",
+                                 ["start_ts", "contract_id"], "value", "rolling_value", n=3)
+    df = df.join(rolled.select("contract_id", "rolling_value"), "contract_id")
     df = df.withColumns({
         "n_rooms": C.count_positive(["room1", "room2", "room3"]),
         "price_class": C.banded(F.col("value") / F.col("area") * 0.3, RENT_EDGES, RENT_LABELS, RENT_UNKNOWN)})
