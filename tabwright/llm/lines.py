@@ -86,7 +86,7 @@ def windows_of(codes, values, n_words, loffs, min_words: int):
     return s, e, anchor, w[0], w[1], hi
 
 
-def line_windows(docs: DataFrame, min_words: int, slice_bytes: int = 8 << 20) -> DataFrame:
+def line_windows(docs: DataFrame, min_words: int, slice_bytes: int = 4 << 20) -> DataFrame:
     def run(batches):
         for part in text_slices(batches, slice_bytes):
             codes, values, n_words, loffs = line_table(*text_buffers(part.column("text")))
