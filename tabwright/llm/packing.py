@@ -101,7 +101,7 @@ def slice_ids(part: pa.RecordBatch, bpe, special: dict[str, int], seen: dict[str
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, width: int, end_id: int = 0, with_ids: bool = True,
-                 slice_bytes: int = 8 << 20) -> DataFrame:
+                 slice_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): ids of each text, then ``end_id``.
 
     ``ids`` are little-endian unsigned 32-bit ids, as ``Tokenizer.encode(text,
