@@ -41,3 +41,28 @@ def test_windows_and_box_need_no_second_sort(spark):
     assert main.count("Exchange hashpartitioning") <= 1 and "SortMergeJoin" not in main and "rangepartitioning" not in txt
     box = plan_text(profile.box_stats(df, "v", by=["k"]))
     assert "rangepartitioning" not in box and "Scan ExistingRDD" not in box
+
+
+def test_contract_lines_move_before_they_are_aggregated(spark, tmp_path):
+    """No aggregate of ``lineitem`` below its exchange, where lines in no order would fill the map side; repeated
+    and null keys keep their rows."""
+    from tabwright.plans.contracts import contracts
+    day = "timestamp_ntz'1996-01-0{}'".format
+    tables = {
+        "region": "select 1L as r_regionkey, 'ASIA' as r_name",
+        "nation": "select 1 as n_nationkey, 'N' as n_name, 1L as n_regionkey",
+        "customer": "select * from values (1L, 1, 5D, 'A'), (1L, 1, 6D, 'B'), (null, 1, 7D, 'C') as t(c_custkey, c_nationkey, c_acctbal, c_mktsegment)",
+        "orders": f"select *, 'O' as o_orderstatus, 9D as o_totalprice, {day(1)} as o_orderdate, 'LOW' as o_orderpriority "
+                  "from values (1L, 1L), (2L, 2L), (null, null), (3L, 1L) as t(o_orderkey, o_custkey)",
+        "lineitem": f"select *, {day(5)} as l_shipdate from values (1L, 1, 2D, 0.1D), (null, 1, 8D, 0.5D), (2L, 1, 4D, 0.3D), (1L, 2, 3D, 0.2D), (1L, 1, 5D, 0.4D) "
+                    "as t(l_orderkey, l_linenumber, l_quantity, l_discount)",
+    }
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    df = contracts(spark, str(tmp_path)).select("contract_id", "acctbal", "area", "room1", "room2", "discount", "n_lines", "duration_days")
+    got = sorted(map(tuple, df.collect()), key=repr)
+    assert got == sorted([(1, 5.0, 10.0, 5.0, 3.0, 0.1, 3, 4), (1, 6.0, 10.0, 5.0, 3.0, 0.1, 3, 4), (2, None, 4.0, 4.0, None, 0.3, 1, 4),
+                          (3, 5.0, None, None, None, None, None, None), (3, 6.0, None, None, None, None, None, None),
+                          (None, None, None, None, None, None, None, None)], key=repr)
+    txt = plan_text(df)
+    assert txt.rindex("Exchange hashpartitioning(l_orderkey") > txt.rindex("HashAggregate(keys=[l_orderkey")
