@@ -15,20 +15,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.operators.ordering import global_row_index
+from tabwright.session import stage
 
 # a wide one-hot makes one column per level; beyond this use one_hot_vector
 MAX_LEVELS = 4096
+# columns whose levels are found in one pass
+TOGETHER = 16
 
 
 def level_lists(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list]:
     """Sorted non-null distinct values of each column, for encodings that make a column per level.
     At most ``max_levels`` + 1 values reach the driver; more levels are an error, by the exact count."""
     out = {}
-    for c in cols:
-        rows = df.where(F.col(c).isNotNull()).select(F.col(c).alias("v")).distinct().limit(max_levels + 1).collect()
-        if len(rows) > max_levels:
-            raise ValueError(f"too many levels to encode: {c} has more than {max_levels}; use one_hot_vector")
-        out[c] = sorted(r["v"] for r in rows)
+    for at in range(0, len(cols), TOGETHER):
+        part = cols[at:at + TOGETHER]
+        names = [f"v{i}" for i in range(len(part))]
+        values = df.select(*(F.col(c).alias(v) for c, v in zip(part, names)))
+        # the columns share one pass and are written: a row per column and value
+        levels = stage(values.groupingSets([[F.col(v)] for v in names], *names).agg(F.grouping_id(*names).alias("of")), "levels")
+        for i, (c, v) in enumerate(zip(part, names)):
+            of = (1 << len(part)) - 1 - (1 << (len(part) - 1 - i))  # a bit for each column not grouped by
+            rows = levels.where((F.col("of") == of) & F.col(v).isNotNull()).select(F.col(v).alias("v")).limit(max_levels + 1).collect()
+            if len(rows) > max_levels:
+                raise ValueError(f"too many levels to encode: {c} has more than {max_levels}; use one_hot_vector")
+            out[c] = sorted(r["v"] for r in rows)
     return out
 
 

@@ -5,8 +5,8 @@ every group and sketches their leading order values (``percentile_approx``); eac
 the rows between edges set around every wanted position, for all positions of all groups at once,
 and sketches the stretches between them; the last pass lists the keys of the short stretches that
 hold the positions. A pass shortens a stretch about GRID times, so five million rows take three passes and a billion
-four, however many positions are wanted. What reaches the driver is a sketch per stretch and at most
-about ``limit`` keys. Wide or lossy orders stay exact: a value that fills a stretch is narrowed by
+four, however many positions are wanted; the third writes the rows of the wanted stretches, and later ones
+read only those. What reaches the driver is a sketch per stretch and at most about ``limit`` keys. Wide or lossy orders stay exact: a value that fills a stretch is narrowed by
 the next order value, and a stretch whose values say no more by a few whole keys at a time.
 """
 
@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.operators.ordering import exact_quantiles
+from tabwright.session import stage
 
 PROBES = 31
 LIMIT = 20_000
 GRID = 256
 ACCURACY = 4000
+FEW = 8  # once the wanted stretches hold so small a part of the rows, later passes read them alone
 INF = float("inf")
 
 
@@ -111,14 +113,35 @@ def _between(edges: list[tuple], depth: int) -> list[tuple[tuple, tuple]]:
 def _with_slots(rows: DataFrame, edges: dict, depth: int) -> DataFrame:
     """Add ``slot``, the number of the group's edges before the row, and ``level``. The table of edges
     has a few for each wanted position."""
-    table = [(g, own, [_level(*x) for x in _between(own, depth)]) for g, own in edges.items()]
-    edge = T.StructType([T.StructField("a", T.ArrayType(T.DoubleType())), T.StructField("after", T.IntegerType())])
+    table = [(g, [(a[0], a, after) for a, after in own], [_level(*x) for x in _between(own, depth)]) for g, own in edges.items()]
+    edge = T.StructType([T.StructField("first", T.DoubleType()), T.StructField("a", T.ArrayType(T.DoubleType())),
+                         T.StructField("after", T.IntegerType())])
     table = rows.sparkSession.createDataFrame(table, T.StructType([
         T.StructField("of", rows.schema["g"].dataType), T.StructField("edges", T.ArrayType(edge)),
         T.StructField("levels", T.ArrayType(T.IntegerType()))]))
-    passed = F.filter("edges", lambda e: (F.col("ds") > e.a) | ((F.col("ds") == e.a) & (e.after == 0)))
-    return rows.join(F.broadcast(table), F.col("g").eqNullSafe(F.col("of"))).withColumn("slot", F.size(passed)) \
-        .withColumn("level", F.get("levels", F.col("slot"))).drop("of", "edges", "levels")
+    # the first scale decides for nearly all rows; whole arrays cost far more to compare
+    passed = F.filter("edges", lambda e: (F.col("first") > e["first"]) | (
+        (F.col("first") == e["first"]) & ((F.col("ds") > e.a) | ((F.col("ds") == e.a) & (e.after == 0)))))
+    return rows.join(F.broadcast(table), F.col("g").eqNullSafe(F.col("of"))).withColumn("first", F.get("ds", F.lit(0))) \
+        .withColumn("slot", F.size(passed)).withColumn("level", F.get("levels", F.col("slot"))).drop("of", "edges", "levels", "first")
+
+
+def _slots_of(stretches: dict, depth: int) -> tuple[dict, dict]:
+    """The edges of each group's stretches, and the stretch of each (group, slot) that is one."""
+    edges = {g: sorted({e for x in own for e in (x.low, x.high)}) for g, own in stretches.items() if own}
+    slots = {g: {pair: i for i, pair in enumerate(_between(own, depth))} for g, own in edges.items()}
+    return edges, {(g, slots[g][x.low, x.high]): x for g, own in stretches.items() for x in own}
+
+
+def _inside(rows: DataFrame, stretches: dict, depth: int) -> DataFrame:
+    """The rows in one of the stretches, with the ``slot`` of ``_slots_of``."""
+    edges, here = _slots_of(stretches, depth)
+    wanted: dict = {}
+    for g, slot in here:
+        wanted.setdefault(slot, []).append(g)
+    picked = reduce(lambda a, b: a | b, [(F.col("slot") == slot) & reduce(lambda a, b: a | b, [F.col("g").eqNullSafe(F.lit(g)) for g in gs])
+                                        for slot, gs in wanted.items()])
+    return _with_slots(rows.select("g", "k", "ds"), edges, depth).where(picked).select("g", "k", "ds", "slot")
 
 
 def cut_keys(df: DataFrame, order: Sequence[str | Column], wanted: Callable[[dict], dict], by: str | None = None,
@@ -127,8 +150,8 @@ def cut_keys(df: DataFrame, order: Sequence[str | Column], wanted: Callable[[dic
     order key}, whether some position stands between two equal keys).
 
     ``wanted`` gets {group: rows}, groups by their smallest key, and gives {group: positions}; without
-    ``by`` the one group is 0. ``df`` is read about four times and should be a written table of the key
-    columns.
+    ``by`` the one group is 0. ``df`` is read about three times, whatever its size, and should be a written table
+    of the key columns: a pass that sketches, one that counts, one that lists the wanted stretches or writes them.
     """
     rows = df.select((F.lit(0) if by is None else F.col(by)).alias("g"), order_key(order).alias("k"))
     kind = rows.schema["k"].dataType
@@ -156,28 +179,35 @@ def cut_keys(df: DataFrame, order: Sequence[str | Column], wanted: Callable[[dic
         open_[r["g"]] = [whole] if whole.positions else []
     share = max(1, limit // max(1, sum(len(x.positions) for own in open_.values() for x in own)))
     done: dict = {g: [] for g in open_}
+    total = sum(r["n"] for r in groups)
     while True:
         edges = {}
         for g, own in open_.items():
             done[g] += [x for x in own if x.rows <= share or x.level >= depth]
-            edges[g] = sorted({e for x in own if x.rows > share and x.level < depth for e in x.edges()})
+            open_[g] = [x for x in own if x.rows > share and x.level < depth]
+            edges[g] = sorted({e for x in open_[g] for e in (x.low, x.high, *x.edges())})
         edges = {g: own for g, own in edges.items() if own}
         if not edges:
             break
+        held = sum(x.rows for part in (open_, done) for own in part.values() for x in own)
+        if held * FEW <= total:  # the wanted stretches alone are written, for all later passes
+            rows = stage(_inside(rows, {g: own + open_.get(g, []) for g, own in done.items()}, depth), "rank-rows")
+            total = held
         stats: dict = {}
         for r in counted(_with_slots(rows, edges, depth), "slot"):
             stats.setdefault(r["g"], {})[r["slot"]] = r
-        narrowed: dict = {}
+        narrowed: dict = {g: [] for g in edges}
         for g, own in edges.items():
-            left = [p for x in open_[g] if x.rows > share and x.level < depth for p in x.positions]
-            below, narrowed[g] = 0, []
-            for slot, (low, high) in enumerate(_between(own, depth)):
-                r = stats[g].get(slot)
-                if r is not None:
-                    x = _Stretch(low, high, below, r["n"], r["sketch"])
-                    x.positions = [p for p in left if below <= p < below + r["n"]]
-                    narrowed[g] += [x] if x.positions else []
-                    below += r["n"]
+            slots = _between(own, depth)
+            for whole in open_[g]:
+                left, below = list(whole.positions), whole.below
+                for slot, (low, high) in enumerate(slots):
+                    r = stats[g].get(slot) if whole.low <= low and high <= whole.high else None
+                    if r is not None:
+                        x = _Stretch(low, high, below, r["n"], r["sketch"])
+                        x.positions = [p for p in left if below <= p < below + r["n"]]
+                        narrowed[g] += [x] if x.positions else []
+                        below += r["n"]
         open_ = narrowed
     out: dict = {}
     ties = False
@@ -191,17 +221,11 @@ def _listed(rows: DataFrame, done: dict, kind, share: int, depth: int):
     """(group, position, key, whether the key before is equal): short stretches by their keys in one
     pass, long ones, whose scales all agree, by a few keys at a time."""
     short = {g: [x for x in own if x.rows <= share] for g, own in done.items()}
-    edges = {g: sorted({e for x in own for e in (x.low, x.high)}) for g, own in short.items() if own}
-    if edges:
-        slots = {g: {pair: i for i, pair in enumerate(_between(own, depth))} for g, own in edges.items()}
-        here = {(g, slots[g][x.low, x.high]): x for g, own in short.items() for x in own}
-        wanted: dict = {}
-        for g, slot in here:
-            wanted.setdefault(slot, []).append(g)
-        picked = reduce(lambda a, b: a | b, [(F.col("slot") == slot) & reduce(lambda a, b: a | b, [F.col("g").eqNullSafe(F.lit(g)) for g in gs])
-                                            for slot, gs in wanted.items()])
+    here = _slots_of(short, depth)[1]
+    if here:
         keys: dict = {}
-        for r in _with_slots(rows, edges, depth).where(picked).orderBy("k").collect():
+        # sorted in one task: `limit` keys about, and no second pass to find ranges
+        for r in _inside(rows, short, depth).repartition(1).sortWithinPartitions("k").collect():
             keys.setdefault((r["g"], r["slot"]), []).append(r["k"])
         for (g, slot), x in here.items():
             own = keys[g, slot]

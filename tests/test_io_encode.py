@@ -95,3 +95,18 @@ def test_level_lists_refuse_identifier_columns(spark):
         level_lists(df, ["k"], max_levels=100)
     with pytest.raises(ValueError, match="too many levels"):
         OneHotWide(["c", "k"], max_levels=100).fit(df)
+
+
+def test_level_lists_read_the_rows_once(spark):
+    """Columns of several types, with nulls and repeated names of values, share one pass over the input."""
+    from tabwright.operators.encode import level_lists
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+    df = spark.range(0, 900, 1, 3).selectExpr("if(id % 3 = 0, null, id % 3) as a", "string(id % 2) as b", "id % 2 as c", "string(null) as e") \
+        .mapInArrow(seen, "a long, b string, c long, e string")
+    assert level_lists(df, ["a", "b", "c", "e"]) == {"a": [1, 2], "b": ["0", "1"], "c": [0, 1], "e": []}
+    assert reads.value == 900 and level_lists(df, []) == {}

@@ -168,6 +168,23 @@ def test_cuts_share_their_passes(spark, k):
     assert reads.value == n
 
 
+def test_long_cuts_read_the_keys_three_times(spark):
+    """Stretches still too long to list after the counting pass are written and narrowed there, also when a
+    small group has ended before; keys are those of a sort."""
+    n = 60_000
+    keys, reads = _counting(spark, n)
+    keys = keys.withColumn("y", F.when(F.col("cid") < n - 50, F.lit("long")))
+    positions = [7, 20_000, 41_003, n - 51]
+    order = [split.hash_order("cid", 1), "cid"]
+    found, tied = ranks.cut_keys(keys, order, lambda rows: {g: [p for p in positions if p < m] for g, m in rows.items()}, by="y", limit=100)
+    assert not tied and len(found) == 5 and reads.value <= 3 * n
+    for g in ("long", None):
+        own = spark.range(0, n).select(F.col("id").alias("cid")).where(F.col("cid") < n - 50 if g else F.col("cid") >= n - 50)
+        want = [r["cid"] for r in own.orderBy(*order).collect()]
+        for p in (p for p in positions if p < len(want)):
+            assert own.where(ranks.order_key(order) == found[g, p]).first()["cid"] == want[p]
+
+
 def test_repeated_ids_keep_exact_sizes(spark):
     df = spark.createDataFrame([(i % 3, i) for i in range(30)], "cid long, v int").repartition(4)
     sizes = {r["split"]: r["count"] for r in split.random_split_exact(df, "cid").groupBy("split").count().collect()}
